@@ -3,6 +3,7 @@ from .datasets import (
     append_flow,
     external_sink,
     materialized_view,
+    read_flows,
     streaming_table,
     temporary_view,
 )
@@ -18,6 +19,7 @@ __all__ = [
     "external_sink",
     "materialized_view",
     "preview",
+    "read_flows",
     "refresh",
     "streaming_table",
     "temporary_view",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pipeops.sources.secrets import resolve_options
 
@@ -66,8 +68,30 @@ def external_sink(
     return writer.start()
 
 
-def append_flow(
-    df: DataFrame, target: str, flow: str, checkpoint_root: str, path: str | None = None
-) -> DataFrame:
-    """One of several streams that append to the same table, each with its own checkpoint."""
-    return streaming_table(df, target, f"{checkpoint_root}/{flow}", path)
+def append_flow(df: DataFrame, target: str, flow: str, checkpoint_root: str) -> None:
+    """Append the input not seen before to the folder ``target``, as one of several flows.
+
+    Every flow has its own checkpoint and its own sub-folders, one per micro-batch: a
+    batch that is repeated after a failure replaces its own folder, and flows do not
+    disturb each other. :func:`read_flows` reads them all.
+    """
+    if not df.isStreaming:
+        raise ValueError("an append flow needs a streaming input")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/flow={flow}/batch={batch_id}")
+
+    query = (
+        df.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{checkpoint_root}/{flow}")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_flows(spark: SparkSession, target: str, schema: StructType | str) -> DataFrame:
+    """All rows appended to ``target``, with the name of the flow in the column ``flow``."""
+    return spark.read.schema(schema).parquet(target).withColumn(
+        "flow", F.regexp_extract(F.col("_metadata.file_path"), "/flow=([^/]+)/", 1)
+    )
