@@ -21,6 +21,10 @@ def _register(name, source, columns, keys, where=None):
     )
 
 
+def _int(expression):
+    return f"CAST({expression} AS INT)"
+
+
 _register(
     "f_string",
     "customer",
@@ -29,8 +33,8 @@ _register(
         "back": ("CAST(unbase64(base64(CAST(c_name AS BINARY))) AS STRING)", "c_name"),
         "joined": ("concat(c_name, '/', c_mktsegment)", None),
         "joined_ws": ("concat_ws('-', c_name, c_mktsegment)", None),
-        "hash_at": ("instr(c_name, '#')", None),
-        "len": ("length(c_mktsegment)", None),
+        "hash_at": ("instr(c_name, '#')", _int("instr(c_name, '#')")),
+        "len": ("length(c_mktsegment)", _int("length(c_mktsegment)")),
         "low": ("lower(c_mktsegment)", None),
         "up": ("upper(c_name)", None),
         "left_pad": ("lpad(c_mktsegment, 12, '*')", None),
@@ -74,18 +78,18 @@ _register(
         "later": (_day("date_add(o_orderdate, 10)"), _day_sql(f"{_DATE} + 10")),
         "earlier": (_day("date_sub(o_orderdate, 40)"), _day_sql(f"{_DATE} - 40")),
         "shown": ("date_format(o_orderdate, 'dd.MM.yyyy')", "strftime(o_orderdate, '%d.%m.%Y')"),
-        "age": ("datediff(DATE '2010-01-01', o_orderdate)", f"DATE '2010-01-01' - {_DATE}"),
-        "day_month": ("dayofmonth(o_orderdate)", "day(o_orderdate)"),
-        "day_week": ("dayofweek(o_orderdate)", "dayofweek(o_orderdate) + 1"),
-        "day_year": ("dayofyear(o_orderdate)", None),
+        "age": ("datediff(DATE '2010-01-01', o_orderdate)", _int(f"DATE '2010-01-01' - {_DATE}")),
+        "day_month": ("dayofmonth(o_orderdate)", _int("day(o_orderdate)")),
+        "day_week": ("dayofweek(o_orderdate)", _int("dayofweek(o_orderdate) + 1")),
+        "day_year": ("dayofyear(o_orderdate)", _int("dayofyear(o_orderdate)")),
         "month_end": (_day("last_day(o_orderdate)"), _day_sql("last_day(o_orderdate)")),
-        "mon": ("month(o_orderdate)", None),
+        "mon": ("month(o_orderdate)", _int("month(o_orderdate)")),
         "months": (
             "CAST(months_between(trunc(o_orderdate, 'MM'), DATE '1990-01-01') AS BIGINT)",
             f"date_diff('month', DATE '1990-01-01', {_DATE})",
         ),
         "monday": (_day("next_day(o_orderdate, 'MO')"), _day_sql(f"{_DATE} + CAST(8 - isodow(o_orderdate) AS INT)")),
-        "q": ("quarter(o_orderdate)", None),
+        "q": ("quarter(o_orderdate)", _int("quarter(o_orderdate)")),
         "parsed": (
             "to_date(date_format(o_orderdate, 'yyyyMMdd'), 'yyyyMMdd') = to_date(o_orderdate)",
             "true",
@@ -95,8 +99,8 @@ _register(
             "true",
         ),
         "year_start": (_day("trunc(o_orderdate, 'YEAR')"), _day_sql("date_trunc('year', o_orderdate)")),
-        "epoch_day": ("unix_date(to_date(o_orderdate))", f"{_DATE} - DATE '1970-01-01'"),
-        "yr": ("year(o_orderdate)", None),
+        "epoch_day": ("unix_date(to_date(o_orderdate))", _int(f"{_DATE} - DATE '1970-01-01'")),
+        "yr": ("year(o_orderdate)", _int("year(o_orderdate)")),
     },
     ["o_orderkey"],
 )
@@ -105,9 +109,9 @@ _register(
     "f_time",
     "events",
     {
-        "h": ("hour(ts)", None),
-        "m": ("minute(ts)", None),
-        "s": ("second(ts)", None),
+        "h": ("hour(ts)", _int("hour(ts)")),
+        "m": ("minute(ts)", _int("minute(ts)")),
+        "s": ("second(ts)", _int("second(ts)")),
     },
     ["event_id"],
 )
@@ -201,12 +205,12 @@ _ARRAY_FUNCTIONS = {
     "place": ("array_position(a, 4)", "CAST(coalesce(list_position(a, 4), 0) AS BIGINT)"),
     "without": ("array_join(array_remove(a, 4), ',')", "array_to_string([x FOR x IN a IF x <> 4], ',')"),
     "again": ("array_join(array_repeat(l_linenumber, 3), ',')", "array_to_string([l_linenumber, l_linenumber, l_linenumber], ',')"),
-    "n": ("array_size(a)", "len(a)"),
+    "n": ("array_size(a)", _int("len(a)")),
     "overlap": ("arrays_overlap(a, b)", "list_has_any(a, b)"),
     "zipped": ("arrays_zip(a, b)[1].b", "b[2]"),
     "at": ("element_at(a, -1)", "a[-1]"),
     "flat": ("array_join(flatten(array(a, b)), ',')", "array_to_string(flatten([a, b]), ',')"),
-    "len": ("size(a)", "len(a)"),
+    "len": ("size(a)", _int("len(a)")),
     "cut": ("array_join(slice(a, 2, 2), ',')", "array_to_string(a[2:3], ',')"),
     "falling": ("array_join(sort_array(a, false), ',')", "array_to_string(list_reverse_sort(a), ',')"),
 }

@@ -6,8 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pipeops import observe, plans
+from pipeops import observe, plans, sources
 from pipeops import operators as ops
+from pipeops.session import scratch
 
 from .quality_queries import _profile, _rounded
 from .registry import query, table
@@ -42,7 +43,7 @@ def d1_profile_approx(spark, sf):
 
 
 def _top(column):
-    return f"""SELECT '{column}' AS "column", rank, value, count FROM (
+    return f"""SELECT '{column}' AS "column", CAST(rank AS INT) AS rank, value, count FROM (
                  SELECT {column} AS value, count(*) AS count,
                         row_number() OVER (ORDER BY count(*) DESC, {column}) AS rank
                  FROM part WHERE {column} IS NOT NULL GROUP BY {column}) WHERE rank <= 5"""
@@ -116,6 +117,19 @@ def _snapshots(spark, sf):
     )
 
 
+def _history(spark, sf):
+    """Each snapshot with the one before it, however many runs a node has."""
+    return ops.split_window(
+        _snapshots(spark, sf),
+        "before",
+        "lag",
+        ["created_at", "run_id"],
+        "schema",
+        ["node_id"],
+        split_by="date_trunc('day', created_at)",
+    )
+
+
 _HISTORY = """(
   SELECT o_orderkey AS run_id, o_custkey AS node_id, o_orderstatus = 'F' AS dbl, o_totalprice > 200000 AS nul,
          o_orderpriority = '1-URGENT' AS lab, o_orderdate AS created_at,
@@ -135,20 +149,9 @@ _TYPE = "CASE WHEN {} THEN 'double' ELSE 'decimal(18,2)' END"
         UNION ALL SELECT run_id, 'label', 'removed', 'string', NULL, true FROM {_HISTORY} WHERE NOT lab AND was_lab""",
 )
 def d3_schema_diff(spark, sf):
-    """Every run against the previous run of its node, all in one diff keyed by run."""
-    history = ops.split_window(
-        _snapshots(spark, sf),
-        "before",
-        "lag",
-        ["created_at", "run_id"],
-        "schema",
-        ["node_id"],
-        split_by="date_trunc('day', created_at)",
-    ).where("before IS NOT NULL")
-    before = observe.snapshot_fields(history, ["run_id"], "before")
-    after = observe.snapshot_fields(history, ["run_id"], "schema")
-    diff = observe.schema_diff(before, after, ["run_id"])
-    return diff.select("run_id", "path", "kind", "before_type", "after_type", "breaking")
+    """Every run against the previous run of its node."""
+    changes = observe.schema_changes(_history(spark, sf), ["run_id"], "before", "schema")
+    return changes.select("run_id", "path", "kind", "before_type", "after_type", "breaking")
 
 
 @query(
@@ -158,12 +161,8 @@ def d3_schema_diff(spark, sf):
           FROM {_HISTORY} WHERE dbl <> was_dbl OR nul <> was_nul OR lab <> was_lab)""",
 )
 def d3_schema_contract(spark, sf):
-    """Added fields are not allowed here."""
-    snapshots = _snapshots(spark, sf)
-    history = ops.split_window(
-        snapshots, "before", "lag", ["created_at", "run_id"], "schema", ["node_id"],
-        split_by="date_trunc('day', created_at)",
-    ).where("before IS NOT NULL")
+    """Added fields are not allowed here. The snapshots go through fields tables."""
+    history = _history(spark, sf).where("before IS NOT NULL")
     diff = observe.schema_diff(
         observe.snapshot_fields(history, ["run_id"], "before"),
         observe.snapshot_fields(history, ["run_id"], "schema"),
@@ -211,8 +210,9 @@ def d5_schema_timeline(spark, sf):
     )
 
 
-# Each line item is the end of a task; the supplier is the stage, the return flag the
-# application, the line status the attempt.
+# Each line item is the end of a task; the line number is the stage, the return flag the
+# application, the line status the attempt. Nations are submitted stages of application R,
+# most of them without tasks.
 
 
 def event_log(spark, sf):
@@ -240,7 +240,7 @@ def event_log(spark, sf):
         F.to_json(
             F.struct(
                 F.lit("SparkListenerTaskEnd").alias("Event"),
-                F.col("l_suppkey").alias("Stage ID"),
+                F.col("l_linenumber").alias("Stage ID"),
                 F.expr("CAST(l_linestatus = 'F' AS INT)").alias("Stage Attempt ID"),
                 times.alias("Task Info"),
                 metrics.alias("Task Metrics"),
@@ -248,15 +248,24 @@ def event_log(spark, sf):
         ).alias("value"),
     )
     stage = F.struct(
-        F.col("s_suppkey").alias("Stage ID"),
+        F.col("n_nationkey").alias("Stage ID"),
         F.lit(0).alias("Stage Attempt ID"),
-        F.col("s_name").alias("Stage Name"),
+        F.col("n_name").alias("Stage Name"),
     )
-    submitted = table(spark, sf, "supplier").select(
+    submitted = table(spark, sf, "nation").select(
         F.lit("R").alias("app"),
         F.to_json(F.struct(F.lit("SparkListenerStageSubmitted").alias("Event"), stage.alias("Stage Info"))).alias("value"),
     )
-    return ends.unionByName(submitted)
+    folder = scratch(spark, "event-log")
+    log = ends.unionByName(submitted).withColumn("application", F.concat(F.lit("app-"), "app"))
+    log.select("application", "value").write.partitionBy("application").text(folder)
+    return observe.read_event_log(spark, folder)
+
+
+_STAGE_COLUMNS = """max_task_ms p95_task_ms scheduler_delay_ms shuffle_read_bytes shuffle_write_bytes input_bytes
+  output_bytes memory_bytes_spilled disk_bytes_spilled executor_cpu_time_ns gc_time_ms median_input_bytes
+  p95_input_bytes max_input_bytes median_shuffle_read_bytes p95_shuffle_read_bytes max_shuffle_read_bytes
+  median_shuffle_write_bytes p95_shuffle_write_bytes max_shuffle_write_bytes""".split()
 
 
 def _stage_oracle(attempt):
@@ -273,7 +282,7 @@ def _stage_oracle(attempt):
     )
     return f"""
       WITH tasks AS (
-        SELECT l_returnflag AS app, l_suppkey AS stage_id, {attempt} AS attempt,
+        SELECT l_returnflag AS app, CAST(l_linenumber AS BIGINT) AS stage_id, {attempt} AS attempt,
                CAST(trunc(l_extendedprice) AS BIGINT) AS dur, l_linenumber AS line, l_partkey * 1000 AS cpu,
                CAST(l_quantity AS BIGINT) AS mem, l_partkey + CAST(l_quantity AS BIGINT) AS rd, l_orderkey AS wr,
                l_partkey * l_linenumber AS input, l_suppkey AS output FROM lineitem),
@@ -287,24 +296,25 @@ def _stage_oracle(attempt):
                CAST(sum(output) AS BIGINT) AS output_bytes, CAST(sum(mem) AS BIGINT) AS memory_bytes_spilled,
                0::BIGINT AS disk_bytes_spilled, CAST(sum(cpu) AS BIGINT) AS executor_cpu_time_ns,
                CAST(sum(line) AS BIGINT) AS gc_time_ms, {spread}
-        FROM ranked GROUP BY app, stage_id, attempt)
-      SELECT app, stage_id, CAST(attempt AS BIGINT) AS attempt, coalesce(CASE WHEN app = 'R' AND attempt = 0 THEN s_name END, '') AS name,
-             task_count, median_task_ms, max_task_ms, p95_task_ms,
-             CASE WHEN median_task_ms > 0 THEN round(max_task_ms / median_task_ms, 2) ELSE 0 END AS skew_score,
-             scheduler_delay_ms, shuffle_read_bytes, shuffle_write_bytes, input_bytes, output_bytes, memory_bytes_spilled,
-             disk_bytes_spilled, executor_cpu_time_ns, gc_time_ms,
-             median_input_bytes, p95_input_bytes, max_input_bytes,
-             median_shuffle_read_bytes, p95_shuffle_read_bytes, max_shuffle_read_bytes,
-             median_shuffle_write_bytes, p95_shuffle_write_bytes, max_shuffle_write_bytes,
-             CASE WHEN median_task_ms > 0 AND round(max_task_ms / median_task_ms, 2) >= 3 THEN 'severe skew'
-                  WHEN median_task_ms > 0 AND round(max_task_ms / median_task_ms, 2) >= 1.9 THEN 'moderate skew'
+        FROM ranked GROUP BY app, stage_id, attempt),
+      named AS (
+        SELECT * REPLACE ('app-' || app AS app, coalesce(task_count, 0) AS task_count, coalesce(median_task_ms, 0) AS median_task_ms),
+               coalesce(n_name, '') AS name
+        FROM stages FULL JOIN (SELECT 'R' AS app, CAST(n_nationkey AS BIGINT) AS stage_id, 0 AS attempt, n_name FROM nation)
+        USING (app, stage_id, attempt)),
+      scored AS (
+        SELECT *, CASE WHEN median_task_ms > 0 THEN round(max_task_ms / median_task_ms, 2) ELSE 0 END AS skew_score FROM named)
+      SELECT app, stage_id, CAST(attempt AS BIGINT) AS attempt, name, task_count, median_task_ms, skew_score,
+             {', '.join(f'coalesce({c}, 0) AS {c}' for c in _STAGE_COLUMNS)},
+             CASE WHEN skew_score >= 3 THEN 'severe skew' WHEN skew_score >= 1.9 THEN 'moderate skew'
                   ELSE 'balanced/unknown' END AS diagnostic
-      FROM stages LEFT JOIN supplier ON stage_id = s_suppkey"""
+      FROM scored"""
 
 
 @query("d6_stage_summary", _stage_oracle("CAST(l_linestatus = 'F' AS INT)"))
 def d6_stage_summary(spark, sf):
-    return observe.stage_summary(event_log(spark, sf), moderate=1.9, severe=3.0)
+    log = event_log(spark, sf)
+    return observe.stage_summary(log, moderate=1.9, severe=3.0, store=scratch(spark, "tasks"))
 
 
 @query("d6_stage_summary_merged", _stage_oracle("0"))
@@ -344,7 +354,9 @@ def progress_log(spark, sf):
     whole = F.struct(
         name.alias("Event"), lower.alias("event"), place.alias("checkpointLocation"), progress.alias("progress")
     )
-    return table(spark, sf, "events").select(F.to_json(whole).alias("value"))
+    folder = scratch(spark, "progress-log")
+    table(spark, sf, "events").select(F.to_json(whole).alias("value")).write.text(folder)
+    return sources.read_file(spark, folder, "text")
 
 
 _REPORTS = "(SELECT * FROM events WHERE event_type IN ('click', 'view', 'purchase'))"
@@ -705,8 +717,8 @@ def d12_redact_nested(spark, sf):
 
 @query(
     "d13_secret_literals",
-    """SELECT event_id, 'config.db.password' AS path, len(event_type) AS value_length FROM events WHERE event_type <> 'error'
-       UNION ALL SELECT event_id, 'config.sinks[1].api_key', len(CAST(user_id AS VARCHAR)) FROM events
+    """SELECT event_id, 'config.db.password' AS path, CAST(len(event_type) AS INT) AS value_length FROM events WHERE event_type <> 'error'
+       UNION ALL SELECT event_id, 'config.sinks[1].api_key', CAST(len(CAST(user_id AS VARCHAR)) AS INT) FROM events
        UNION ALL SELECT event_id, 'config.token_list.private_key.secret', 4 FROM events WHERE event_type = 'click'""",
 )
 def d13_secret_literals(spark, sf):

@@ -213,7 +213,7 @@ def q6_referential_missing(spark, sf):
 def _profile(column, source, numeric):
     numbers = (
         f"CAST(min({column}) AS DOUBLE) AS min, CAST(max({column}) AS DOUBLE) AS max, "
-        f"round(avg({column}), 6) AS mean, round(stddev_pop({column}), 6) AS stddev"
+        f"round(avg({column}), 9) AS mean, round(stddev_pop({column}), 6) AS stddev"
         if numeric
         else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean, NULL::DOUBLE AS stddev"
     )
@@ -222,7 +222,7 @@ def _profile(column, source, numeric):
 
 
 def _rounded(df):
-    return df.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+    return df.withColumns({"mean": F.round("mean", 9), "stddev": F.round("stddev", 6)})
 
 
 @query(

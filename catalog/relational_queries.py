@@ -91,7 +91,7 @@ def j1_retail_flow(spark, sf):
     """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
               round(sum(l_extendedprice), 2) AS sum_base_price,
               round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price,
-              round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+              round(avg(l_quantity), 9) AS avg_qty, round(avg(l_discount), 9) AS avg_disc, count(*) AS count_order
        FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
 )
 def a1_aggregate(spark, sf):
@@ -103,8 +103,8 @@ def a1_aggregate(spark, sf):
             {"expression": "sum(l_quantity)", "alias": "sum_qty"},
             {"expression": "round(sum(l_extendedprice), 2)", "alias": "sum_base_price"},
             {"expression": "round(sum(l_extendedprice * (1 - l_discount)), 4)", "alias": "sum_disc_price"},
-            {"expression": "round(avg(l_quantity), 6)", "alias": "avg_qty"},
-            {"expression": "round(avg(l_discount), 6)", "alias": "avg_disc"},
+            {"expression": "round(avg(l_quantity), 9)", "alias": "avg_qty"},
+            {"expression": "round(avg(l_discount), 9)", "alias": "avg_disc"},
             {"expression": "count(*)", "alias": "count_order"},
         ],
     )
@@ -206,7 +206,7 @@ def a4_sliding_window(spark, sf):
 _SESSIONS = """
   WITH marked AS (
     SELECT user_id, ts, value,
-           CASE WHEN ts < lag(ts) OVER w + INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh
+           CASE WHEN ts <= lag(ts) OVER w + INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
   numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
   SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL '2 hours') AS ended,
@@ -272,6 +272,8 @@ def _register_window(name, expression, order, over):
     sql = expression.replace("0.0D", "0.0")
     rounded = name == "running_sum"
     value = f"round({sql} OVER ({over}), 2)" if rounded else f"{sql} OVER ({over})"
+    if name in ("row_number", "rank", "dense_rank", "ntile"):
+        value = f"CAST({value} AS INT)"
 
     def run(spark, sf):
         df = ops.window(
@@ -327,11 +329,11 @@ def w1_window_whole_partition(spark, sf):
 
 @query(
     "w1_window_whole_table",
-    "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (), 4) AS off FROM customer",
+    "SELECT c_custkey, round(c_acctbal - avg(c_acctbal) OVER (), 9) AS off FROM customer",
 )
 def w1_window_whole_table(spark, sf):
     df = ops.window(table(spark, sf, "customer"), "mean_balance", "avg(c_acctbal)")
-    return df.selectExpr("c_custkey", "round(c_acctbal - mean_balance, 4) AS off")
+    return df.selectExpr("c_custkey", "round(c_acctbal - mean_balance, 9) AS off")
 
 
 # Split windows run over partitions of any size; here over whole tables or few large groups.
@@ -353,6 +355,8 @@ _SPLIT = {
 def _register_split(function, sql, argument, buckets):
     real = function in ("percent_rank", "cume_dist")
     value = f"{sql} OVER ({_GLOBAL})"
+    if function in ("row_number", "ntile"):
+        value = f"CAST({value} AS INT)"
 
     def run(spark, sf):
         df = ops.split_window(
@@ -378,8 +382,9 @@ for _name, (_sql, _argument, _buckets) in _SPLIT.items():
 
 @query(
     "w1_split_window_ranks",
-    """SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS r,
-              dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS d FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, 
+              CAST(rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS INT) AS r,
+              CAST(dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS INT) AS d FROM lineitem""",
 )
 def w1_split_window_ranks(spark, sf):
     """Three large groups cut by year; ties stay in one chunk."""

@@ -68,12 +68,12 @@ def p4_sql_project_statement(spark, sf):
 
 @query(
     "p5_block",
-    "SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 6) AS mean_balance FROM supplier GROUP BY s_nationkey",
+    "SELECT s_nationkey, count(*) AS n, round(avg(s_acctbal), 9) AS mean_balance FROM supplier GROUP BY s_nationkey",
 )
 def p5_block(spark, sf):
     def block(df):
         return df.groupBy("s_nationkey").agg(
-            F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 6).alias("mean_balance")
+            F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 9).alias("mean_balance")
         )
 
     return ops.custom(table(spark, sf, "supplier"), block)

@@ -138,7 +138,7 @@ _SQL_SHAPES = {
     "having": """
         SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey HAVING count(*) > 30""",
     "window": """
-        SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+        SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place
         FROM {orders}""",
     "set_operations": """
         (SELECT n_regionkey AS k FROM {nation} INTERSECT SELECT r_regionkey FROM {region})

@@ -104,7 +104,7 @@ def e3_sliding_stream(spark, sf):
     "e3_session_stream",
     """WITH marked AS (
          SELECT user_id, ts, event_id,
-                CASE WHEN ts < lag(ts) OVER w + INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh
+                CASE WHEN ts <= lag(ts) OVER w + INTERVAL '1 hour' THEN 0 ELSE 1 END AS fresh
          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
        numbered AS (
          SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM marked)

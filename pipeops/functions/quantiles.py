@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Every octave of magnitude is cut into this many buckets.
-_STEPS = 64
+# Every octave of magnitude is cut into this many buckets, so that a group has a few
+# hundred at most for integers, whatever its size.
+_STEPS = 16
 
 
 def _bucket(value: Column) -> Column:
-    """An integer that never decreases as the value grows; a few thousand at most."""
+    """An integer that never decreases as the value grows."""
     size = F.floor(F.log2(F.abs(value.cast("double")) + 1) * _STEPS).cast("int")
     return F.when(value < 0, -size - 1).otherwise(size)
 
@@ -20,77 +21,50 @@ def _bucket(value: Column) -> Column:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]
 ) -> DataFrame:
-    """One row per group with the value at each requested rank.
+    """One row per group with the value at each requested rank. Keys must not be null.
 
-    ``ranks`` maps an output name to a 1-based rank written over the column
-    ``n``, the number of non-null values in the group.
+    ``ranks`` maps an output name to a 1-based rank written over the column ``n``,
+    the number of non-null values in the group.
 
-    Equal values are counted before the shuffle, and the shuffle key holds the
-    value, so a group with a third of all rows is spread over all tasks. A
-    histogram of at most a few thousand buckets per group then tells which
-    bucket holds each rank, and only that bucket's distinct values are ordered.
+    A histogram, combined before its shuffle, tells which bucket of magnitude holds
+    each rank; only the distinct values of those buckets are then put in order. Equal
+    values are counted before the shuffle and its key holds the value, so a group with
+    a third of all rows is spread over all tasks.
     """
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", _bucket(F.col("__v")))
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    bucketed = values.withColumn("__b", _bucket(F.col("__v")))
+    histogram = bucketed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__bc"))
+    group = Window.partitionBy(*keys)
+    up_to = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = histogram.withColumn("n", F.sum("__bc").over(group)).withColumn(
+        "__to", F.sum("__bc").over(up_to)
     )
-    histogram = counted.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
-    over_group = Window.partitionBy(*keys)
-    running = over_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        histogram.withColumn("n", F.sum("__bc").over(over_group))
-        .withColumn("__to", F.sum("__bc").over(running))
-        .withColumn("__from", F.col("__to") - F.col("__bc"))
+    before = F.col("__to") - F.col("__bc")
+    wanted = F.array(
+        *[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]
     )
-    wanted = placed.select(
-        *keys,
-        "__b",
-        "__from",
-        F.explode(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"))
-                        for name, rank in ranks.items()
-                    ]
-                ),
-                lambda r: (r["rank"] > F.col("__from")) & (r["rank"] <= F.col("__to")),
-            )
-        ).alias("__r"),
+    inside = F.filter(wanted, lambda r: (r["rank"] > before) & (r["rank"] <= F.col("__to")))
+    # The buckets that hold a rank: at most one row per group and rank.
+    targets = placed.select(*keys, "__b", before.alias("__from"), inside.alias("__ranks")).where(
+        F.size("__ranks") > 0
     )
-    # The buckets that hold a rank: at most one per group and rank.
-    targets = wanted.groupBy(*keys, "__b").agg(
-        F.first("__from").alias("__from"), F.collect_list("__r").alias("__rs")
+
+    counted = (
+        values.groupBy(*keys, "__v")
+        .agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__b", _bucket(F.col("__v")))
     )
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "__b"]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
     in_bucket = Window.partitionBy(*keys, "__b").orderBy("__v")
-    ordered = (
-        counted.alias("c")
-        .join(targets.alias("t"), condition)
-        .select(*[F.col(f"c.{k}").alias(k) for k in [*keys, "__b"]], "__v", "__c", "__from", "__rs")
-        .withColumn(
-            "__upto",
-            F.col("__from")
-            + F.sum("__c").over(in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
+    running = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = counted.join(targets, [*keys, "__b"]).withColumn(
+        "__upto", F.col("__from") + F.sum("__c").over(running)
     )
-    hits = ordered.select(
-        *keys,
-        "__v",
-        F.explode(
-            F.filter(
-                "__rs",
-                lambda r: (r["rank"] <= F.col("__upto"))
-                & (r["rank"] > F.col("__upto") - F.col("__c")),
-            )
-        ).alias("__r"),
+    hit = F.filter(
+        "__ranks",
+        lambda r: (r["rank"] <= F.col("__upto")) & (r["rank"] > F.col("__upto") - F.col("__c")),
     )
+    hits = ordered.select(*keys, "__v", F.explode(hit).alias("__r"))
     return hits.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__r.name") == name, F.col("__v"))).alias(name) for name in ranks]
     )

@@ -5,6 +5,7 @@ from .progress import streaming_progress
 from .redaction import redact, redact_value, redaction_counts, secret_literals
 from .runs import problem_changes, run_deltas, stage_deltas
 from .schemas import (
+    schema_changes,
     schema_contract_status,
     schema_diff,
     schema_fields,
@@ -29,6 +30,7 @@ __all__ = [
     "redact_value",
     "redaction_counts",
     "run_deltas",
+    "schema_changes",
     "schema_contract_status",
     "schema_diff",
     "schema_fields",

@@ -43,11 +43,12 @@ class Progress(NamedTuple):
 def streaming_progress(lines: DataFrame, value: str = "value") -> Progress:
     flat = ", ".join(f"{name} {kind}" for name, kind in _FIELDS.items())
     nested = ", ".join(f"{name}: {kind}" for name, kind in _FIELDS.items())
-    parsed = lines.select(
+    # All three names hold this word; other lines are not parsed.
+    parsed = lines.where(F.contains(F.col(value), F.lit("rogress"))).select(
         F.from_json(value, f"Event STRING, progress STRUCT<{nested}>, {flat}").alias("e"),
-        F.get_json_object(value, "$.event").alias("__event"),
+        F.col(value).alias("__line"),
     )
-    kind = F.coalesce(F.col("e.Event"), F.col("__event"))
+    kind = F.coalesce(F.col("e.Event"), F.get_json_object("__line", "$.event"))
     body = F.coalesce(
         F.col("e.progress"),
         F.struct(*[F.col(f"e.{name}") for name in _FIELDS]),

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-# The mask, the two text patterns (with what replaces a match), the key
-# words whose values are masked whole, and those that mark a literal secret.
+# The mask, the two text patterns (with what replaces a match), words of
+# which each pattern needs one, the key words whose values are masked whole, and those
+# that mark a literal secret.
 MASK = "***REDACTED***"
 PATTERNS = {
     "assignment": (r"(?i)(token|password|secret)=([^;\s,&]+)", rf"$1={MASK}"),
@@ -18,6 +20,10 @@ PATTERNS = {
         rf"$1{MASK}",
     ),
 }
+NEEDED = {
+    "assignment": ("token=", "password=", "secret="),
+    "credential": ("bearer", "token", "password", "secret", "api"),
+}
 KEY_WORDS = ("password", "secret", "token", "credential", "private_key", "authorization")
 SECRET_KEYS = ("password", "token", "secret", "api_key", "apikey", "access_key", "private_key")
 REFERENCE = "secret://"
@@ -33,10 +39,19 @@ def _clean(column: Column, secrets: Mapping[str, str], patterns: Sequence[str])
         column = F.replace(column, F.lit(value), F.lit(MASK))
     for name in patterns:
         pattern, mask = PATTERNS[name]
-        column = F.regexp_replace(column, pattern, mask)
+        column = F.when(_may_match(column, name), F.regexp_replace(column, pattern, mask)).otherwise(column)
     return column
 
 
+def _may_match(column: Column, name: str) -> Column:
+    """False only where the pattern cannot match: no word it needs is in the text. Most
+    texts are told apart this way at a small part of the regular expression's cost.
+    """
+    lowered = F.lower(column)
+    tests = [F.contains(lowered, F.lit(word)) for word in NEEDED[name]]
+    return reduce(lambda a, b: a | b, tests)
+
+
 def redact_value(
     column: Column,
     data_type: DataType,
@@ -113,7 +128,8 @@ def redaction_counts(
     for column in columns:
         text = F.coalesce(F.col(column), F.lit(""))
         for name, (pattern, _) in PATTERNS.items():
-            probes.append((column, "pattern", name, F.regexp_count(text, F.lit(pattern))))
+            hits = F.when(_may_match(text, name), F.regexp_count(text, F.lit(pattern)))
+            probes.append((column, "pattern", name, F.coalesce(hits, F.lit(0))))
         for name, value in _usable(secrets, 1).items():
             gone = F.length(text) - F.length(F.replace(text, F.lit(value), F.lit("")))
             probes.append((column, "secret", name, (gone / len(value)).cast("int")))

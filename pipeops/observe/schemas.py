@@ -33,65 +33,75 @@ def schema_fields(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ddl)
 
 
+def _flat(fields: Column, element: StructType, prefix: Column | None = None) -> Column:
+    """An array of ``{name, type, nullable, fields?}`` with nested fields put behind, as
+    an array of ``{path, type, nullable, position}``.
+    """
+
+    def path(f: Column) -> Column:
+        return f["name"] if prefix is None else F.concat(prefix, F.lit("."), f["name"])
+
+    here = F.transform(
+        fields,
+        lambda f, i: F.struct(
+            path(f).alias("path"), f["type"].alias("type"), f["nullable"].alias("nullable"), i.alias("position")
+        ),
+    )
+    nested = [f for f in element.fields if f.name == "fields" and isinstance(f.dataType, ArrayType)]
+    if not nested:
+        return here
+    below = F.transform(
+        F.filter(fields, lambda f: f["fields"].isNotNull()),
+        lambda f: _flat(f["fields"], nested[0].dataType.elementType, path(f)),
+    )
+    return F.concat(here, F.flatten(below))
+
+
 def snapshot_fields(
     snapshots: DataFrame, keys: Sequence[str], column: str = "schema"
 ) -> DataFrame:
     """The fields table of stored snapshots, arrays of ``{name, type, nullable, fields?}``."""
-    keys = list(keys)
-    parts: list[DataFrame] = []
-    level = snapshots.select(*keys, F.lit("").alias("__prefix"), F.col(column).alias("__fields"))
     element = snapshots.schema[column].dataType.elementType
-    while True:
-        exploded = level.select(*keys, "__prefix", F.posexplode("__fields").alias("position", "f"))
-        exploded = exploded.withColumn("path", F.concat("__prefix", F.col("f.name")))
-        parts.append(exploded.select(*keys, "path", "f.type", "f.nullable", "position"))
-        nested = [f for f in element.fields if f.name == "fields"]
-        if not nested or not isinstance(nested[0].dataType, ArrayType):
-            break
-        element = nested[0].dataType.elementType
-        level = exploded.select(
-            *keys, F.concat("path", F.lit(".")).alias("__prefix"), F.col("f.fields").alias("__fields")
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return snapshots.select(*keys, F.inline(_flat(F.col(column), element)))
 
 
-def schema_diff(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What changed between two fields tables, one row per changed path.
+_NO_FIELDS = "array<struct<path:string,type:string,nullable:boolean,position:int>>"
 
-    ``kind`` is ``added, removed, type_changed, nullability_changed`` or
-    ``order_changed`` (a common top-level field stands elsewhere among the common
-    ones); ``breaking`` is true for removed fields and changed types.
-    """
-    keys = list(keys)
-    sides = before.withColumn("__side", F.lit("b")).unionByName(
-        after.withColumn("__side", F.lit("a"))
-    )
-    fields = ("type", "nullable", "position")
-    met = sides.groupBy(*keys, "path").agg(
-        *[
-            F.max(F.when(F.col("__side") == s, F.col(f))).alias(f"__{s}_{f}")
-            for s in ("b", "a")
-            for f in fields
-        ],
-        F.max((F.col("__side") == "b")).alias("__in_b"),
-        F.max((F.col("__side") == "a")).alias("__in_a"),
+
+def _changes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of changes from the columns ``__b`` and ``__a``, arrays of fields. Row-local."""
+
+    def paths(fields: Column) -> Column:
+        return F.transform(fields, lambda f: f["path"])
+
+    def top_common(fields: Column, others: Column) -> Column:
+        return F.filter(
+            paths(fields),
+            lambda p: ~F.contains(p, F.lit(".")) & F.array_contains(others, p),
+        )
+
+    before, after = F.col("__b"), F.col("__a")
+    listed = df.withColumns(
+        {
+            "__order_b": top_common(before, paths(after)),
+            "__order_a": top_common(after, paths(before)),
+            "path": F.explode(F.array_union(paths(before), paths(after))),
+        }
     )
-    common = F.col("__in_b") & F.col("__in_a")
-    nested = F.contains(F.col("path"), F.lit("."))
-    # A window over one schema's fields: its size is the number of columns.
-    group = Window.partitionBy(*keys, common, nested)
-    moved = common & ~nested & (
-        F.row_number().over(group.orderBy("__b_position", "path"))
-        != F.row_number().over(group.orderBy("__a_position", "path"))
+
+    def found(fields: str) -> Column:
+        return F.try_element_at(F.filter(fields, lambda f: f["path"] == F.col("path")), F.lit(1))
+
+    met = listed.withColumns({"__fb": found("__b"), "__fa": found("__a")})
+    old, new = F.col("__fb"), F.col("__fa")
+    moved = F.array_position("__order_b", F.col("path")) != F.array_position(
+        "__order_a", F.col("path")
     )
     kind = (
-        F.when(~F.col("__in_b"), "added")
-        .when(~F.col("__in_a"), "removed")
-        .when(~F.col("__b_type").eqNullSafe(F.col("__a_type")), "type_changed")
-        .when(~F.col("__b_nullable").eqNullSafe(F.col("__a_nullable")), "nullability_changed")
+        F.when(old.isNull(), "added")
+        .when(new.isNull(), "removed")
+        .when(~old["type"].eqNullSafe(new["type"]), "type_changed")
+        .when(~old["nullable"].eqNullSafe(new["nullable"]), "nullability_changed")
         .when(moved, "order_changed")
     )
     return (
@@ -101,16 +111,58 @@ def schema_diff(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) -
             *keys,
             "path",
             "kind",
-            nested.alias("nested"),
-            F.col("__b_type").alias("before_type"),
-            F.col("__a_type").alias("after_type"),
-            F.col("__b_nullable").alias("before_nullable"),
-            F.col("__a_nullable").alias("after_nullable"),
+            F.contains(F.col("path"), F.lit(".")).alias("nested"),
+            old["type"].alias("before_type"),
+            new["type"].alias("after_type"),
+            old["nullable"].alias("before_nullable"),
+            new["nullable"].alias("after_nullable"),
             F.col("kind").isin("removed", "type_changed").alias("breaking"),
         )
     )
 
 
+def schema_changes(df: DataFrame, keys: Sequence[str], before: str, after: str) -> DataFrame:
+    """What changed between the two snapshots each row holds, one row per changed path.
+
+    ``kind`` is ``added, removed, type_changed, nullability_changed`` or
+    ``order_changed`` (a common top-level field stands elsewhere among the common
+    ones); ``breaking`` is true for removed fields and changed types. Rows with a
+    missing snapshot have no changes. Nothing is shuffled.
+    """
+    types = {name: df.schema[name].dataType.elementType for name in (before, after)}
+    both = df.where(F.col(before).isNotNull() & F.col(after).isNotNull())
+    flat = both.select(
+        *keys,
+        _flat(F.col(before), types[before]).alias("__b"),
+        _flat(F.col(after), types[after]).alias("__a"),
+    )
+    return _changes(flat, list(keys))
+
+
+def schema_diff(before: DataFrame, after: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The same between two fields tables, matched on ``keys``.
+
+    One group holds the fields of one schema, so its size is a number of columns.
+    """
+    keys = list(keys)
+    sides = before.withColumn("__old", F.lit(True)).unionByName(
+        after.withColumn("__old", F.lit(False))
+    )
+    field = F.struct("position", "path", "type", "nullable")
+    met = sides.groupBy(*keys).agg(
+        *[
+            F.transform(
+                F.array_sort(F.collect_list(F.when(side, field))),
+                lambda f: F.struct(f["path"], f["type"], f["nullable"], f["position"]),
+            )
+            .cast(_NO_FIELDS)
+            .alias(name)
+            for name, side in (("__b", F.col("__old")), ("__a", ~F.col("__old")))
+        ]
+    )
+    return _changes(met, keys)
+
+
 def schema_contract_status(
     diff: DataFrame, keys: Sequence[str] = (), mode: str = "block", allow_added: bool = True
 ) -> DataFrame:

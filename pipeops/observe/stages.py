@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +38,34 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     The application is taken from the log's file or folder name.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    app = F.regexp_extract(F.col("_metadata.file_path"), r"((?:app|local|application)-[\w-]+)", 1)
+    app = F.regexp_extract(
+        F.col("_metadata.file_path"), r".*[/=_]((?:app|application|local)-[\w-]+)", 1
+    )
     return lines.select(app.alias("app"), "value")
 
 
-def _tasks(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _records(lines: DataFrame, value: str, merge_attempts: bool) -> DataFrame:
+    """One narrow row per finished task, and one per submitted stage (with its name).
+
+    A line is parsed once, and only if it speaks of one of the two.
+    """
+    text = F.col(value)
+    wanted = F.contains(text, F.lit(_TASK_END)) | F.contains(text, F.lit(_STAGE_SUBMITTED))
+    app = F.coalesce(F.col("app"), F.lit("")) if "app" in lines.columns else F.lit("")
+    events = (
+        lines.where(wanted)
+        .select(app.alias("app"), F.from_json(text, _EVENT).alias("e"))
+        .select("app", "e.*")
+        .where(F.col("Event").isin(_TASK_END, _STAGE_SUBMITTED))
+    )
+    attempt = F.lit(0).cast("long")
+    if not merge_attempts:
+        attempt = F.coalesce("Stage Attempt ID", F.col("`Stage Info`.`Stage Attempt ID`"), attempt)
+    stage = F.coalesce("Stage ID", F.col("`Stage Info`.`Stage ID`"), F.lit(-1))
+    name = F.when(
+        F.col("Event") == _STAGE_SUBMITTED,
+        F.coalesce(F.col("`Stage Info`.`Stage Name`"), F.lit("")),
+    )
     metrics = "`Task Metrics`"
 
     def number(path: str) -> Column:
@@ -54,8 +75,11 @@ def _tasks(events: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.lit(0), number("`Task Info`.`Finish Time`") - number("`Task Info`.`Launch Time`")
     )
     run_time = number(f"{metrics}.`Executor Run Time`")
-    return events.where(F.col("Event") == _TASK_END).select(
-        *keys,
+    return events.select(
+        "app",
+        stage.alias("stage_id"),
+        attempt.alias("attempt"),
+        name.alias("name"),
         duration.alias("duration_ms"),
         F.greatest(F.lit(0), duration - run_time).alias("scheduler_delay_ms"),
         (
@@ -78,6 +102,7 @@ def stage_summary(
     severe: float = 5.0,
     merge_attempts: bool = False,
     value: str = "value",
+    store: str | None = None,
 ) -> DataFrame:
     """One row per application, stage and attempt from event-log lines.
 
@@ -85,61 +110,48 @@ def stage_summary(
     over the median task. ``merge_attempts`` puts a stage's attempts together.
     Stage ids repeat between applications, so lines should carry a column ``app``.
 
-    Lines are parsed once, with only the fields needed; sums are combined before the
-    shuffle, and quantiles are exact without gathering a stage in one task.
+    Sums are combined before the shuffle, and quantiles are exact without gathering
+    a stage in one task; they read the parsed tasks a second time. ``store`` names a
+    new folder, shared by the cluster, to keep the parsed tasks in (a few per cent of
+    the log), so that the log itself is read and parsed once.
     """
     if not 1.0 <= moderate < severe:
         raise ValueError("thresholds must satisfy 1 <= moderate < severe")
-    by_app = ["app"] if "app" in lines.columns else []
-    wanted = F.contains(F.col(value), F.lit(_TASK_END)) | F.contains(
-        F.col(value), F.lit(_STAGE_SUBMITTED)
-    )
-    parsed = lines.where(wanted).select(*by_app, F.from_json(value, _EVENT).alias("e"))
-    events = parsed.select(*by_app, "e.*")
-    attempt = F.lit(0).cast("long") if merge_attempts else F.coalesce(
-        F.col("Stage Attempt ID"), F.col("`Stage Info`.`Stage Attempt ID`"), F.lit(0)
-    )
-    events = events.withColumn(
-        "stage_id", F.coalesce("Stage ID", F.col("`Stage Info`.`Stage ID`"), F.lit(-1))
-    ).withColumn("attempt", attempt)
-    keys = [*by_app, "stage_id", "attempt"]
-
-    tasks = _tasks(events, keys)
-    sums = [c for c in tasks.columns if c not in (*keys, "duration_ms")]
+    records = _records(lines, value, merge_attempts)
+    if store is not None:
+        records.write.parquet(store)
+        records = lines.sparkSession.read.schema(records.schema).parquet(store)
+    keys = ["app", "stage_id", "attempt"]
+
+    tasks = records.where("name IS NULL")
+    sums = [c for c in tasks.columns if c not in (*keys, "name", "duration_ms")]
     totals = tasks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("task_count"),
         *[F.sum(c).alias(c) for c in sums],
         *[F.max(c).alias(f"max_{c}") for c in SPREAD],
     )
-    spread = tasks.select(
-        *keys,
-        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SPREAD])),
-    )
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SPREAD])
     n = F.col("n")
     quantiles = exact_quantiles(
-        spread,
+        tasks.select(*keys, F.inline(pairs)),
         [*keys, "metric"],
         "v",
         {"low": F.floor((n + 1) / 2), "high": F.ceil((n + 1) / 2), "p95": F.ceil(n * 0.95)},
     )
-    wide = quantiles.groupBy(*keys).agg(
-        *[
-            part
-            for m in SPREAD
-            for part in (
-                F.max(F.when(F.col("metric") == m, (F.col("low") + F.col("high")) / 2)).alias(f"median_{m}"),
-                F.max(F.when(F.col("metric") == m, F.col("p95"))).alias(f"p95_{m}"),
-            )
-        ]
-    )
-    names = (
-        events.where(F.col("Event") == _STAGE_SUBMITTED)
-        .groupBy(*keys)
-        .agg(F.max("`Stage Info`.`Stage Name`").alias("name"))
+    spread: list[Column] = []
+    for m in SPREAD:
+        mine = F.col("metric") == m
+        middle = (F.col("low") + F.col("high")) / 2
+        spread.append(F.max(F.when(mine, middle)).alias(f"median_{m}"))
+        spread.append(F.max(F.when(mine, F.col("p95"))).alias(f"p95_{m}"))
+    names = records.where("name IS NOT NULL").groupBy(*keys).agg(F.max("name").alias("name"))
+    # Each side has one row per stage and attempt. A stage may have no tasks yet.
+    stages = (
+        totals.join(quantiles.groupBy(*keys).agg(*spread), keys, "left")
+        .join(names, keys, "full")
+        .na.fill(0)
     )
-    # Each side has one row per stage and attempt.
-    stages = totals.join(wide, keys, "left").join(names, keys, "left")
-    median = F.coalesce(F.col("median_duration_ms"), F.lit(0.0))
+    median = F.col("median_duration_ms")
     skew = F.when(median > 0, F.round(F.col("max_duration_ms") / median, 2)).otherwise(F.lit(0.0))
     # The three verdicts.
     verdict = (
@@ -151,7 +163,7 @@ def stage_summary(
         *keys,
         F.coalesce("name", F.lit("")).alias("name"),
         "task_count",
-        F.col("median_duration_ms").alias("median_task_ms"),
+        median.alias("median_task_ms"),
         F.col("max_duration_ms").alias("max_task_ms"),
         F.col("p95_duration_ms").alias("p95_task_ms"),
         skew.alias("skew_score"),

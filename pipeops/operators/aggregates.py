@@ -74,7 +74,7 @@ def session_aggregate(
     to an expression that is summed, e.g. ``{"events": "1"}``.
     """
     keys = list(keys)
-    length = F.expr(f"INTERVAL '{gap}'") if not gap.strip().lower().startswith("interval") else F.expr(gap)
+    length = F.expr(f"INTERVAL '{gap}'")
     partial = (
         df.withColumn("__chunk", F.date_trunc(chunk, F.col(time)))
         .groupBy(*keys, "__chunk", F.session_window(F.col(time), gap).alias("__s"))
@@ -87,7 +87,7 @@ def session_aggregate(
     in_order = Window.partitionBy(*keys).orderBy("__first")
     opens = F.lag("__last").over(in_order)
     numbered = partial.withColumn(
-        "__new", F.when(F.col("__first") < opens + length, 0).otherwise(1)
+        "__new", F.when(F.col("__first") <= opens + length, 0).otherwise(1)
     ).withColumn("__session", F.sum("__new").over(in_order))
     return (
         numbered.groupBy(*keys, "__session")

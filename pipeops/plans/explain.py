@@ -63,15 +63,17 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     keys = list(keys)
     lines = F.transform(
         F.split(F.col(text), "\r?\n"),
-        lambda line, i: F.struct((i + 1).alias("line"), line.alias("raw")),
+        lambda line, i: F.struct(
+            (i + 1).alias("line"),
+            line.alias("raw"),
+            F.regexp_extract(line, _NODE, 2).alias("operator"),
+        ),
     )
-    headings = F.filter(F.col("__lines"), lambda r: F.trim(r["raw"]).rlike("^==.*==$"))
-    operators = F.array(*[F.lit(o) for o in OPERATORS])
-    nodes = F.filter(
+    headings = F.filter(
         F.col("__lines"),
-        lambda r: r["raw"].rlike(_NODE)
-        & F.array_contains(operators, F.regexp_extract(r["raw"], _NODE, 2)),
+        lambda r: (r["operator"] == "") & F.startswith(F.trim(r["raw"]), F.lit("==")) & F.endswith(F.trim(r["raw"]), F.lit("==")),
     )
+    nodes = F.filter(F.col("__lines"), lambda r: r["operator"].isin(*OPERATORS))
     found = (
         plans.select(*keys, lines.alias("__lines"))
         .select(*keys, headings.alias("__headings"), nodes.alias("__nodes"))
@@ -80,20 +82,25 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     above = F.filter("__headings", lambda h: h["line"] < F.col("__node.line"))
     raw = F.rtrim("__node.raw")
     lowered = F.lower(raw)
-    partitions = F.regexp_extract(raw, _PARTITIONS, 1)
-    exchange = F.regexp_extract(raw, _EXCHANGE, 1)
+
+    def has(word: str) -> Column:
+        return F.contains(lowered, F.lit(word))
+
+    # Regular expressions run only on lines that hold the word they look for.
+    partitions = F.when(has("partition"), F.regexp_extract(raw, _PARTITIONS, 1))
+    exchange = F.when(has("exchange"), F.regexp_extract(raw, _EXCHANGE, 1))
     return found.select(
         *keys,
         "node_index",
-        F.regexp_extract(raw, _NODE, 2).alias("operator"),
+        F.col("__node.operator").alias("operator"),
         F.length(F.regexp_extract(raw, _NODE, 1)).alias("depth"),
         F.col("__node.line").alias("line"),
         F.when(F.size(above) == 0, "unknown")
         .otherwise(_phase(F.try_element_at(above, F.lit(-1))["raw"]))
         .alias("phase"),
-        F.when(F.contains(lowered, F.lit("broadcast")), "broadcast")
-        .when(lowered.rlike("sort ?merge"), "sort_merge")
-        .when(lowered.rlike("shuffled ?hash"), "shuffled_hash")
+        F.when(has("broadcast"), "broadcast")
+        .when(has("sortmerge") | has("sort merge"), "sort_merge")
+        .when(has("shuffledhash") | has("shuffled hash"), "shuffled_hash")
         .alias("join_strategy"),
         F.when(partitions != "", partitions).cast("int").alias("partitioning"),
         F.when(exchange != "", F.regexp_replace(exchange, r"(?i)\bid=\d+\b", "id=?")).alias("exchange"),
@@ -136,7 +143,7 @@ def plan_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
         )
 
     flags = {f"{a}_changed": differs(a) for a in _ATTRIBUTES[1:]}
-    altered = reduce_or(list(flags.values()))
+    altered = _any(list(flags.values()))
     kind = (
         F.when(before.isNull(), "add")
         .when(after.isNull(), "remove")
@@ -146,7 +153,7 @@ def plan_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return met.withColumn("op", kind).withColumns(flags).where("op IS NOT NULL")
 
 
-def reduce_or(tests: Sequence[Column]) -> Column:
+def _any(tests: Sequence[Column]) -> Column:
     result = tests[0]
     for test in tests[1:]:
         result = result | test
