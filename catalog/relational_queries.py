@@ -391,10 +391,13 @@ def w1_split_window_ranks(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_shipdate"
     )
-    split = {"partition_by": ["l_returnflag"], "split_by": "year(l_shipdate)"}
-    df = ops.split_window(lines, "r", "rank", ["l_shipdate"], **split)
-    df = ops.split_window(df, "d", "dense_rank", ["l_shipdate"], **split)
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", "r", "d")
+    return ops.split_windows(
+        lines,
+        {"r": ("rank", None), "d": ("dense_rank", None)},
+        ["l_shipdate"],
+        ["l_returnflag"],
+        "year(l_shipdate)",
+    ).select("l_orderkey", "l_linenumber", "l_partkey", "r", "d")
 
 
 @query(
@@ -404,9 +407,13 @@ def w1_split_window_ranks(spark, sf):
 )
 def w1_split_window_sums(spark, sf):
     df = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    split = {"partition_by": ["event_type"], "split_by": "date_trunc('day', ts)"}
-    for name, function in (("running", "sum"), ("mean", "avg"), ("n", "count")):
-        df = ops.split_window(df, name, function, ["ts", "event_id"], "value", **split)
+    df = ops.split_windows(
+        df,
+        {"running": ("sum", "value"), "mean": ("avg", "value"), "n": ("count", "value")},
+        ["ts", "event_id"],
+        ["event_type"],
+        "date_trunc('day', ts)",
+    )
     return df.selectExpr("event_id", "round(running, 2) AS running", "round(mean * n, 2) AS again")
 
 

@@ -54,5 +54,15 @@ def sort_key(spec: str | Column | tuple) -> Column:
     return column.asc_nulls_first() if first else column.asc_nulls_last()
 
 
+def key_struct(columns: Iterable[str | Column]) -> Column:
+    """Several columns as one key that is never null and in which nulls are equal.
+
+    Grouping, windows and joins by this one column share a partitioning; a join on
+    ``<=>`` of the columns would shuffle both sides once more.
+    """
+    parts = [F.col(f"`{c}`") if isinstance(c, str) else c for c in columns]
+    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
+
+
 def sort_keys(specs: Iterable) -> list[Column]:
     return [sort_key(spec) for spec in specs]

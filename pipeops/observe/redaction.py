@@ -191,7 +191,7 @@ def secret_literals(
         F.lit(root).alias("path"),
         F.lit("").alias("key"),
         F.try_parse_json(column).alias("v"),
-    ).where("v IS NOT NULL")
+    )
     words = "|".join(SECRET_KEYS)
     for _ in range(depth):
         as_map = F.try_variant_get("v", "$", "map<string,variant>")
@@ -213,8 +213,8 @@ def secret_literals(
                     v.alias("v"),
                 ),
             ),
-            # A plain value stays as it is.
-            F.array(F.struct("path", "key", "v")),
+            # A plain value goes on only where its key speaks of a secret.
+            F.when(F.lower("key").rlike(words), F.array(F.struct("path", "key", "v"))),
         )
         frame = frame.select(*keys, F.inline(children))
     kind = F.schema_of_variant("v")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pipeops.functions import as_column
+from pipeops.functions import as_column, key_struct
 from pipeops.operators import joins, shaping
 from pipeops.operators.aggregates import ROW_COUNT
 
@@ -146,34 +146,26 @@ class Trace:
         when there are more. Only three rows per group and task are shuffled for it.
         """
         keys = list(group_by)
-        results = [as_column(a["expression"]).alias(a["alias"]) for a in aggregations]
-        sums = [F.count(F.lit(1)).alias("__n"), F.max("__overflow").alias("__more")]
-        if not keys:
-            keyed, keys = self.df.withColumn("__all", F.lit(1)), ["__all"]
-        else:
-            keyed = self.df
-        grouped = keyed.groupBy(*keys).agg(*results, *sums)
-        by_id = Window.partitionBy(*keys).orderBy("__trace", "__ordinal")
+        keyed = self.df.withColumn("__key", key_struct(keys) if keys else F.struct(F.lit(1)))
+        grouped = keyed.groupBy("__key").agg(
+            *[as_column(a["expression"]).alias(a["alias"]) for a in aggregations],
+            F.count(F.lit(1)).alias("__n"),
+            F.max("__overflow").alias("__more"),
+        )
+        by_id = Window.partitionBy("__key").orderBy("__trace", "__ordinal")
         first = (
-            keyed.select(*keys, "__trace", "__ordinal", F.row_number().over(by_id).alias("__rank"))
+            keyed.select("__key", "__trace", F.row_number().over(by_id).alias("__rank"))
             .where(F.col("__rank") <= CONTRIBUTIONS)
-            .groupBy(*keys)
+            .groupBy("__key")
             .agg(F.array_sort(F.collect_list(F.struct("__rank", "__trace"))).alias("__first"))
         )
-        same = reduce(
-            lambda a, b: a & b, [F.col(f"g.`{k}`").eqNullSafe(F.col(f"f.`{k}`")) for k in keys]
-        )
-        named = [c for c in grouped.columns if c not in ("__n", "__more", "__all")]
         ids = F.flatten(F.transform("__first", lambda r: r["__trace"]))
-        out = (
-            grouped.alias("g")
-            .join(first.alias("f"), same)
-            .select(
-                *[F.col(f"g.`{c}`").alias(c) for c in named],
-                F.array_distinct(ids).alias("__trace"),
-                F.lit(None).cast("int").alias("__ordinal"),
-                ((F.col("__n") > CONTRIBUTIONS) | F.col("__more")).alias("__overflow"),
-            )
+        out = grouped.join(first, "__key").select(
+            *[F.col(f"__key.k{i}").alias(k) for i, k in enumerate(keys)],
+            *[a["alias"] for a in aggregations],
+            F.array_distinct(ids).alias("__trace"),
+            F.lit(None).cast("int").alias("__ordinal"),
+            ((F.col("__n") > CONTRIBUTIONS) | F.col("__more")).alias("__overflow"),
         )
         return self._next(name, "aggregate", out)
 
@@ -197,7 +189,10 @@ class Trace:
     def lineage(self) -> DataFrame:
         """The result with ``trace_ids``, ``trace_ordinal`` and ``trace_overflow``."""
         return self.df.select(
-            *_visible(self.df), *[F.col(h).alias(h.replace("__", "trace_").replace("trace_trace", "trace_ids")) for h in HIDDEN]
+            *_visible(self.df),
+            F.col("__trace").alias("trace_ids"),
+            F.col("__ordinal").alias("trace_ordinal"),
+            F.col("__overflow").alias("trace_overflow"),
         )
 
     def report(self) -> DataFrame:

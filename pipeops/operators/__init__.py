@@ -23,7 +23,7 @@ from .shaping import (
     select,
     sql_project,
 )
-from .windows import split_window, window
+from .windows import split_window, split_windows, window
 
 __all__ = [
     "aggregate",
@@ -57,6 +57,7 @@ __all__ = [
     "session_aggregate",
     "sort",
     "split_window",
+    "split_windows",
     "sql_project",
     "union",
     "union_by_name",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from pipeops.functions import as_column, sort_key, sort_keys
+from pipeops.functions import as_column, key_struct, sort_keys
 
 _EDGES = {
     "unbounded preceding": Window.unboundedPreceding,
@@ -63,29 +64,18 @@ def _plain_aggregate(expression: str | Column) -> bool:
     return name in ("count", "sum", "avg", "mean", "min", "max") and "distinct" not in expression.lower()
 
 
-def _same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
-    tests = [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
-    return reduce(lambda a, b: a & b, tests)
-
-
 def _whole_partition(
     df: DataFrame, target: str, expression: str, keys: Sequence[str]
 ) -> DataFrame:
-    kept = [c for c in df.columns if c != target]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != target]
     if not keys:
         total = df.agg(as_column(expression).alias(target))
         # One row: the broadcast cannot grow with the data.
         return df.select(*kept).crossJoin(F.broadcast(total))
-    if any(k not in df.columns for k in keys):
-        names = [f"__k{i}" for i in range(len(keys))]
-        keyed = df.select("*", *[as_column(k).alias(n) for k, n in zip(keys, names, strict=True)])
-        return _whole_partition(keyed, target, expression, names).drop(*names)
-    totals = df.groupBy(*keys).agg(as_column(expression).alias(target))
-    return (
-        df.alias("row")
-        .join(totals.alias("tot"), _same_keys("row", "tot", keys), "inner")
-        .select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col(f"tot.`{target}`").alias(target))
-    )
+    keyed = df.withColumn("__key", key_struct([as_column(k) for k in keys]))
+    totals = keyed.groupBy("__key").agg(as_column(expression).alias("__total"))
+    joined = keyed.join(totals, "__key")
+    return joined.select(*kept, F.col("__total").alias(target))
 
 
 RANKINGS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
@@ -93,12 +83,6 @@ RUNNING = ("count", "sum", "min", "max", "avg")
 OFFSETS = ("lag", "lead")
 
 
-def _boundaries(df: DataFrame, column: Column, splits: int) -> list:
-    shares = [i / splits for i in range(1, splits)]
-    row = df.agg(F.percentile_approx(column, shares, 10_000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
 def split_window(
     df: DataFrame,
     target: str,
@@ -110,90 +94,86 @@ def split_window(
     splits: int = 64,
     buckets: int | None = None,
 ) -> DataFrame:
-    """A window function whose partitions may be of any size, even the whole table.
+    """A window function whose partitions may be of any size; see :func:`split_windows`.
+
+    ``buckets`` is the argument of ``ntile``.
+    """
+    extra = buckets if function == "ntile" else argument
+    return split_windows(df, {target: (function, extra)}, order_by, partition_by, split_by, splits)
+
+
+def split_windows(
+    df: DataFrame,
+    targets: Mapping[str, tuple[str, str | int | None]],
+    order_by: Sequence,
+    partition_by: Sequence[str] = (),
+    split_by: str | Column | None = None,
+    splits: int = 64,
+) -> DataFrame:
+    """Window functions over partitions of any size, even the whole table.
 
-    Each partition is cut along its first order column into chunks. The function
-    runs inside the chunks, in as many tasks as there are chunks; one summary row
-    per chunk then carries what the chunks before it hold. Results are the same
-    as :func:`window` gives.
+    Each partition is cut along its first order column into chunks. The functions run
+    inside the chunks, in as many tasks as there are chunks; one summary row per chunk
+    then carries what the chunks before it hold. Results are the same as
+    :func:`window` gives. All targets share the shuffle, the sort and the summary.
 
-    ``function`` is one of ``row_number, rank, dense_rank, percent_rank,
-    cume_dist, ntile`` (with ``buckets``), ``count, sum, min, max, avg`` up to the
-    current row and its ties, or ``lag, lead`` by one row.
+    ``targets`` maps a column name to a function and its argument: ``row_number,
+    rank, dense_rank, percent_rank, cume_dist`` (none), ``ntile`` (number of buckets),
+    ``count, sum, min, max, avg`` up to the current row and its ties, or ``lag,
+    lead`` by one row (an expression).
 
     ``split_by`` is an expression that never decreases in sort order, such as
     ``date_trunc('day', ts)``; equal order values must fall in one chunk. Without
     it, ``splits`` chunks are cut at approximate quantiles of the first order
     column (number, date or timestamp), which takes one small aggregate first.
     """
-    if function not in RANKINGS + RUNNING + OFFSETS:
-        raise ValueError(f"split_window does not know {function!r}")
     if not order_by:
-        raise ValueError("split_window needs an order")
-    if function in RUNNING + OFFSETS and argument is None:
-        raise ValueError(f"{function} needs an argument")
-    if function == "ntile" and not buckets:
-        raise ValueError("ntile needs buckets")
-    keys = list(partition_by)
+        raise ValueError("a split window needs an order")
+    plans = [_Split(i, *spec) for i, spec in enumerate(targets.values())]
     order = sort_keys(order_by)
-    descending = False
-    if split_by is None:
-        first, descending = _bare(order_by[0])
-        cuts = _boundaries(df, first, splits)
-        above = [F.coalesce((first > F.lit(c)).cast("int"), F.lit(0)) for c in cuts]
-        # Null order values form a chunk of their own at the end where they sort.
-        chunk = reduce(lambda a, b: a + b, above, F.lit(0))
-        chunk = F.when(first.isNull(), F.lit(-1)).otherwise(chunk)
-    else:
-        chunk = as_column(split_by)
-    chunk_order = F.col("__chunk").desc_nulls_last() if descending else F.col("__chunk").asc_nulls_first()
-
-    work = df.withColumn("__chunk", chunk)
-    if argument is not None:
-        work = work.withColumn("__arg", as_column(argument))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    chunks = Window.partitionBy(*keys).orderBy(chunk_order)
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-
-    sort_row = F.struct(*[_order_value(spec).alias(f"o{i}") for i, spec in enumerate(order_by)])
-    summary_parts: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    if function == "dense_rank":
-        summary_parts.append(F.count_distinct(sort_row).alias("__groups"))
-    if function in ("sum", "avg"):
-        summary_parts.append(F.sum("__arg").alias("__sum"))
-    if function in ("count", "avg"):
-        summary_parts.append(F.count("__arg").alias("__count"))
-    if function in ("min", "max"):
-        summary_parts.append((F.min if function == "min" else F.max)("__arg").alias("__extreme"))
-    summary = work.groupBy(*keys, "__chunk").agg(*summary_parts)
-
-    carried: list[Column] = []
-    zero = F.lit(0)
-    if function in RANKINGS:
-        counted = "__groups" if function == "dense_rank" else "__rows"
-        carried.append(F.coalesce(F.sum(counted).over(before), zero).alias("__before"))
-        carried.append(F.sum("__rows").over(whole).alias("__total"))
-    if function in ("sum", "avg"):
-        carried.append(F.sum("__sum").over(before).alias("__sum_before"))
-    if function in ("count", "avg"):
-        carried.append(F.coalesce(F.sum("__count").over(before), zero).alias("__count_before"))
-    if function in ("min", "max"):
-        pick = F.min if function == "min" else F.max
-        carried.append(pick("__extreme").over(before).alias("__extreme_before"))
-
-    if function in OFFSETS:
-        return _split_offset(work, target, function, keys, inside, chunks)
-
-    carry = summary.select(*keys, "__chunk", *carried)
-    local = _local(function, inside)
-    rows = work.select("*", *[c.alias(n) for n, c in local.items()])
-    joined = rows.alias("row").join(
-        carry.alias("car"), _same_keys("row", "car", [*keys, "__chunk"]), "inner"
+    values = [_bare(spec) for spec in order_by] if split_by is None else []
+    descending = bool(values) and values[0][1]
+    chunk = as_column(split_by) if split_by is not None else _cut(df, values[0][0], splits)
+    keys = [as_column(k) for k in partition_by]
+
+    # Rows, chunk summaries and what is carried over all meet on one key, so the rows
+    # are shuffled once.
+    work = df.withColumn("__key", key_struct([*keys, chunk]))
+    for plan in plans:
+        if plan.needs_argument:
+            work = work.withColumn(plan.name("arg"), as_column(plan.argument))
+    inside = Window.partitionBy("__key").orderBy(*order)
+    place = F.col(f"__key.k{len(keys)}")
+    whole = Window.partitionBy(*[F.col(f"__key.k{i}") for i in range(len(keys))])
+    chunks = whole.orderBy(place.desc_nulls_last() if descending else place.asc_nulls_first())
+
+    rows = work.select("*", *[c for plan in plans for c in plan.local(inside)])
+    joined = rows
+    counted = [plan for plan in plans if plan.function not in OFFSETS]
+    if counted:
+        tie = F.struct(*[_order_value(spec) for spec in order_by])
+        parts = [F.count(F.lit(1)).alias("__rows"), *[c for p in counted for c in p.summary(tie)]]
+        summary = work.groupBy("__key").agg(*parts)
+        carry = summary.select("__key", *[c for p in counted for c in p.carried(whole, chunks)])
+        joined = joined.join(carry, "__key")
+    for plan in plans:
+        if plan.function in OFFSETS:
+            # One row per chunk: the value that the neighbouring chunk needs.
+            edges = rows.where(F.col(plan.name("far"))).select("__key", plan.name("arg"))
+            beyond = plan.step(plan.name("arg")).over(chunks).alias(plan.name("beyond"))
+            joined = joined.join(edges.select("__key", beyond), "__key")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in targets]
+    return joined.select(
+        *kept, *[plan.result().alias(target) for target, plan in zip(targets, plans, strict=True)]
     )
-    value = _combine(function, buckets)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c != target]
-    return joined.select(*kept, value.alias(target))
+
+
+def _cut(df: DataFrame, column: Column, splits: int) -> Column:
+    """The number of quantiles below a value; nulls are a chunk of their own."""
+    shares = [i / splits for i in range(1, splits)]
+    cuts = df.agg(F.percentile_approx(column, shares, 10_000).alias("cuts")).first()["cuts"]
+    below = [(column > F.lit(c)).cast("int") for c in sorted(set(cuts or []))]
+    return F.when(column.isNotNull(), reduce(lambda a, b: a + b, below, F.lit(0))).otherwise(-1)
 
 
 def _bare(spec: object) -> tuple[Column, bool]:
@@ -202,11 +182,10 @@ def _bare(spec: object) -> tuple[Column, bool]:
         return as_column(spec[0]), len(spec) > 1 and spec[1].lower() == "desc"
     if isinstance(spec, str):
         words = spec.strip().split()
-        lowered = [w.lower() for w in words]
-        if "nulls" in lowered:
-            raise ValueError("split_window keeps Spark's default null order")
-        if lowered[-1] in ("asc", "desc"):
-            return as_column(" ".join(words[:-1])), lowered[-1] == "desc"
+        if len(words) > 2 and words[-2].lower() == "nulls":
+            raise ValueError("a split window without split_by keeps Spark's default null order")
+        if words[-1].lower() in ("asc", "desc"):
+            return as_column(" ".join(words[:-1])), words[-1].lower() == "desc"
         return as_column(spec), False
     raise ValueError("give order keys as text or tuples, or pass split_by")
 
@@ -215,72 +194,112 @@ def _order_value(spec: object) -> Column:
     return spec if isinstance(spec, Column) else _bare(spec)[0]
 
 
-def _local(function: str, inside) -> dict[str, Column]:
-    if function in ("row_number", "ntile"):
-        return {"__local": F.row_number().over(inside)}
-    if function in ("rank", "percent_rank"):
-        return {"__local": F.rank().over(inside)}
-    if function == "dense_rank":
-        return {"__local": F.dense_rank().over(inside)}
-    if function == "cume_dist":
-        return {"__local": F.count(F.lit(1)).over(inside)}
-    parts: dict[str, Column] = {}
-    if function in ("sum", "avg"):
-        parts["__lsum"] = F.sum("__arg").over(inside)
-    if function in ("count", "avg"):
-        parts["__lcount"] = F.count("__arg").over(inside)
-    if function in ("min", "max"):
-        parts["__lextreme"] = (F.min if function == "min" else F.max)("__arg").over(inside)
-    return parts
-
-
-def _combine(function: str, buckets: int | None) -> Column:
-    position = F.col("__local") + F.col("__before") if function in RANKINGS else None
-    if function in ("row_number", "rank", "dense_rank"):
+class _Split:
+    """How one function is put together from its chunks. Column names end in its number."""
+
+    def __init__(self, number: int, function: str, argument: str | int | None = None) -> None:
+        if function not in RANKINGS + RUNNING + OFFSETS:
+            raise ValueError(f"a split window does not know {function!r}")
+        self.number, self.function, self.argument = number, function, argument
+        self.needs_argument = function in RUNNING + OFFSETS
+        if argument is None and (self.needs_argument or function == "ntile"):
+            raise ValueError(f"{function} needs an argument")
+
+    def name(self, part: str) -> str:
+        return f"__{part}{self.number}"
+
+    def _col(self, part: str) -> Column:
+        return F.col(self.name(part))
+
+    def _is(self, *functions: str) -> bool:
+        return self.function in functions
+
+    def step(self, column: str) -> Column:
+        return F.lag(column) if self._is("lag") else F.lead(column)
+
+    def local(self, inside: WindowSpec) -> list[Column]:
+        """What the function gives inside a chunk."""
+        made: dict[str, Column] = {}
+        if self._is("row_number", "ntile"):
+            made["local"] = F.row_number().over(inside)
+        elif self._is("rank", "percent_rank"):
+            made["local"] = F.rank().over(inside)
+        elif self._is("dense_rank"):
+            made["local"] = F.dense_rank().over(inside)
+        elif self._is("cume_dist"):
+            made["local"] = F.count(F.lit(1)).over(inside)
+        elif self._is("min", "max"):
+            made["local"] = self._extreme(self.name("arg")).over(inside)
+        elif self._is("lag", "lead"):
+            first = F.row_number().over(inside) == 1
+            last = F.lead(F.lit(False), 1, True).over(inside)
+            made["edge"], made["far"] = (first, last) if self._is("lag") else (last, first)
+            made["near"] = self.step(self.name("arg")).over(inside)
+        if self._is("sum", "avg"):
+            made["local_sum"] = F.sum(self.name("arg")).over(inside)
+        if self._is("count", "avg"):
+            made["local_count"] = F.count(self.name("arg")).over(inside)
+        return [column.alias(self.name(part)) for part, column in made.items()]
+
+    def _extreme(self, column: str) -> Column:
+        return F.min(column) if self._is("min") else F.max(column)
+
+    def summary(self, tie: Column) -> list[Column]:
+        """Aggregates of a whole chunk."""
+        made: dict[str, Column] = {}
+        if self._is("dense_rank"):
+            made["ties"] = F.count_distinct(tie)
+        if self._is("sum", "avg"):
+            made["sum"] = F.sum(self.name("arg"))
+        if self._is("count", "avg"):
+            made["count"] = F.count(self.name("arg"))
+        if self._is("min", "max"):
+            made["extreme"] = self._extreme(self.name("arg"))
+        return [column.alias(self.name(part)) for part, column in made.items()]
+
+    def carried(self, whole: WindowSpec, chunks: WindowSpec) -> list[Column]:
+        """What the chunks before a chunk hold, over the chunk summaries."""
+        before = chunks.rowsBetween(Window.unboundedPreceding, -1)
+        made: dict[str, Column] = {}
+        if self._is(*RANKINGS):
+            rows = self.name("ties") if self._is("dense_rank") else "__rows"
+            made["before"] = F.coalesce(F.sum(rows).over(before), F.lit(0))
+            made["total"] = F.sum("__rows").over(whole)
+        if self._is("sum", "avg"):
+            made["sum_before"] = F.sum(self.name("sum")).over(before)
+        if self._is("count", "avg"):
+            made["count_before"] = F.coalesce(F.sum(self.name("count")).over(before), F.lit(0))
+        if self._is("min", "max"):
+            made["before"] = self._extreme(self.name("extreme")).over(before)
+        return [column.alias(self.name(part)) for part, column in made.items()]
+
+    def result(self) -> Column:
+        if self._is("lag", "lead"):
+            return F.when(self._col("edge"), self._col("beyond")).otherwise(self._col("near"))
+        if self._is("min", "max"):
+            pick = F.least if self._is("min") else F.greatest
+            return pick(self._col("local"), self._col("before"))
+        if self._is("count"):
+            return self._col("local_count") + self._col("count_before")
+        if self._is("sum", "avg"):
+            here, before = self._col("local_sum"), self._col("sum_before")
+            # Null while no value has come yet.
+            total = F.coalesce(here + before, here, before)
+            if self._is("sum"):
+                return total
+            return F.try_divide(total, self._col("local_count") + self._col("count_before"))
+        position, rows = self._col("local") + self._col("before"), self._col("total")
+        if self._is("percent_rank"):
+            share = (position - 1) / (rows - 1).cast("double")
+            return F.when(rows > 1, share).otherwise(F.lit(0.0))
+        if self._is("cume_dist"):
+            return position / rows.cast("double")
+        if self._is("ntile"):
+            # The first `more` buckets hold one row more than the others.
+            size, more = F.floor(rows / self.argument), rows % self.argument
+            past = position - 1 - more * (size + 1)
+            bucket = F.when(past < 0, F.floor((position - 1) / (size + 1))).otherwise(
+                more + F.floor(past / F.greatest(size, F.lit(1)))
+            )
+            return (bucket + 1).cast("int")
         return position.cast("int")
-    if function == "percent_rank":
-        total = F.col("__total")
-        return F.when(total > 1, (position - 1) / (total - 1).cast("double")).otherwise(F.lit(0.0))
-    if function == "cume_dist":
-        return position / F.col("__total").cast("double")
-    if function == "ntile":
-        # The first `rest` buckets hold one row more than the others.
-        size = F.floor(F.col("__total") / buckets)
-        rest = F.col("__total") % buckets
-        in_large = F.floor((position - 1) / (size + 1))
-        in_small = rest + F.floor((position - 1 - rest * (size + 1)) / F.greatest(size, F.lit(1)))
-        return (F.when(position <= rest * (size + 1), in_large).otherwise(in_small) + 1).cast("int")
-    if function in ("min", "max"):
-        pick = F.least if function == "min" else F.greatest
-        return pick("__lextreme", "__extreme_before")
-    summed = F.when(
-        F.col("__lsum").isNull() & F.col("__sum_before").isNull(), F.lit(None)
-    ).otherwise(F.coalesce("__lsum", F.lit(0)) + F.coalesce("__sum_before", F.lit(0))) if function != "count" else None
-    counted = F.col("__lcount") + F.col("__count_before") if function != "sum" else None
-    if function == "sum":
-        return summed
-    if function == "count":
-        return counted
-    return F.try_divide(summed, counted)
-
-
-def _split_offset(work: DataFrame, target, function, keys, inside, chunks) -> DataFrame:
-    """lag / lead by one row: only the row at a chunk's edge looks into the next chunk."""
-    step = F.lag if function == "lag" else F.lead
-    place = F.row_number().over(inside)
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "__chunk"))
-    at_edge = (place == 1) if function == "lag" else (place == size)
-    at_far_edge = (place == size) if function == "lag" else (place == 1)
-    rows = work.withColumn("__edge", at_edge).withColumn("__far", at_far_edge).withColumn(
-        "__near", step("__arg").over(inside)
-    )
-    edges = rows.where("__far").select(*keys, "__chunk", "__arg")
-    carry = edges.select(*keys, "__chunk", step("__arg").over(chunks).alias("__beyond"))
-    joined = rows.alias("row").join(
-        carry.alias("car"), _same_keys("row", "car", [*keys, "__chunk"]), "inner"
-    )
-    internal = ("__chunk", "__arg", "__edge", "__far", "__near", target)
-    kept = [F.col(f"row.`{c}`").alias(c) for c in work.columns if c not in internal]
-    return joined.select(
-        *kept, F.when(F.col("__edge"), F.col("__beyond")).otherwise(F.col("__near")).alias(target)
-    )

@@ -7,13 +7,12 @@ expected)`` with status ``passed``, ``failed`` or ``deferred``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from pipeops.functions import predicate
+from pipeops.functions import key_struct, predicate
 from pipeops.observe.profiles import profile
 
 ACTIONS = ("warn", "drop", "fail")
@@ -160,12 +159,8 @@ def schema_contract(
 
 
 def _key_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
-
-
-def _match(left: str, right: str, columns: Sequence[str]) -> Column:
-    tests = [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in columns]
-    return reduce(lambda a, b: a & b, tests)
+    keyed = df.select(key_struct(columns).alias("__key"))
+    return keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def referential_missing(
@@ -177,9 +172,11 @@ def referential_missing(
     """
     if not columns:
         raise ValueError("a referential check needs key columns")
-    have = _key_counts(df, columns).alias("row")
-    known = reference.select(*columns).distinct().alias("ref")
-    return have.join(known, _match("row", "ref", columns), "left_anti")
+    known = reference.select(key_struct(columns).alias("__key")).distinct()
+    missing = _key_counts(df, columns).join(known, "__key", "left_anti")
+    return missing.select(
+        *[F.col(f"__key.k{i}").alias(c) for i, c in enumerate(columns)], "copies"
+    )
 
 
 def referential(
@@ -205,8 +202,9 @@ def referential(
         deferred = counted.select(F.inline(F.array(row)))
         return deferred.withColumn("status", F.lit("deferred"))
     # One pass: mark known keys on a left join against the distinct reference keys.
-    known = reference.select(*columns).distinct().withColumn("__known", F.lit(True)).alias("ref")
-    marked = _key_counts(df, columns).alias("row").join(known, _match("row", "ref", columns), "left")
+    known = reference.select(key_struct(columns).alias("__key")).distinct()
+    known = known.withColumn("__known", F.lit(True))
+    marked = _key_counts(df, columns).join(known, "__key", "left")
     totals = marked.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("__known").isNull(), F.col("copies"))), F.lit(0)).alias("bad"),
