@@ -216,7 +216,9 @@ def secret_literals(
             # A plain value goes on only where its key speaks of a secret.
             F.when(F.lower("key").rlike(words), F.array(F.struct("path", "key", "v"))),
         )
-        frame = frame.select(*keys, F.inline(children))
+        # The outer form: for the inner one Spark adds a filter on the array's size, which
+        # would compute the array a second time.
+        frame = frame.select(*keys, F.inline_outer(children)).where("path IS NOT NULL")
     kind = F.schema_of_variant("v")
     if max_depth is not None:
         nested = kind.startswith("OBJECT<") | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))

@@ -81,13 +81,15 @@ def _changes(df: DataFrame, keys: list[str]) -> DataFrame:
         )
 
     before, after = F.col("__b"), F.col("__a")
+    # The outer form: for the inner one Spark adds a filter on the array's size, which
+    # would compute the array a second time.
     listed = df.withColumns(
         {
             "__order_b": top_common(before, paths(after)),
             "__order_a": top_common(after, paths(before)),
-            "path": F.explode(F.array_union(paths(before), paths(after))),
+            "path": F.explode_outer(F.array_union(paths(before), paths(after))),
         }
-    )
+    ).where("path IS NOT NULL")
 
     def found(fields: str) -> Column:
         return F.try_element_at(F.filter(fields, lambda f: f["path"] == F.col("path")), F.lit(1))

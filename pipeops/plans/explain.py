@@ -74,10 +74,13 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
         lambda r: (r["operator"] == "") & F.startswith(F.trim(r["raw"]), F.lit("==")) & F.endswith(F.trim(r["raw"]), F.lit("==")),
     )
     nodes = F.filter(F.col("__lines"), lambda r: r["operator"].isin(*OPERATORS))
+    # The outer form: for the inner one Spark adds a filter on the array's size, which
+    # would compute the array a second time.
     found = (
         plans.select(*keys, lines.alias("__lines"))
         .select(*keys, headings.alias("__headings"), nodes.alias("__nodes"))
-        .select(*keys, "__headings", F.posexplode("__nodes").alias("node_index", "__node"))
+        .select(*keys, "__headings", F.posexplode_outer("__nodes").alias("node_index", "__node"))
+        .where("__node IS NOT NULL")
     )
     above = F.filter("__headings", lambda h: h["line"] < F.col("__node.line"))
     raw = F.rtrim("__node.raw")
