@@ -1,4 +1,4 @@
-"""Observability operators on the cases the reference's tests name."""
+"""Observability operators on small literal cases."""
 
 import json
 import zlib

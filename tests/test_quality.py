@@ -1,4 +1,4 @@
-"""Quality checks on the cases the reference's tests name."""
+"""Quality checks on small literal cases."""
 
 import pytest
 from pyspark.errors import PySparkException
