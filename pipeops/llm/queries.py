@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage; none has a SQL form, so each is tested against brute force."""
+"""The registered queries of this subpackage; where SQL has no form, tests compare with brute force."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, chunk_dedup, simhash
 from .tables import table
 
 
@@ -18,8 +18,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_chunk_recipes": op8_chunk_recipes,
+}
+ORACLES: dict[str, str] = {
+    "op8_chunk_recipes": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents
+        WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
 }
-ORACLES: dict[str, str] = {}
