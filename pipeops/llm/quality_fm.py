@@ -207,8 +207,14 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, length_col: str) -> Dat
     return docs.select(F.col(id_col), F.col(text_col).alias("text"), recorded.alias("recorded"))
 
 
+def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3, **columns) -> DataFrame:
+    """The rows of the input, all their columns unchanged, that score at least ``threshold``."""
+    held = docs.select(F.struct(*docs.columns).alias("row"), *(F.col(c) for c in {columns.get("text_col", "text"), columns.get("length_col", "n_chars")} & set(docs.columns)))
+    return score(held, machine, id_col="row", **columns).where(F.col("score") >= threshold).select("row.*")
+
+
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``id_col, score``: the probability that a document's label is 1."""
+    """``id_col, score``: the probability that a document's label is 1. The id may be of any type, a struct too."""
     source = _inputs(docs, id_col, text_col, length_col)
 
     def run(batches):
