@@ -30,9 +30,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a text that are split into matches at once.
 SLICE = 1 << 18
 #: Matches whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Tokens in an output batch.
-BATCH_TOKENS = 1 << 21
+BATCH_TOKENS = 1 << 19
 
 
 def byte_table() -> dict[int, str]:
@@ -217,24 +217,38 @@ def encode(
     return source.mapInArrow(run, T.StructType([source.schema[0], *fields]))
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, *, ids_col: str = "ids", pattern: str | None = None) -> DataFrame:
-    """The input without ``ids_col``, with ``decoded`` (the bytes) and ``decoded_text``.
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, *, ids_col: str = "ids", pattern: str | None = None, as_text: bool = False) -> DataFrame:
+    """The input without ``ids_col``, with ``decoded`` (the bytes) and, if asked for, ``decoded_text``.
 
     Bytes are joined before they are read as UTF-8, so characters split over tokens come
     back whole; bytes that are no UTF-8 become U+FFFD in ``decoded_text`` only.
     """
     kept = [c for c in encoded.columns if c != ids_col]
     source = encoded.select(*kept, ids_col)
-    fields = [T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())]
+    fields = [T.StructField("decoded", T.BinaryType())] + [T.StructField("decoded_text", T.StringType())] * as_text
 
     def run(batches):
         import pyarrow as pa
 
         own = codec(vocabulary, pattern)
+        def batch(keys, done):
+            columns = [*keys, pa.array(done, pa.binary())]
+            if as_text:
+                columns.append(pa.array([None if raw is None else raw.decode("utf-8", "replace") for raw in done], pa.string()))
+            return pa.RecordBatch.from_arrays(columns, [*kept, "decoded", "decoded_text"][: len(columns)])
+
         for read in batches:
-            done = [None if ids.as_py() is None else own.decode(ids.values.to_numpy().tolist()) for ids in read.column(len(kept))]
-            texts = [None if raw is None else raw.decode("utf-8", "replace") for raw in done]
-            yield pa.RecordBatch.from_arrays([*read.columns[: len(kept)], pa.array(done, pa.binary()), pa.array(texts, pa.string())], [*kept, "decoded", "decoded_text"])
+            done, begun, tokens = [], 0, 0
+            keys = read.columns[: len(kept)]
+            for ids in read.column(len(kept)):
+                listed = None if not ids.is_valid else ids.values.to_numpy(zero_copy_only=False).tolist()
+                done.append(None if listed is None else own.decode(listed))
+                tokens += len(listed or ())
+                if tokens >= BATCH_TOKENS:
+                    yield batch([k.slice(begun, len(done)) for k in keys], done)
+                    done, begun, tokens = [], begun + len(done), 0
+            if done:
+                yield batch([k.slice(begun, len(done)) for k in keys], done)
 
     return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in kept), *fields]))
 
