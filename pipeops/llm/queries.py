@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunk_dedup, decontaminate, quality_fm, simhash
+from . import arc_warc, bpe, chunk_dedup, decontaminate, quality_fm, simhash
 from .tables import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
     "op3_quality_machine": op3_quality_machine,
+    "op5_arc_to_warc": op5_arc_to_warc,
     "op7_simhash": op7_simhash,
     "op8_chunk_recipes": op8_chunk_recipes,
 }
