@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_warc, bpe, chunk_dedup, decontaminate, quality_fm, simhash
+from . import arc_warc, bpe, chunk_dedup, decontaminate, quality_fm, simhash, style_tree
 from .tables import table
 
 
@@ -26,6 +26,10 @@ def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op6_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_passages": op2_benchmark_passages,
     "op3_quality_machine": op3_quality_machine,
     "op5_arc_to_warc": op5_arc_to_warc,
+    "op6_style_tree": op6_style_tree,
     "op7_simhash": op7_simhash,
     "op8_chunk_recipes": op8_chunk_recipes,
 }
