@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arc_warc, bpe, chunk_dedup, decontaminate, quality_fm, simhash, style_tree
+from . import arc_warc, bpe, chunk_dedup, decontaminate, pii_votes, quality_fm, simhash, style_tree
 from .tables import table
 
 
@@ -38,6 +38,10 @@ def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.digest(pii_votes.personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_style_tree": op6_style_tree,
     "op7_simhash": op7_simhash,
     "op8_chunk_recipes": op8_chunk_recipes,
+    "op9_weak_pii": op9_weak_pii,
 }
 ORACLES: dict[str, str] = {
     "op8_chunk_recipes": """
