@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arc_warc, bpe, chunk_dedup, decontaminate, pii_votes, quality_fm, simhash, style_tree
-from .tables import table
+from pipeops.session import scratch
+
+from . import arc_warc, bpe, chunk_dedup, decontaminate, pii_votes, quality_fm, secret_forest, simhash, style_tree, token_rollups
+from .tables import stored, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,10 @@ def op3_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
 
@@ -42,15 +49,46 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.digest(pii_votes.personal_data(table(spark, sf_dir, "documents")))
 
 
+#: What counts as a token for the two tokenizer versions of the rollup.
+TOKENIZERS = {"words-1": r"[^\x09-\x0D\x20]+", "marks-2": r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]"}
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are loaded with the first tokenizer; toxic ones are withdrawn, good ones recounted with the second.
+
+    The withdrawal is delivered twice, and what was committed is folded in between.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(v) for v, p in TOKENIZERS.items()]
+    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = stored(counted.join(labels, "doc_id", "left"), "counted")
+    old, new = list(TOKENIZERS)
+    first = known.withColumns({"tokenizer_version": F.lit(old), "n_tokens": F.col(old)})
+    withdrawn = first.where("toxic = 1").withColumn("op", F.lit("delete"))
+    recounted = known.where("quality = 1 AND coalesce(toxic, 0) <> 1").withColumns(
+        {"op": F.lit("revise"), "tokenizer_version": F.lit(new), "n_tokens": F.col(new), "old_source": F.col("source"), "old_lang": F.col("lang"), "old_tokenizer_version": F.lit(old), "old_n_tokens": F.col(old)}
+    )
+    rollup = token_rollups.Rollup(spark, scratch(spark, "rollup"))
+    rollup.apply("load", first.withColumn("op", F.lit("insert")))
+    rollup.apply("withdraw", withdrawn)
+    rollup.compact()
+    rollup.apply("withdraw", withdrawn)
+    rollup.apply("recount", recounted)
+    return rollup.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
     "op3_quality_machine": op3_quality_machine,
+    "op4_secret_forest": op4_secret_forest,
     "op5_arc_to_warc": op5_arc_to_warc,
     "op6_style_tree": op6_style_tree,
     "op7_simhash": op7_simhash,
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_weak_pii": op9_weak_pii,
+    "op10_token_rollup": op10_token_rollup,
 }
 ORACLES: dict[str, str] = {
     "op8_chunk_recipes": """
@@ -59,4 +97,17 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_token_rollup": rf"""
+        WITH judged AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        current AS (
+            SELECT source, lang, coalesce(quality = 1, false) AS recounted,
+                   len(regexp_extract_all(coalesce(text, ''), '{TOKENIZERS["words-1"]}')) AS a,
+                   len(regexp_extract_all(coalesce(text, ''), '{TOKENIZERS["marks-2"]}')) AS b
+            FROM documents LEFT JOIN judged USING (doc_id)
+            WHERE coalesce(toxic, 0) <> 1
+        )
+        SELECT source, lang, CASE WHEN recounted THEN 'marks-2' ELSE 'words-1' END AS tokenizer_version,
+               count(*) AS docs, CAST(sum(CASE WHEN recounted THEN b ELSE a END) AS BIGINT) AS tokens
+        FROM current GROUP BY 1, 2, 3
+    """,
 }
