@@ -80,6 +80,8 @@ class Page(HTMLParser):
         self.styles: dict[str, list[str]] = {}
         self.features: dict[str, list[str]] = {}
         self.feed(html)
+        if re.match(r"<[!/?a-zA-Z]", self.rawdata):  # a tag or comment that was cut off
+            self.rawdata = ""
         self.close()
         self._to(0)
         self._block()
