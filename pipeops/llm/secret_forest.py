@@ -60,7 +60,10 @@ def _classes(value: Column) -> Column:
 
 
 def _pairs(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - 1, F.lit(1))), lambda i: F.substring(value, i, F.lit(2)))
+    """Adjacent characters, two by two; in linear time, which taking parts of the text would not be."""
+    characters = F.split(value, "")
+    both = F.zip_with(characters, F.slice(characters, 2, F.greatest(F.size(characters), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.filter(both, lambda p: F.length(p) == 2)
 
 
 def transitions(dictionary: DataFrame) -> dict[str, float]:
@@ -91,7 +94,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def described(found: DataFrame, dictionary: DataFrame, usual: dict[str, float]) -> DataFrame:
     """The candidates with the columns of ``FEATURES``."""
-    value, n = F.col("value"), F.length("value")
+    value, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     part = F.explode(F.array_distinct(F.filter(F.split(F.lower(value), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))).alias("word")
     known = found.select("value", part).distinct().join(dictionary.select("word"), "word")
     covered = known.groupBy("value").agg(F.sum(F.length("word")).alias("covered"))
@@ -100,11 +103,11 @@ def described(found: DataFrame, dictionary: DataFrame, usual: dict[str, float])
     logs = F.transform(_pairs(_classes(value)), lambda p: F.coalesce(F.try_element_at(lookup, p), F.lit(-9.0)))
     count = lambda pattern: F.regexp_count(value, F.lit(pattern)).cast("double")
     before, after, path = F.lower(F.coalesce("before", F.lit(""))), F.coalesce("after", F.lit("")), F.lower(F.coalesce("path", F.lit("")))
-    near = F.regexp_extract(before, r"((?:\S+\s*){0,4})$", 1)
+    near = F.array_join(F.reverse(F.slice(F.reverse(F.split(F.trim(before), r"\s+")), 1, 4)), " ")  # the last four words
     features = {
         "length": F.log1p(n),
         "changes": changes / n,
-        "usual": F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.size(logs),
+        "usual": F.aggregate(logs, F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(logs), F.lit(1)),
         "coverage": F.coalesce(F.col("covered") / n, F.lit(0.0)),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
         "digit_share": count("[0-9]") / n,
@@ -166,7 +169,7 @@ def findings(
     if labelled is None:
         train = rows.withColumn("label", label())
     else:
-        given = labelled.select("value", "before", "after", "path", F.col("label").cast("double").alias("label")).withColumns({"row": F.lit(0), "start": F.lit(0)})
+        given = labelled.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("value", "before", "after", "path")], F.col("label").cast("double").alias("label")).withColumns({"row": F.lit(0), "start": F.lit(0)})
         train = described(given, dictionary, usual)
     model = forest(train.where("label IS NOT NULL"), train_rows)
     if isinstance(model, float):
