@@ -10,6 +10,7 @@ from pipeops import observe, plans, sources
 from pipeops import operators as ops
 from pipeops.session import scratch
 
+from . import plan_texts
 from .quality_queries import _profile, _rounded
 from .registry import query, table
 
@@ -735,54 +736,65 @@ def d13_secret_literals(spark, sf):
     return observe.secret_literals(configs, "config", ["event_id"])
 
 
-# Each event is a captured plan.
+# Each event is a captured plan; the second capture of a clicked one has another plan.
 
-_ENDING = """CASE event_type WHEN 'click' THEN '   +- BroadcastHashJoin [k#1], [k#2], Inner, BuildRight'
-               WHEN 'view' THEN '   +- SortMergeJoin [k#1], [k#2], Inner'
-               ELSE concat('   +- Exchange hashpartitioning(k#', user_id, ', 200), ENSURE_REQUIREMENTS, [plan_id=', event_id, ']') END"""
+_TEXTS = (plan_texts.JOINED, plan_texts.WINDOWED, plan_texts.UNITED)
+_QUOTED = ", ".join("'" + text.replace("'", "''") + "'" for text in _TEXTS)
 
 
-def _plans(spark, sf, ending=_ENDING):
-    return table(spark, sf, "events").selectExpr(
-        "event_id",
-        f"""concat_ws('\\n', '== Parsed Logical Plan ==', 'Project [k]', '+- Unknown [k]', '',
-              '== Physical Plan ==', '*(2) HashAggregate(keys=[])', '*(1) Project [k#3]', {ending}) AS text""",
-    )
+def _plan_lines(shift: int) -> str:
+    """SQL: the operator lines of every event's plan, from the text itself."""
+    return f"""SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY line) - 1 AS node_index, operator,
+                      CAST(len(branch) / 3 AS INT) AS depth, line, phase, raw FROM (
+        SELECT *, regexp_extract(raw, '^((?:[: ]  )*(?:[:+]- )?)', 1) AS branch,
+               regexp_extract(raw, '^(?:[: ]  )*(?:[:+]- )?(?:[*](?:[(][0-9]+[)])?[ ])?[''!]?([A-Z][A-Za-z0-9]*)(?:[ (\\[,]|$)', 1) AS operator,
+               CASE headed WHEN '== Parsed Logical Plan ==' THEN 'parsed' WHEN '== Analyzed Logical Plan ==' THEN 'analyzed'
+                 WHEN '== Optimized Logical Plan ==' THEN 'optimized' WHEN '== Physical Plan ==' THEN 'physical' END AS phase
+        FROM (SELECT *, max(CASE WHEN raw LIKE '==%' THEN line END) OVER above AS heading,
+                     max(CASE WHEN raw = '' THEN line END) OVER above AS blank,
+                     max_by(raw, line) FILTER (WHERE raw LIKE '==%') OVER above AS headed
+              FROM (SELECT event_id, unnest(range(1, len(lines) + 1)) AS line, rtrim(unnest(lines)) AS raw
+                    FROM (SELECT event_id, string_split([{_QUOTED}][CAST((event_id + CASE WHEN event_type = 'click' THEN {shift} ELSE 0 END) % 3 AS INT) + 1], chr(10)) AS lines FROM events))
+              WINDOW above AS (PARTITION BY event_id ORDER BY line)))
+      WHERE operator <> '' AND (blank IS NULL OR blank < heading) AND NOT (phase = 'analyzed' AND line = heading + 1)"""
+
+
+_STRATEGY = "CASE operator WHEN 'BroadcastHashJoin' THEN 'broadcast' WHEN 'SortMergeJoin' THEN 'sort_merge' END"
+_PARTS = "CASE WHEN operator = 'Exchange' THEN CASE WHEN contains(raw, 'SinglePartition') THEN 1 ELSE TRY_CAST(regexp_extract(raw, '(?i)partitioning[(](?:.*, )?([0-9]+)[)]', 1) AS INT) END END"
+
+
+def _plans(spark, sf, shift=0):
+    texts = F.array(*map(F.lit, _TEXTS))
+    at = (F.col("event_id") + F.when(F.col("event_type") == "click", shift).otherwise(0)) % 3 + 1
+    return table(spark, sf, "events").select("event_id", F.element_at(texts, at.cast("int")).alias("text"))
 
 
 @query(
     "d14_plan_nodes",
-    """WITH raw AS (
-         SELECT event_id, 0 AS node_index, 'Project' AS operator, 0 AS depth, 2 AS line, 'parsed' AS phase,
-                NULL AS join_strategy, NULL AS partitioning, 'Project [k]' AS normalized FROM events
-         UNION ALL SELECT event_id, 1, 'Project', 0, 7, 'physical', NULL, NULL, '*(1) Project [k#?]' FROM events
-         UNION ALL SELECT event_id, 2, CASE event_type WHEN 'click' THEN 'BroadcastHashJoin' WHEN 'view' THEN 'SortMergeJoin' ELSE 'Exchange' END,
-                3, 8, 'physical', CASE event_type WHEN 'click' THEN 'broadcast' WHEN 'view' THEN 'sort_merge' END,
-                CASE WHEN event_type NOT IN ('click', 'view') THEN 200 END,
-                CASE event_type WHEN 'click' THEN '   +- BroadcastHashJoin [k#?], [k#?], Inner, BuildRight'
-                  WHEN 'view' THEN '   +- SortMergeJoin [k#?], [k#?], Inner'
-                  ELSE '   +- Exchange hashpartitioning(k#?, 200), ENSURE_REQUIREMENTS, [plan_id=' || event_id || ']' END FROM events)
-       SELECT * FROM raw""",
+    f"""SELECT event_id, node_index, operator, depth, line, phase, {_STRATEGY} AS join_strategy, {_PARTS} AS partitioning,
+              regexp_replace(regexp_replace(raw, '#[0-9]+L?', '#?', 'g'), '\\b((?:plan_)?id)=#?[0-9]+', '\\1=?', 'g') AS normalized
+       FROM ({_plan_lines(0)})""",
 )
 def d14_plan_nodes(spark, sf):
     return plans.plan_nodes(_plans(spark, sf), ["event_id"]).drop("raw", "exchange")
 
 
-_OTHER = """CASE WHEN event_type IN ('click', 'error') THEN concat('   +- Exchange hashpartitioning(k#9, 100), [plan_id=', event_id, ']')
-              ELSE '   +- SortMergeJoin [k#1], [k#2], Inner' END"""
-
-
 @query(
     "d14_plan_changes",
-    """SELECT event_id, 2 AS node_index, CASE WHEN event_type = 'error' THEN 'alter' ELSE 'replace' END AS op,
-              CASE event_type WHEN 'click' THEN 'BroadcastHashJoin' ELSE 'Exchange' END AS before_operator,
-              CASE WHEN event_type IN ('click', 'error') THEN 'Exchange' ELSE 'SortMergeJoin' END AS after_operator,
-              event_type <> 'error' AS join_strategy_changed, true AS partitioning_changed FROM events WHERE event_type <> 'view'""",
+    f"""WITH l AS (SELECT *, {_STRATEGY} AS s, {_PARTS} AS p FROM ({_plan_lines(0)})),
+             r AS (SELECT *, {_STRATEGY} AS s, {_PARTS} AS p FROM ({_plan_lines(1)}))
+       SELECT event_id, node_index, CASE WHEN l.operator IS NULL THEN 'add' WHEN r.operator IS NULL THEN 'remove'
+                WHEN l.operator <> r.operator THEN 'replace' ELSE 'alter' END AS op,
+              l.operator AS before_operator, r.operator AS after_operator,
+              l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.s IS DISTINCT FROM r.s AS join_strategy_changed,
+              l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.p IS DISTINCT FROM r.p AS partitioning_changed
+       FROM l FULL JOIN r USING (event_id, node_index)
+       WHERE l.operator IS DISTINCT FROM r.operator OR l.phase IS DISTINCT FROM r.phase OR l.s IS DISTINCT FROM r.s OR l.p IS DISTINCT FROM r.p""",
 )
 def d14_plan_changes(spark, sf):
     """The plan of every event against a second capture of it."""
-    left = plans.plan_nodes(_plans(spark, sf), ["event_id"])
-    right = plans.plan_nodes(_plans(spark, sf, _OTHER), ["event_id"])
+    left = plans.plan_nodes(_plans(spark, sf), ["event_id"]).withColumn("exchange", F.lit(None).cast("string"))
+    right = plans.plan_nodes(_plans(spark, sf, 1), ["event_id"]).withColumn("exchange", F.lit(None).cast("string"))
     return plans.plan_changes(left, right, ["event_id"]).select(
         "event_id",
         "node_index",
@@ -796,12 +808,11 @@ def d14_plan_changes(spark, sf):
 
 @query(
     "d14_plan_operator_changes",
-    """SELECT event_id, 'BroadcastHashJoin' AS operator, 'removed' AS change FROM events WHERE event_type = 'click'
-       UNION ALL SELECT event_id, 'Exchange', 'added' FROM events WHERE event_type = 'click'
-       UNION ALL SELECT event_id, 'Exchange', 'removed' FROM events WHERE event_type NOT IN ('click', 'view', 'error')
-       UNION ALL SELECT event_id, 'SortMergeJoin', 'added' FROM events WHERE event_type NOT IN ('click', 'view', 'error')""",
+    f"""WITH l AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(0)})), r AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(1)}))
+       SELECT event_id, operator, 'removed' AS change FROM l ANTI JOIN r USING (event_id, operator)
+       UNION ALL SELECT event_id, operator, 'added' FROM r ANTI JOIN l USING (event_id, operator)""",
 )
 def d14_plan_operator_changes(spark, sf):
     left = plans.plan_nodes(_plans(spark, sf), ["event_id"])
-    right = plans.plan_nodes(_plans(spark, sf, _OTHER), ["event_id"])
+    right = plans.plan_nodes(_plans(spark, sf, 1), ["event_id"])
     return plans.plan_operator_changes(left, right, ["event_id"])

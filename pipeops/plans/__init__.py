@@ -1,3 +1,3 @@
-from .explain import OPERATORS, plan_changes, plan_nodes, plan_operator_changes
+from .explain import plan_changes, plan_nodes, plan_operator_changes
 
-__all__ = ["OPERATORS", "plan_changes", "plan_nodes", "plan_operator_changes"]
+__all__ = ["plan_changes", "plan_nodes", "plan_operator_changes"]

@@ -412,7 +412,7 @@ def test_plan_details_and_changes(spark):
         plans.plan_nodes(spark.createDataFrame([(1, t)], "k int, text string"), ["k"]) for t in (before, after)
     ]
     exchange = nodes[0].where("operator = 'Exchange'").first()
-    assert exchange["partitioning"] == 200 and exchange["depth"] == 0 and "[id=?]" in exchange["exchange"]
+    assert exchange["partitioning"] == 200 and exchange["depth"] == 1 and "[id=?]" in exchange["exchange"]
     got = by(plans.plan_changes(*nodes, ["k"]), "node_index")
     assert got[1]["op"] == "alter" and got[1]["partitioning_changed"]
     assert got[2]["op"] == "remove" and got[2]["before_operator"] == "Filter"
