@@ -528,13 +528,13 @@ def _diagnoses():
     parts = []
     for rule in DEFAULT_RULES:
         tests = []
-        if rule.error_class:
-            tests.append(f"regexp_matches(cls, '{rule.error_class}')")
-        if rule.log_pattern:
-            tests.append(f"regexp_matches(msg, '{rule.log_pattern}')")
+        if rule.class_pattern:
+            tests.append(f"regexp_matches(cls, '{rule.class_pattern}')")
+        if rule.text_pattern:
+            tests.append(f"regexp_matches(msg, '{rule.text_pattern}')")
         parts.append(
-            f"SELECT doc_id, '{rule.id}' AS rule_id, '{rule.severity}' AS severity, "
-            f"'{rule.message}' AS probable_cause FROM d WHERE {' AND '.join(tests)}"
+            f"SELECT doc_id, '{rule.rule_id}' AS rule_id, 'DIAG-' || upper(replace('{rule.rule_id}', '.', '-')) AS code, '{rule.severity}' AS severity, "
+            f"'{rule.cause}' AS probable_cause FROM d WHERE {' AND '.join(tests)}"
         )
     return f"WITH d AS (SELECT doc_id, {_CLASSES} AS cls, {_REPORT} AS msg FROM documents) " + " UNION ALL ".join(parts)
 
@@ -542,7 +542,7 @@ def _diagnoses():
 @query("d10_diagnose", _diagnoses())
 def d10_diagnose(spark, sf):
     logs = table(spark, sf, "documents").selectExpr("doc_id", f"{_CLASSES} AS cls", f"{_REPORT} AS msg")
-    return observe.diagnose(logs, "msg", "cls").select("doc_id", "rule_id", "severity", "probable_cause")
+    return observe.diagnose(logs, "msg", "cls").select("doc_id", "rule_id", "code", "severity", "probable_cause")
 
 
 # The retail flow, traced.

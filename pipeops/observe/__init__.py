@@ -1,4 +1,4 @@
-from .diagnosis import DEFAULT_RULES, DiagnosticRule, diagnose
+from .diagnosis import DEFAULT_RULES, Rule, diagnose, rules_from
 from .logs import attribute_log_lines
 from .profiles import profile, profile_diff, top_values
 from .progress import streaming_progress
@@ -18,7 +18,8 @@ from .trace import Trace
 
 __all__ = [
     "DEFAULT_RULES",
-    "DiagnosticRule",
+    "Rule",
+    "rules_from",
     "Trace",
     "attribute_log_lines",
     "diagnose",

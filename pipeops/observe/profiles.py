@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, MapType, NumericType
 
-# More columns than this are counted approximately unless the caller decides.
-EXACT_COLUMNS = 16
 # The metrics two profiles are compared by.
 COMPARED = ("count", "null_count", "distinct_count", "min", "max")
 
@@ -26,19 +24,18 @@ def profile(
     df: DataFrame,
     columns: Sequence[str] = (),
     include_sensitive: bool = True,
-    approx: bool | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """One row per column, from one aggregate over one scan: row count, nulls, distinct
     non-null values, and for numbers min, max, mean and population stddev.
 
     ``include_sensitive=False`` leaves the value-bearing metrics out. Exact distinct
-    counts shuffle every distinct value; ``approx=True`` uses a sketch instead (the
-    default above 16 columns), as the column ``distinct_exact`` tells.
+    counts shuffle every distinct value; ``approx=True`` uses a sketch instead, as the
+    column ``distinct_exact`` tells.
     """
     names = _chosen(df, columns)
     if not names:
         raise ValueError("nothing to profile")
-    rough = len(names) > EXACT_COLUMNS if approx is None else approx
     types = {f.name: f.dataType for f in df.schema.fields}
     parts: list[Column] = [F.count(F.lit(1)).alias("__n")]
     rows: list[Column] = []
@@ -47,7 +44,7 @@ def profile(
         value = _comparable(column, types[name])
         parts.append(F.count(column).alias(f"__p{i}"))
         parts.append(
-            (F.approx_count_distinct(value) if rough else F.count_distinct(value)).alias(f"__d{i}")
+            (F.approx_count_distinct(value) if approx else F.count_distinct(value)).alias(f"__d{i}")
         )
         if numeric and include_sensitive:
             parts += [
@@ -61,7 +58,7 @@ def profile(
             F.col("__n").alias("count"),
             (F.col("__n") - F.col(f"__p{i}")).alias("null_count"),
             F.col(f"__d{i}").alias("distinct_count"),
-            F.lit(not rough).alias("distinct_exact"),
+            F.lit(not approx).alias("distinct_exact"),
         ]
         if include_sensitive:
             for metric, prefix in (("min", "min"), ("max", "max"), ("mean", "avg"), ("stddev", "std")):

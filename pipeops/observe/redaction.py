@@ -93,11 +93,13 @@ def redact(
     columns: Sequence[str],
     secrets: Mapping[str, str] | None = None,
     patterns: Sequence[str] = ("assignment", "credential"),
-    min_length: int = 8,
+    min_length: int = 1,
     matched: str | None = None,
 ) -> DataFrame:
     """Redact text columns: registered secret values first, then the patterns in order.
 
+    Every registered value that is not empty is redacted; ``min_length`` can leave short ones.
+
     ``matched`` names a column for the sorted names of the secrets found in the row.
     Row-local; nothing is shuffled.
     """

@@ -20,7 +20,7 @@ def sort(df: DataFrame, expressions: Sequence, spread_ties: Sequence = ()) -> Da
     return df.sort(*sort_keys([*expressions, *spread_ties]))
 
 
-def limit(df: DataFrame, count: int = 100) -> DataFrame:
+def limit(df: DataFrame, count: int) -> DataFrame:
     """The first rows; after :func:`sort` a top-k that needs no full sort."""
     if count < 0:
         raise ValueError("count must not be negative")

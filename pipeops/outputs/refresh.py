@@ -72,12 +72,19 @@ def _refresh_stream(
     generations = committed(spark, f"{home}/generations", "generation")
     current = generations[-1] if generations else 0
     number = current + 1 if anew and generations else current
+    home_table, checkpoint = f"{home}/tables/{number}", f"{home}/checkpoints/{number}"
+    if number == current:
+        streaming_table(df, dataset.name, checkpoint, home_table)
+    else:
+        # The new generation is built under a passing name; only when it is complete does
+        # the dataset's own name move to it, so a failure leaves the old one in place.
+        passing = f"{dataset.name}__{number}"
+        spark.sql(f"DROP TABLE IF EXISTS {passing}")
+        streaming_table(df, passing, checkpoint, home_table)
+        spark.sql(f"DROP TABLE IF EXISTS {passing}")
+        spark.sql(f"DROP TABLE IF EXISTS {dataset.name}")
+        streaming_table(df, dataset.name, checkpoint, home_table)
     if number != current or not generations:
-        # A marker per generation, so that a new session finds the current one.
+        # A marker per generation, written last, so that a new session finds the current one.
         marker = spark.range(1).selectExpr(f"{number} AS generation")
         marker.write.mode("overwrite").parquet(f"{home}/generations/generation={number}")
-    if number != current:
-        spark.sql(f"DROP TABLE IF EXISTS {dataset.name}")
-    streaming_table(
-        df, dataset.name, f"{home}/checkpoints/{number}", f"{home}/tables/{number}"
-    )

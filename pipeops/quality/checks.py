@@ -85,32 +85,40 @@ def check_columns(df: DataFrame, checks: Sequence[Mapping]) -> DataFrame:
 
 
 def apply_column_rule(
-    df: DataFrame, condition: str | Column, column: str | None = None, action: str = "warn"
+    df: DataFrame,
+    condition: str | Column,
+    column: str | None = None,
+    action: str = "warn",
+    seen: Observation | str = "column_rule",
 ) -> DataFrame:
     """Act on a rule inside the data flow, for batches and streams: ``warn`` passes all
     rows on, ``drop`` leaves out those that break it, ``fail`` makes the query fail.
+
+    A warning is an observed metric: ``checked`` and ``failed`` come out under ``seen``
+    when the query ends, to an :class:`Observation` or to listeners and progress reports.
     """
     if action not in ACTIONS:
         raise ValueError(f"action must be one of {', '.join(ACTIONS)}")
     held = predicate(condition, column)
     if action == "warn":
-        return df
+        return _counted(df, seen, held)
     if action == "drop":
         return df.where(held)
     message = F.lit(f"rule failed: {condition if isinstance(condition, str) else 'expression'}")
     return df.where(F.when(held, True).otherwise(F.raise_error(message).cast("boolean")))
 
 
+def _counted(df: DataFrame, seen: Observation | str, held: Column) -> DataFrame:
+    return df.observe(seen, F.count(F.lit(1)).alias("checked"), F.count_if(~held).alias("failed"))
+
+
 def observe_rule(
     df: DataFrame, name: str, condition: str | Column, column: str | None = None
 ) -> tuple[DataFrame, Observation]:
     """Count rows and rule breaks while the data passes through to some other action."""
     seen = Observation(name)
     held = predicate(condition, column)
-    counted = df.observe(
-        seen, F.count(F.lit(1)).alias("checked"), F.count_if(~held).alias("failed")
-    )
-    return counted, seen
+    return _counted(df, seen, held), seen
 
 
 def uniqueness_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not str(spark.conf.get("spark.master", "")).startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", str(spark.conf.get("spark.master", ""))):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     global _LOCAL_ROOT
     if _LOCAL_ROOT is None:

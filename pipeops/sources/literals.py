@@ -31,8 +31,13 @@ def constant(
 def with_constants(df: DataFrame, *single_rows: DataFrame) -> DataFrame:
     """Add the columns of single-row sources to every row.
 
-    Each of them is cut to one row, which bounds the broadcast.
+    A source of several rows, or of none, fails the query: one aggregate brings it to the
+    single row that is broadcast.
     """
     for row in single_rows:
-        df = df.crossJoin(F.broadcast(row.limit(1)))
+        held = row.agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("*")).alias("only"))
+        one = F.when(F.col("n") == 1, F.col("only")).otherwise(
+            F.raise_error(F.concat(F.lit("a single row is needed, found "), F.col("n").cast("string"))).cast(held.schema["only"].dataType)
+        )
+        df = df.crossJoin(F.broadcast(held.select(one.alias("only")).select("only.*")))
     return df

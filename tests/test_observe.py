@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pipeops import observe, outputs, plans
-from pipeops.observe import DEFAULT_RULES, DiagnosticRule
+from pipeops.observe import DEFAULT_RULES, Rule
 
 
 def by(df, *keys):
@@ -290,12 +290,8 @@ def test_diagnosis(spark):
     ]
     df = spark.createDataFrame(rows, "n int, cls string, msg string")
 
-    def found(**limits):
-        return sorted((r["n"], r["rule_id"]) for r in observe.diagnose(df, "msg", "cls", **limits).collect())
-
-    first = [(1, "spark.analysis.unresolved-column"), (2, "spark.kubernetes-image-pull")]
-    assert found() == [*first, (4, "spark.streaming-checkpoint")]
-    assert found(message_chars=10_000, class_chars=500) == first
+    got = sorted((r["n"], r["rule_id"]) for r in observe.diagnose(df, "msg", "cls").collect())
+    assert got == [(1, "spark.analysis.unresolved-column"), (2, "spark.kubernetes-image-pull"), (4, "spark.streaming-checkpoint")]
 
 
 def test_every_rule_has_advice():
@@ -305,8 +301,17 @@ def test_every_rule_has_advice():
 
 def test_own_rules(spark):
     df = spark.createDataFrame([("a\nfoo bar",)], "message string")
-    rule = DiagnosticRule("mine", "found", log_pattern=".*foo.*", severity="warning")
-    assert observe.diagnose(df, rules=[rule]).first()["severity"] == "warning"
+    rules = observe.rules_from([
+        {"rule_id": "mine", "text_pattern": ".*foo.*", "severity": "warning"},
+        {"rule_id": "a.dot", "text_pattern": r"foo\.*", "checks": ["look"]},
+        {"rule_id": "lazy", "cause": "found", "text_pattern": ".*?bar"},
+        {"rule_id": "none", "text_pattern": r"foo\.bar"},
+    ])
+    got = [(r["rule_id"], r["code"], r["severity"], r["probable_cause"], r["checks"]) for r in observe.diagnose(df, rules=rules).collect()]
+    assert got == [("mine", "DIAG-MINE", "warning", "mine", []), ("a.dot", "DIAG-A-DOT", "error", "a.dot", ["look"]), ("lazy", "DIAG-LAZY", "error", "found", [])]
+    for wrong in ([{"cause": "x"}], ["x"], [{"rule_id": "x", "pattern": "y"}], [{"rule_id": "x", "text_pattern": 3}], [{"rule_id": "x", "checks": [1]}]):
+        with pytest.raises(ValueError):
+            observe.rules_from(wrong)
 
 
 # Trace
@@ -355,12 +360,14 @@ def test_every_row_of_a_filter_is_accounted_for(spark):
 def test_redact_text(spark):
     text = "token=abc;x password: hunter2, Bearer xyz and api_key = k1 and MYLONGSECRET"
     df = spark.createDataFrame([(text,), (None,), ("plain",)], "t string")
-    out = observe.redact(df, ["t"], {"s": "MYLONGSECRET", "short": "and"}, matched="m").collect()
+    out = observe.redact(df, ["t"], {"s": "MYLONGSECRET", "short": "k1", "none": ""}, matched="m").collect()
     assert out[0]["t"] == (
         "token=***REDACTED***;x password: ***REDACTED***, Bearer ***REDACTED*** "
         "and api_key = ***REDACTED*** and ***REDACTED***"
     )
-    assert out[0]["m"] == ["s"] and out[1]["t"] is None and out[2]["t"] == "plain"
+    assert out[0]["m"] == ["s", "short"] and out[1]["t"] is None and out[2]["t"] == "plain"
+    five = observe.redact(spark.createDataFrame([("see ab12z there",)], "t string"), ["t"], {"five": "ab12z"})
+    assert "ab12z" not in five.first()["t"]
 
 
 def test_redaction_counts(spark):
@@ -405,6 +412,30 @@ def test_plan_nodes_of_a_real_plan(spark):
     assert nodes.where("normalized rlike '#[0-9]'").count() == 0
 
 
+def test_every_line_of_a_plan_tree_is_a_node(spark):
+    from catalog import plan_texts
+
+    for text in (plan_texts.JOINED, plan_texts.WINDOWED, plan_texts.UNITED):
+        df = spark.createDataFrame([("r", text)], "run string, text string")
+        nodes = plans.plan_nodes(df, ["run"]).collect()
+        trees = [part.split("\n")[1:] for part in text.split("\n\n")]
+        trees[1] = trees[1][1:]  # the column types of the analyzed plan
+        lines = [line for tree in trees for line in tree if "== " not in line]
+        assert [n["raw"] for n in nodes] == [line.rstrip() for line in lines]
+        marks = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        assert [n["depth"] * 3 for n in nodes] == marks
+    joined = plans.plan_nodes(spark.createDataFrame([("r", plan_texts.JOINED)], "run string, text string"), ["run"])
+    physical = [(n["operator"], n["depth"], n["join_strategy"], n["partitioning"]) for n in joined.where("phase = 'physical'").collect()]
+    assert ("SortMergeJoin", 5, "sort_merge", None) in physical and physical.count(("Exchange", 7, None, 8)) == 2
+    assert sum(o == "FileScan" for o, *_ in physical) == 2 and sum(o == "HashAggregate" for o, *_ in physical) == 2
+
+
+@pytest.mark.parametrize("how,count", [("hashpartitioning(coalesce(a#1, 0), 200)", 200), ("RoundRobinPartitioning(8)", 8), ("rangepartitioning(a#1 ASC NULLS FIRST, 50)", 50), ("SinglePartition", 1)])
+def test_partition_counts(spark, how, count):
+    df = spark.createDataFrame([("r", f"Exchange {how}, REPARTITION_BY_NUM, [plan_id=7]")], "run string, text string")
+    assert plans.plan_nodes(df, ["run"]).first()["partitioning"] == count
+
+
 def test_plan_details_and_changes(spark):
     before = "== Physical Plan ==\nSort [id#1]\n+- Exchange hashpartitioning(id#1, 200), [id=12]\n   +- Filter x"
     after = "== Physical Plan ==\nSort [id#7]\n+- Exchange hashpartitioning(id#7, 50), [id=99]"

@@ -154,3 +154,15 @@ def test_custom_must_return_a_dataframe(spark):
     with pytest.raises(ValueError):
         ops.custom(spark.range(1), lambda df: 1)
     assert ops.custom(spark.range(3), lambda df: df.where(F.col("id") > 0)).count() == 2
+
+
+def test_single_row_sources_of_other_sizes_fail(spark):
+    from pyspark.errors import PySparkException
+
+    from pipeops import sources
+
+    two = spark.createDataFrame([(1,), (2,)], "p int")
+    assert sources.with_constants(spark.range(3), two.limit(1)).count() == 3
+    for wrong in (two, two.limit(0)):
+        with pytest.raises(PySparkException, match="a single row is needed"):
+            sources.with_constants(spark.range(3), wrong).collect()

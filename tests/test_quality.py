@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 
 from pipeops import quality
 
@@ -73,7 +74,9 @@ def test_schema_contract(spark):
 
 def test_column_rule_actions(spark):
     df = spark.createDataFrame([(1,), (None,)], "id int")
-    assert quality.apply_column_rule(df, "not_null", "id", "warn").count() == 2
+    seen = Observation("warned")
+    assert len(quality.apply_column_rule(df, "not_null", "id", "warn", seen).collect()) == 2
+    assert seen.get == {"checked": 2, "failed": 1}
     assert quality.apply_column_rule(df, "not_null", "id", "drop").count() == 1
     with pytest.raises(PySparkException, match="rule failed"):
         quality.apply_column_rule(df, "not_null", "id", "fail").collect()
