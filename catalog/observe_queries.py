@@ -592,10 +592,12 @@ def d11_trace_report(spark, sf):
     f"""{_TRACE} SELECT 'orders:' || o_orderkey AS trace_id, 'finished' AS step, 'filter' AS type
                 FROM orders WHERE o_orderstatus <> 'F'
         UNION ALL SELECT 'orders:' || o_orderkey, 'with_customer', 'join' FROM f
-                  WHERE o_custkey NOT IN (SELECT c_custkey FROM r)""",
+                  WHERE o_custkey NOT IN (SELECT c_custkey FROM r)
+        UNION ALL SELECT 'customers:' || c_custkey, 'with_customer', 'join' FROM r
+                  WHERE c_custkey NOT IN (SELECT o_custkey FROM f)""",
 )
 def d11_trace_fates(spark, sf):
-    """Which step dropped which order."""
+    """Which step dropped which order or customer."""
     return _totals(spark, sf).fates()
 
 
@@ -610,21 +612,12 @@ def d11_trace_join(spark, sf):
 
 @query(
     "d11_trace_aggregate",
-    f"""{_TRACE}, k AS (SELECT c_mktsegment, 'orders:' || o_orderkey AS o, 'customers:' || c_custkey AS c FROM j),
-        n AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o, c) AS rn,
-                     count(*) OVER (PARTITION BY c_mktsegment) AS orders FROM k)
-        SELECT c_mktsegment, orders, string_agg(o, ',' ORDER BY rn) AS order_ids, orders > 3 AS trace_overflow
-        FROM n WHERE rn <= 3 GROUP BY c_mktsegment, orders""",
+    f"""{_TRACE} SELECT 'by_segment:' || c_mktsegment AS group_id, 'orders:' || o_orderkey AS trace_id FROM j
+        UNION ALL SELECT 'by_segment:' || c_mktsegment, 'customers:' || c_custkey FROM j""",
 )
 def d11_trace_aggregate(spark, sf):
-    """Each group names its first three contributing rows and says whether there are more."""
-    lineage = _totals(spark, sf).lineage()
-    return lineage.selectExpr(
-        "c_mktsegment",
-        "orders",
-        "array_join(filter(trace_ids, i -> startswith(i, 'orders')), ',') AS order_ids",
-        "trace_overflow",
-    )
+    """Every row that went into each group."""
+    return _totals(spark, sf).contributions().select("group_id", "trace_id")
 
 
 @query(

@@ -1,9 +1,10 @@
 """Row lineage: operators that carry the ids of the source rows along.
 
 A :class:`Trace` holds a DataFrame with hidden columns: ``__trace``, the ids of the
-source rows a row comes from; ``__ordinal``, its position in the last exploded
-collection; ``__overflow``, whether contributing rows were left out of the ids.
-Ids are built from key columns, so they are the same in every plan and every run.
+rows a row comes from (one per joined source); ``__ordinal``, its position in the last
+exploded collection; ``__overflow``, whether its lineage is not known.
+Ids are built from key columns, so they are the same in every plan and every run. A group
+has an id of its own, and a table of edges with a row per contribution, however many.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from pipeops.operators import joins, shaping
 from pipeops.operators.aggregates import ROW_COUNT
 
 HIDDEN = ("__trace", "__ordinal", "__overflow")
-# Fixed value: how many contributing rows an aggregated row names.
-CONTRIBUTIONS = 3
 
 
 @dataclass(frozen=True)
@@ -31,12 +30,17 @@ class Step:
     inputs: tuple[DataFrame, ...]
     output: DataFrame
     known: bool
-    dropped: DataFrame | None = None
+    dropped: tuple[DataFrame, ...] = ()
+    edges: DataFrame | None = None
 
 
-def _ids(source: str, keys: Sequence[str]) -> Column:
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]
-    return F.concat_ws(":", F.lit(source), *parts)
+def _ids(source: str, keys: Sequence[Column]) -> Column:
+    """The source's name and its keys, split by colons; those within a key are escaped, and null is ``\\N``."""
+    def part(key: Column) -> Column:
+        text = key.cast("string")
+        return F.coalesce(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")), F.lit("\\N"))
+
+    return F.concat_ws(":", F.lit(source), *[part(k) for k in keys])
 
 
 def _visible(df: DataFrame) -> list[str]:
@@ -57,7 +61,7 @@ class Trace:
             raise ValueError("a trace needs key columns to name its rows by")
         traced = df.select(
             "*",
-            F.array(_ids(name, keys)).alias("__trace"),
+            F.array(_ids(name, [F.col(k) for k in keys])).alias("__trace"),
             F.lit(None).cast("int").alias("__ordinal"),
             F.lit(False).alias("__overflow"),
         )
@@ -68,23 +72,24 @@ class Trace:
         name: str,
         kind: str,
         output: DataFrame,
-        dropped: DataFrame | None = None,
+        dropped: Sequence[DataFrame] = (),
         others: Sequence[Trace] = (),
         known: bool = True,
+        edges: DataFrame | None = None,
     ) -> Trace:
         inputs = (self.df, *[o.df for o in others])
         known = known and self.known and all(o.known for o in others)
         earlier = list(self.steps)
         for other in others:
             earlier += [s for s in other.steps if all(s is not e for e in earlier)]
-        step = Step(name, kind, inputs, output, known, dropped if known else None)
+        step = Step(name, kind, inputs, output, known, tuple(dropped) if known else (), edges)
         return Trace(output, (*earlier, step), known)
 
     # Row-local steps keep the ids as they are.
 
     def filter(self, expression: str | Column, name: str = "filter") -> Trace:
         held = F.coalesce(as_column(expression), F.lit(False))
-        return self._next(name, "filter", self.df.where(held), self.df.where(~held))
+        return self._next(name, "filter", self.df.where(held), [self.df.where(~held)])
 
     def select(self, columns: Sequence, name: str = "select") -> Trace:
         wanted = [c for c in _visible(self.df)] if list(columns) == ["*"] else list(columns)
@@ -107,7 +112,7 @@ class Trace:
         """Copies of a row share its ids and differ in ``__ordinal``."""
         out = shaping.posexplode(self.df.drop("__ordinal"), column, target, "__ordinal", outer)
         none = F.coalesce(F.size(F.col(column)), F.lit(0)) <= 0
-        return self._next(name, "explode", out, None if outer else self.df.where(none))
+        return self._next(name, "explode", out, [] if outer else [self.df.where(none)])
 
     def output(self, name: str = "output") -> Trace:
         return self._next(name, "output", self.df)
@@ -115,7 +120,7 @@ class Trace:
     # Steps that move rows.
 
     def join(self, other: Trace, condition: str, how: str = "inner", name: str = "join") -> Trace:
-        """A joined row has the ids of both sides."""
+        """A joined row has the ids of both sides; rows of either that find no partner and do not go on are lost."""
         out = joins.join(self.df, other.df, condition, how)
         if "right___trace" in out.columns:
             nothing = F.array().cast("array<string>")
@@ -129,11 +134,14 @@ class Trace:
                 | F.coalesce("right___overflow", F.lit(False)),
             }
             out = out.withColumns(both).drop(*[f"right_{h}" for h in HIDDEN])
-        lost = None
+        lost = []
         if how in ("inner", "left_semi", "semi", "right", "right_outer"):
-            lost = joins.join(self.df, other.df, condition, "left_anti")
+            lost.append(joins.join(self.df, other.df, condition, "left_anti"))
         elif how in ("left_anti", "anti"):
-            lost = joins.join(self.df, other.df, condition, "left_semi")
+            lost.append(joins.join(self.df, other.df, condition, "left_semi"))
+        if how in ("inner", "left", "left_outer"):
+            met = joins.join(self.df, other.df, condition, "right").where("__trace IS NULL")
+            lost.append(met.select(F.col("right___trace").alias("__trace")))
         return self._next(name, "join", out, lost, [other])
 
     def aggregate(
@@ -142,32 +150,25 @@ class Trace:
         aggregations: Sequence[Mapping[str, str]] = ROW_COUNT,
         name: str = "aggregate",
     ) -> Trace:
-        """A group has the ids of its first three contributing rows, and ``__overflow``
-        when there are more. Only three rows per group and task are shuffled for it.
+        """A group has one id, of this step's name and its keys; :meth:`contributions` has
+        an edge for every row that went into it. Making edges shuffles nothing.
         """
         keys = list(group_by)
         keyed = self.df.withColumn("__key", key_struct(keys) if keys else F.struct(F.lit(1)))
         grouped = keyed.groupBy("__key").agg(
             *[as_column(a["expression"]).alias(a["alias"]) for a in aggregations],
-            F.count(F.lit(1)).alias("__n"),
             F.max("__overflow").alias("__more"),
         )
-        by_id = Window.partitionBy("__key").orderBy("__trace", "__ordinal")
-        first = (
-            keyed.select("__key", "__trace", F.row_number().over(by_id).alias("__rank"))
-            .where(F.col("__rank") <= CONTRIBUTIONS)
-            .groupBy("__key")
-            .agg(F.array_sort(F.collect_list(F.struct("__rank", "__trace"))).alias("__first"))
-        )
-        ids = F.flatten(F.transform("__first", lambda r: r["__trace"]))
-        out = grouped.join(first, "__key").select(
+        group = _ids(name, [F.col(f"__key.k{i}") for i in range(len(keys))])
+        out = grouped.select(
             *[F.col(f"__key.k{i}").alias(k) for i, k in enumerate(keys)],
             *[a["alias"] for a in aggregations],
-            F.array_distinct(ids).alias("__trace"),
+            F.array(group).alias("__trace"),
             F.lit(None).cast("int").alias("__ordinal"),
-            ((F.col("__n") > CONTRIBUTIONS) | F.col("__more")).alias("__overflow"),
+            F.coalesce("__more", F.lit(False)).alias("__overflow"),
         )
-        return self._next(name, "aggregate", out)
+        edges = keyed.select(F.lit(name).alias("step"), group.alias("group_id"), F.explode("__trace").alias("trace_id"))
+        return self._next(name, "aggregate", out, edges=edges)
 
     def custom(self, fn: Callable[[DataFrame], DataFrame], name: str = "custom") -> Trace:
         """After a user function the lineage is unknown. It sees no hidden columns."""
@@ -187,7 +188,7 @@ class Trace:
         return self.df.select(*_visible(self.df))
 
     def lineage(self) -> DataFrame:
-        """The result with ``trace_ids``, ``trace_ordinal`` and ``trace_overflow``."""
+        """The result with ``trace_ids``, ``trace_ordinal`` and ``trace_overflow`` (lineage not known)."""
         return self.df.select(
             *_visible(self.df),
             F.col("__trace").alias("trace_ids"),
@@ -228,22 +229,41 @@ class Trace:
     def _feeding(self, step: Step) -> list[int]:
         return [i for d in step.inputs for i, s in enumerate(self.steps) if s.output is d]
 
+    def contributions(self) -> DataFrame:
+        """``(step, group_id, trace_id)``: an edge from every group to each row it was made of.
+
+        A row that came in several copies (by an explosion or a join) has an edge for each.
+        """
+        edges = [s.edges for s in self.steps if s.edges is not None]
+        if not edges:
+            nothing = self.df.select(*[F.lit("").alias(c) for c in ("step", "group_id", "trace_id")])
+            return nothing.where("false")
+        return reduce(DataFrame.unionByName, edges)
+
     def fates(self) -> DataFrame:
         """The source ids that did not go on, with the step that dropped them:
-        ``(trace_id, step, type)``. Ids of rows in no row here reached the end, a group
-        or a step of unknown lineage.
+        ``(trace_id, step, type)``. A lost group counts for all rows it was made of.
+        Ids in no row here reached the end or a step of unknown lineage.
         """
         lost = [
-            s.dropped.select(
+            dropped.select(
                 F.explode("__trace").alias("trace_id"),
                 F.lit(s.name).alias("step"),
                 F.lit(s.kind).alias("type"),
             )
             for s in self.steps
-            if s.dropped is not None
+            for dropped in s.dropped
         ]
         if not lost:
             return self.df.select(
                 F.explode("__trace").alias("trace_id"), F.lit("").alias("step"), F.lit("").alias("type")
             ).where("false")
-        return reduce(DataFrame.unionByName, lost)
+        found = reduce(DataFrame.unionByName, lost)
+        # Groups may hold groups: the later steps' edges are followed first.
+        for s in reversed(self.steps):
+            if s.edges is not None:
+                edge = s.edges.select(F.col("group_id").alias("trace_id"), F.col("trace_id").alias("__from"))
+                found = found.join(edge, "trace_id", "left").select(
+                    F.coalesce("__from", "trace_id").alias("trace_id"), "step", "type"
+                )
+        return found

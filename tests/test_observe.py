@@ -323,9 +323,31 @@ def test_aggregate_trace(spark):
         ["kind"], [{"expression": "sum(amount)", "alias": "total"}]
     )
     got = by(trace.lineage(), "kind")
-    assert (got["a"]["total"], got["a"]["trace_overflow"]) == (10, True)
-    assert got["a"]["trace_ids"] == ["rows:1", "rows:2", "rows:3"]
-    assert (got["b"]["total"], got["b"]["trace_overflow"], got["b"]["trace_ids"]) == (5, False, ["rows:5"])
+    assert {k: (r["total"], r["trace_ids"]) for k, r in got.items()} == {"a": (10, ["aggregate:a"]), "b": (5, ["aggregate:b"])}
+    edges = sorted(tuple(r) for r in trace.contributions().collect())
+    assert edges == [("aggregate", f"aggregate:{k}", f"rows:{n}") for k, n in (("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 5))]
+
+
+def test_ids_do_not_collide(spark):
+    rows = [("a:b", "c"), ("a", "b:c"), (None, "null"), ("null", None), ("\\N", "x"), (None, "x"), ("a\\", ":b"), ("a\\:", "b")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    ids = [r["trace_ids"][0] for r in observe.Trace.start(df, ["p", "q"], "s").lineage().collect()]
+    assert len(set(ids)) == len(rows)
+
+
+def test_a_dropped_group_loses_all_its_rows(spark):
+    df = spark.createDataFrame([(i, "big" if i < 10 else "small") for i in range(12)], "id int, kind string")
+    per_kind = observe.Trace.start(df, ["id"], "s").aggregate(["kind"], [{"expression": "count(*)", "alias": "n"}], "kinds")
+    kept = per_kind.filter("n < 5", "rare").aggregate([], [{"expression": "sum(n)", "alias": "n"}], "all").filter("n > 100", "none")
+    fates = sorted(tuple(r) for r in kept.fates().collect())
+    assert fates == sorted([(f"s:{i}", "rare", "filter") for i in range(10)] + [("s:10", "none", "filter"), ("s:11", "none", "filter")])
+
+
+@pytest.mark.parametrize("how,lost", [("inner", ["left:1", "right:3"]), ("left", ["right:3"]), ("right", ["left:1"]), ("full", []), ("left_semi", ["left:1"]), ("left_anti", ["left:2"])])
+def test_fates_of_both_sides(spark, how, lost):
+    left = observe.Trace.start(spark.createDataFrame([(1,), (2,)], "id int"), ["id"], "left")
+    right = observe.Trace.start(spark.createDataFrame([(2,), (3,)], "id int"), ["id"], "right")
+    assert sorted(r["trace_id"] for r in left.join(right, "left.id = right.id", how).fates().collect()) == lost
 
 
 def test_join_then_aggregate_trace(spark):
@@ -333,8 +355,8 @@ def test_join_then_aggregate_trace(spark):
     right = observe.Trace.start(spark.createDataFrame([(2,), (3,)], "id int"), ["id"], "right")
     joined = left.join(right, "left.id = right.id").aggregate(["id"], [{"expression": "count(*)", "alias": "n"}])
     assert [tuple(r) for r in joined.rows().collect()] == [(2, 1)]
-    assert joined.lineage().first()["trace_ids"] == ["left:2", "right:2"]
-    assert [r["trace_id"] for r in joined.fates().collect()] == ["left:1"]
+    assert sorted(r["trace_id"] for r in joined.contributions().collect()) == ["left:2", "right:2"]
+    assert sorted(r["trace_id"] for r in joined.fates().collect()) == ["left:1", "right:3"]
 
 
 def test_custom_boundary_is_unknown(spark):
