@@ -380,3 +380,23 @@ def f_dataframe_methods(spark, sf):
         return totals.union(rest).orderBy(F.col("total_size").desc(), F.col("brand").asc()).limit(10)
 
     return ops.custom(table(spark, sf, "part"), block)
+
+
+@query(
+    "f_dataframe_names",
+    """SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts,
+              CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS numbers, l_returnflag || '!' AS marked
+       FROM lineitem GROUP BY l_returnflag""",
+)
+def f_dataframe_names(spark, sf):
+    """Functions by their names in the DataFrame API."""
+    counts = {
+        "suppliers": F.count_distinct(F.col("l_suppkey")),
+        "parts": F.countDistinct(F.col("l_partkey")),
+        "numbers": F.sum_distinct(F.col("l_linenumber")),
+    }
+    totals = ops.aggregate(
+        table(spark, sf, "lineitem"), ["l_returnflag"], [{"expression": e, "alias": n} for n, e in counts.items()]
+    )
+    marks = F.create_map(F.lit("k"), F.concat("l_returnflag", F.lit("!")))
+    return ops.derive(totals, "marked", F.element_at(marks, "k"))

@@ -125,7 +125,7 @@ _SQL_SHAPES = {
           SELECT 1 FROM {orders} AS o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""",
     "not_in": """
         SELECT s_suppkey FROM {supplier} WHERE s_suppkey NOT IN (
-          SELECT l_suppkey FROM {lineitem} WHERE l_quantity = 50 AND l_suppkey IS NOT NULL)""",
+          SELECT l_suppkey FROM {lineitem} WHERE l_quantity = 50 AND l_discount = 0.1 AND l_returnflag = 'A' AND l_suppkey IS NOT NULL)""",
     "grouping_sets": """
         SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g, count(*) AS n
         FROM {lineitem} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())""",
