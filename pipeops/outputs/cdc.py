@@ -6,19 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType, VariantType
+from pyspark.sql.types import MapType, StructField, StructType, VariantType
 
 from pipeops.files import committed
 from pipeops.functions import as_column, predicate
 from pipeops.operators.aggregates import latest_per_key
 
 
+def _sortable(field: StructField) -> Column:
+    """The column, or for types without an order a text that has one."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.to_json(e))
+        return F.array_join(F.sort_array(entries), ",")
+    return F.to_json(column) if isinstance(field.dataType, VariantType) else column
+
+
 def _ordered(schema: StructType, taken: Sequence[str]) -> list[Column]:
-    return [
-        F.col(f"`{field.name}`").desc_nulls_last()
-        for field in schema.fields
-        if field.name not in taken and not isinstance(field.dataType, MapType | VariantType)
-    ]
+    return [_sortable(field).desc_nulls_last() for field in schema.fields if field.name not in taken]
 
 
 def _latest(

@@ -166,3 +166,13 @@ def test_single_row_sources_of_other_sizes_fail(spark):
     for wrong in (two, two.limit(0)):
         with pytest.raises(PySparkException, match="a single row is needed"):
             sources.with_constants(spark.range(3), wrong).collect()
+
+
+def test_change_feed_ties_in_maps_and_variants(spark):
+    from pipeops import outputs
+
+    rows = [(1, 5, {"a": "x", "b": "y"}, '{"v": 1}'), (1, 5, {"b": "z", "a": "x"}, '{"v": 1}'), (2, 5, None, '{"v": 1}'), (2, 5, None, '{"v": 2}')]
+    feed = spark.createDataFrame(rows, "k int, s int, m map<string,string>, v string").withColumn("v", F.parse_json("v"))
+    for df in (feed, feed.repartition(4), feed.coalesce(1)):
+        got = {r["k"]: (r["m"], r["t"]) for r in outputs.cdc_scd1(df, ["k"], "s").withColumn("t", F.to_json("v")).drop("v").collect()}
+        assert got == {1: ({"a": "x", "b": "z"}, '{"v":1}'), 2: (None, '{"v":2}')}
