@@ -31,7 +31,7 @@ BUCKETS = 1 << 12
 #: Ranges of each statistic.
 BINS = 12
 #: Words whose bucket a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 STATISTICS = (
     "words", "word_length", "distinct_words", "commonest_word", "longest_run", "repeats", "upper", "digits", "symbols",
