@@ -6,7 +6,8 @@ such as ``token``. The forest judges each by
 * its length, the share of adjacent characters that change their class, and how usual its
   adjacent characters are in the corpus (mean logarithm over its transitions);
 * dictionary coverage: the share of its letters in parts that are words of the corpus, a word
-  being what at least ``word_docs`` documents hold;
+  being what at least ``word_docs`` distinct texts hold, and a share of ``WORD_SHARE`` of them,
+  as a token of letters only that is no value given to a secret's name;
 * its path: words such as test or example, depth and length;
 * the words beside it: names of secrets, names of harmless codes, an assignment, quotes.
 
@@ -40,6 +41,8 @@ _HARMLESS = "sha-?(?:1|256|512)?|md5|commit|checksum|digest|revision|uuid|isbn|i
 #: Characters of a token without an assigned name, at least.
 LEAST = 16
 WORD_DOCS = 5
+#: The share of the distinct texts that hold a word, at least: chance runs of letters grow with the corpus.
+WORD_SHARE = 1e-5
 TRAIN_ROWS = 4000
 FEATURES = (
     "length", "changes", "usual", "coverage", "distinct", "digit_share", "upper_share", "hex", "named", "assigned",
@@ -47,11 +50,21 @@ FEATURES = (
 )
 
 
-def words(docs: DataFrame, text_col: str, least_docs: int = WORD_DOCS) -> DataFrame:
-    """``word, docs``: runs of three or more letters, in lower case, that enough documents hold."""
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    found = docs.select(F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("word")).where(F.length("word").between(3, 40))
-    return found.groupBy("word").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+def words(docs: DataFrame, text_col: str, least_docs: int = WORD_DOCS, share: float = WORD_SHARE) -> DataFrame:
+    """``word, docs``: tokens of three or more letters, in lower case, that enough distinct texts hold.
+
+    Copies count once. A token with other key characters than letters is no word, nor is what a
+    secret's name is given, so a key never puts parts of itself into the dictionary.
+    """
+    pattern, trigger = PATTERNS["assigned"]
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    outside = F.when(F.col("text").rlike(trigger), F.regexp_replace("text", pattern, " ")).otherwise(F.col("text"))
+    held = F.filter(F.split(F.lower(outside), r"[^\p{L}\p{N}_+/=-]+"), lambda w: w.rlike(r"^\p{L}{3,40}$"))
+    # the empty word stands in every text once and counts them
+    found = texts.select(F.explode(F.array_union(held, F.array(F.lit("")))).alias("word"))
+    counted = stored(found.groupBy("word").agg(F.count("*").alias("docs")).where((F.col("docs") >= least_docs) | (F.col("word") == "")), "words")
+    total = counted.where("word = ''").agg(F.max("docs").alias("texts"))
+    return counted.where("word <> ''").join(F.broadcast(total), F.col("docs") >= F.col("texts") * share).drop("texts")
 
 
 def _classes(value: Column) -> Column:

@@ -84,3 +84,25 @@ def test_edge_rows(spark, edge_docs, no_docs):
     given = spark.createDataFrame([(None, None, None, None, 1), ("abc", "", "", "", None)], "value string, before string, after string, path string, label int")
     assert {r.probability for r in s.findings(more, labelled=given.limit(0)).collect()} == {0.5}
     assert {r.probability for r in s.findings(more, labelled=given).collect()} == {1.0}
+
+
+def test_a_copied_key_is_no_word(spark):
+    key = "aBcdEfgh1JKlmnoPq2RstuvWxyz3Abcdefg"
+    copy = f'the usual words of a page: api_key = "{key}" and password: "zyxwvu!abcdef"'
+    near = [f"page {i} has usual words, {copy}" for i in range(9)]
+    docs = spark.createDataFrame([(t,) for t in [copy] * 50 + ["only copies"] * 50 + near], "text string")
+    got = {r.word: r.docs for r in s.words(docs, "text").collect()}
+    assert got["usual"] == got["words"] == 10 and "copies" not in got
+    assert not set(got) & {"abcdefgh", "jklmnopq", "rstuvwxyz", "abcdefg", "zyxwvu", "abcdef"}
+    assert s.words(docs, "text", 1, 0.5).where("word = 'copies'").count() == 0
+
+
+def test_coverage_does_not_grow_with_copies(spark):
+    rnd = random.Random(5)
+    keys = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) + "7" for _ in range(20)]
+    rows = [(i, f'secret = "{k}"', "a") for i, k in enumerate(keys) for _ in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, found = s.candidates(docs)
+    described = s.described(found, s.words(docs, "text"), {})
+    got = described.withColumn("label", s.label()).collect()
+    assert {r.coverage for r in got} == {0.0} and 0.0 not in {r.label for r in got}
