@@ -1,7 +1,9 @@
 """Secrets by patterns, and a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of key characters that hold a digit, and quoted values given to a name
-such as ``token``. The forest judges each by
+Candidates are runs of key characters that hold a digit, without a ``NAME=`` before them, and
+values of any kind given to a name such as ``token``: quoted (up to the closing quote) or not (up
+to a blank, quote, bracket, comma, semicolon or ``&``, without full stops at the end). The forest
+judges each by
 
 * its length, the share of adjacent characters that change their class, and how usual its
   adjacent characters are in the corpus (mean logarithm over its transitions);
@@ -30,15 +32,21 @@ from pyspark.sql import functions as F
 from . import spans
 from .tables import stored
 
-_KEY = "A-Za-z0-9_+/=-"
+# '=' is a key character at the end of a run, as padding; between two runs it assigns
+_RUN = "A-Za-z0-9_+/-"
+_KEY = f"{_RUN}="
 _NAMES = "token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer"
+_NAMED = rf"(?i)(?:{_NAMES})(?:s|[_-]?[0-9]{{1,4}}|[_-][a-z0-9_-]{{1,32}})?+[\"'\])]{{0,2}}"
+_GIVEN = r"[\x20\t]{0,3}(?::[\x20\t]{0,3}[a-z][a-z0-9_.]{0,30}[\x20\t]{1,3}=(?=[\x20\t])|(?>:=|=>|={1,3}|:))[\x20\t]{0,3}+"
+#: A value in quotes, or one without (or whose quote is never closed on its line).
+_VALUE = r"(?:\"[^\"\r\n]++(?=\")|'[^'\r\n]++(?=')|[\"']?[^\s\"'`,;&<>(){}\[\]]+(?<!\.))"
 PATTERNS = {
-    "token": (rf"(?<![{_KEY}])[A-Za-z_+/=-]*+[0-9][{_KEY}]*+", r"[0-9]"),
-    "assigned": (rf"(?i)(?<=(?:{_NAMES})[\x20\t]{{0,3}}[=:][\x20\t]{{0,3}}[\"'])[^\"'\s]{{6,}}+(?=[\"'])", rf"(?i)(?:{_NAMES})[\x20\t]{{0,3}}[=:]"),
+    "token": (rf"(?<![{_RUN}])(?=[{_RUN}]{{16}}|[{_RUN}]{{1,15}}+=++(?![{_RUN}]))[A-Za-z_+/-]*+[0-9][{_RUN}]*+(?:=++(?![{_RUN}]))?+", r"[0-9]"),
+    "assigned": (_NAMED + _GIVEN + _VALUE, _NAMED + _GIVEN),
 }
 #: Names that stand before harmless codes.
 _HARMLESS = "sha-?(?:1|256|512)?|md5|commit|checksum|digest|revision|uuid|isbn|issn|doi|version|phone|card|invoice|order"
-#: Characters of a token without an assigned name, at least.
+#: Characters of a token without an assigned name, at least; the pattern says so, too.
 LEAST = 16
 WORD_DOCS = 5
 #: The share of the distinct texts that hold a word, at least: chance runs of letters grow with the corpus.
@@ -97,7 +105,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     both = docs.select(F.struct(F.col(id_col).alias("id"), path.alias("path")).alias("known"), F.col(text_col).alias("text"))
     table = spans.marked(both, "known", "text", PATTERNS, "secret-matches")
-    found = spans.rows(table, list(PATTERNS)).where((F.col("pattern") == "assigned") | (F.length("value") >= LEAST))
+    found = spans.rows(table, list(PATTERNS))
+    # an assignment is matched whole: its name, sign and opening quote belong to what stands before the value
+    given = F.when(F.col("pattern") == "assigned", F.regexp_extract("value", rf"^{_NAMED}{_GIVEN}[\"']?", 0)).otherwise("")
+    found = found.withColumn("given", given).withColumns({
+        "value": F.substring(F.col("value"), F.length("given") + 1, F.length("value")),
+        "start": F.col("start") + F.length("given"),
+        "before": F.right(F.concat("before", "given"), F.lit(spans.BEFORE)),
+    }).drop("given").where((F.col("pattern") == "assigned") | (F.length("value") >= LEAST))
     # a value found by both patterns is one candidate
     best = F.min_by(F.struct("value", "before", "after", "pattern"), "pattern")
     one = found.groupBy("row", "start", "end").agg(best.alias("b")).select("row", "start", "end", "b.*")
@@ -127,7 +142,7 @@ def described(found: DataFrame, dictionary: DataFrame, usual: dict[str, float])
         "upper_share": count("[A-Z]") / n,
         "hex": value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "named": near.rlike(_NAMES),
-        "assigned": before.rlike(r"[=:]\s{0,3}[\"']?$"),
+        "assigned": before.rlike(r"(?:[=:]|=>)\s{0,3}[\"']?$"),
         "quoted": before.rlike(r"[\"']$") & after.rlike(r"^[\"']"),
         "harmless": near.rlike(rf"\b(?:{_HARMLESS})\b"),
         "alone": before.rlike(r"(?:^|\s)$") & after.rlike(r"^(?:$|\s)"),

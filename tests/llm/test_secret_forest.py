@@ -106,3 +106,43 @@ def test_coverage_does_not_grow_with_copies(spark):
     described = s.described(found, s.words(docs, "text"), {})
     got = described.withColumn("label", s.label()).collect()
     assert {r.coverage for r in got} == {0.0} and 0.0 not in {r.label for r in got}
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("api_key=9f8e7d6c5b4a39281706", {"9f8e7d6c5b4a39281706"}),
+        ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", {"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"}),
+        ("OAUTH2_TOKEN_2=abcdefgh1234567890", {"abcdefgh1234567890"}),
+        ("commit=0123456789abcdef0123", {"0123456789abcdef0123"}),
+        ("QUJDREVGR0hJSktMTU5PUA==", {"QUJDREVGR0hJSktMTU5PUA=="}),
+        ("password: hunter2xyz, then", {"hunter2xyz"}),
+        ("pwd: S3cr3t! it is.", {"S3cr3t!"}),
+        ("token: abcdefghijklmnopqrstuvwxyzabcdef.", {"abcdefghijklmnopqrstuvwxyzabcdef"}),
+        ("pwd = 'abc'", {"abc"}),
+        ('{"password": "p w", "n": 1}', {"p w"}),
+        ("password: str = 'x1'", {"x1"}),
+        ('c["secret"] = "it\'s"', {"it's"}),
+        ("?token=abc&user=bob", {"abc"}),
+        ("token => t0", {"t0"}),
+        ("the author: John; a token is", set()),
+        ("token: ... pwd=''", set()),
+        ('auth = "cut0ff', {"cut0ff"}),
+        ("token==", set()),
+    ],
+)
+def test_forms_of_candidates(spark, given, want):
+    docs = spark.createDataFrame([(1, "😀 " + given, "s")], "doc_id long, text string, source string")
+    rows = s.candidates(docs)[1].collect()
+    assert {r.value for r in rows} == want
+    for r in rows:
+        assert ("😀 " + given)[r.start : r.end] == r.value and ("😀 " + given)[: r.start].endswith(r.before)
+
+
+def test_assigned_names_are_features(spark):
+    rows = [(1, "api_key=9f8e7d6c5b4a39281706", "s"), (2, "commit=0123456789abcdef0123", "s"), (3, "OAUTH2_TOKEN_2=abcdefgh1234567890", "s")]
+    found = s.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))[1]
+    words = spark.createDataFrame([], "word string, docs long")
+    got = {r.id: r for r in s.described(found, words, {}).withColumn("label", s.label()).collect()}
+    assert got[1].named == got[1].assigned == got[1].label == got[3].named == got[3].assigned == 1
+    assert got[2].harmless == 1 and got[2].label == 0
