@@ -12,7 +12,7 @@ have it is
 
 A branch all of whose nodes are below ``threshold`` is removed, which is to say every such
 block. Names speak first: what is called navigation, footer, advert, form, comment and so on
-is of importance 0, and the inside of ``article`` or ``main`` of importance 1 (copies of an
+is of importance 0, unless it is a wrapper of the main text (``_spare_wrappers``), and the inside of ``article`` or ``main`` of importance 1 (copies of an
 article on one host are no boilerplate); if a page has such an element, it is its main text.
 
 Only counts are shuffled: hashes of features are counted before the shuffle, and the table of
@@ -44,29 +44,55 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head title script style noscript template svg math iframe object canvas audio video".split())
 NOISE_TAGS = frozenset("nav footer aside form button select textarea input option fieldset dialog menu".split())
+#: Noise by tag, which may yet be a wrapper of the whole page.
+FORM_TAGS = frozenset("form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
+#: What may stand in a head; any other element, and text, ends it.
+HEAD_TAGS = frozenset("base basefont bgsound link meta noscript script style template title".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: With one of these in it (has-sidebar, comments-open) a class names no noise; the style tree decides.
+MODIFIERS = frozenset("has with no non not without is show hide open closed free enabled disabled ready supports".split())
 #: Opening one of these ends an open paragraph.
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Opening the first ends the open second, up to the third.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+def _named(names: str) -> set[str]:
+    """The words of classes and ids that may name noise."""
+    return {w for token in names.split() if not (parts := set(re.split(r"[^a-z]+", token))) & MODIFIERS for w in parts}
+
+
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "children", "inline")
+    __slots__ = ("tag", "path", "parent", "own", "main", "begins_main", "children", "inline", "size")
 
     def __init__(self, tag: str, names: str, parent: Element | None) -> None:
-        words = set(re.split(r"[^a-z]+", names))
+        words = _named(names)
         inside = parent is not None and parent.main
-        self.tag, self.inline = tag, tag in INLINE
-        self.main = inside or tag in MAIN_TAGS or "role=main" in names
-        unseen = tag in UNSEEN or tag in NOISE_TAGS or bool(words & NOISE_NAMES) or (tag == "header" or "header" in words) and not inside
-        self.noise = parent is not None and parent.noise or unseen and tag not in ("html", "body")
+        self.tag, self.parent, self.inline = tag, parent, tag in INLINE
+        self.begins_main = tag in MAIN_TAGS or "role=main" in names
+        self.main = inside or self.begins_main
+        #: What names this element noise: its tag, a form, a class, or nothing.
+        self.own = ""
+        if tag in FORM_TAGS:
+            self.own = "form"
+        elif tag in UNSEEN or tag in NOISE_TAGS or tag == "header" and not inside:
+            self.own = "tag"
+        elif tag not in ("html", "body") and (words & NOISE_NAMES or "header" in words and not inside):
+            self.own = "class"
         step = tag if not names else f"{tag}.{names}"
         self.path = step if parent is None else f"{parent.path}/{step}"
         self.children: list[str] = []
+        self.size = 0
+
+    def line(self):
+        """The element and those around it, from the inside out."""
+        element = self
+        while element is not None:
+            yield element
+            element = element.parent
 
 
 class Page(HTMLParser):
@@ -76,7 +102,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open = [Element("", "", None)]
         self.text: list[str] = []
-        self.blocks: list[tuple[str, bool, bool, str]] = []
+        self.mains: list[Element] = []
+        self.forms: list[Element] = []
+        self.held: list[tuple[Element, str]] = []
         self.styles: dict[str, list[str]] = {}
         self.features: dict[str, list[str]] = {}
         self.feed(html)
@@ -85,6 +113,36 @@ class Page(HTMLParser):
         self.close()
         self._to(0)
         self._block()
+        self._spare_wrappers()
+        self.blocks = self._judged()
+
+    def _spare_wrappers(self) -> None:
+        """A form or a class around the main text names no noise.
+
+        A form is a wrapper if it holds a main element or more than half of the text; an element
+        with a noisy class if it is, or holds, the one main element that fewest others rule out.
+        """
+        forms = {e for e in self.forms if 2 * e.size > self.open[0].size}
+        forms |= {e for m in self.mains for e in m.line() if e.own == "form"}
+        for e in forms:
+            e.own = ""
+        depths = [sum(bool(e.own) for e in m.line()) for m in self.mains]
+        least = [m for m, d in zip(self.mains, depths, strict=True) if d == min(depths)]
+        if len(least) == 1 and all(e.own != "tag" for e in least[0].line()):
+            for e in least[0].line():
+                e.own = ""
+
+    def _judged(self) -> list[tuple[str, bool, bool, str]]:
+        noise: dict[Element, bool] = {}
+        for holder, _ in self.held:
+            line = []
+            for e in holder.line():
+                if e in noise:
+                    break
+                line.append(e)
+            for e in reversed(line):
+                noise[e] = bool(e.own) or e.parent is not None and noise[e.parent]
+        return [(holder.path, holder.main, noise[holder], text) for holder, text in self.held]
 
     def _holder(self) -> Element:
         return next(e for e in reversed(self.open) if not e.inline)
@@ -94,7 +152,8 @@ class Page(HTMLParser):
         self.text.clear()
         if text:
             holder = self._holder()
-            self.blocks.append((holder.path, holder.main, holder.noise, text))
+            holder.size += len(text)
+            self.held.append((holder, text))
             self.features.setdefault(holder.path, []).append(text)
 
     def _to(self, size: int) -> None:
@@ -103,6 +162,7 @@ class Page(HTMLParser):
             if not self.open[-1].inline:
                 self._block()
             element = self.open.pop()
+            element.parent.size += element.size
             self.styles.setdefault(element.path, []).append(" ".join(element.children))
 
     def _end(self, tags, stop=frozenset()) -> None:
@@ -113,7 +173,13 @@ class Page(HTMLParser):
             if self.open[i].tag in stop:
                 return
 
+    def _end_head(self, tag: str) -> None:
+        """What cannot stand in a head ends one that was left open."""
+        if tag == "body" or tag not in HEAD_TAGS and self.open[-1].tag in ("head", "title"):
+            self._end({"head"})
+
     def handle_starttag(self, tag, attrs) -> None:
+        self._end_head(tag)
         if tag in ENDS_PARAGRAPH:
             self._end({"p"}, {"table", "li", "div", "article", "main", "section", "body"})
         if tag in SIBLINGS:
@@ -134,6 +200,10 @@ class Page(HTMLParser):
             self.text.append(" ")
         if tag not in VOID:
             self.open.append(element)
+            if element.begins_main and not parent.main:
+                self.mains.append(element)
+            if element.own == "form":
+                self.forms.append(element)
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)  # a slash ends void elements only
@@ -143,8 +213,9 @@ class Page(HTMLParser):
             self._end({tag})
 
     def handle_data(self, data) -> None:
-        top = self.open[-1]
-        if top.tag not in UNSEEN:
+        if self.open[-1].tag == "head" and data.strip():
+            self._end_head("")
+        if self.open[-1].tag not in UNSEEN:
             self.text.append(data)
 
 

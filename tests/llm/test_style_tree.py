@@ -76,3 +76,26 @@ def test_importance_formula(spark):
     got = sorted((round(r.presentation, 6), round(r.content, 6), round(r.importance, 6)) for r in s.importances(read).collect())
     half = -2 * 0.5 * math.log(0.5) / math.log(4)
     assert got == sorted([(0, 0, 0), (0, 1, 0.9), (round(half, 6), 0, round((1 - 0.81) * half, 6))])
+
+
+@pytest.mark.parametrize(
+    "given,want",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>law</body></html>", "law"),
+        ("<head><title>t</title><p>law", "law"),
+        ("<head><title>t</title>law", "law"),
+        ("<head><noscript><img src=x><p>no</noscript><title>t</title></head><p>a", "a"),
+        ("<body><form id=aspnetForm><input><div>story that is long</div><nav>no</nav></form>", "story that is long"),
+        ("<form><article><p>a</article></form>", "a"),
+        ("<div>story that is long</div><form>no</form>", "story that is long"),
+        ("<main class='has-sidebar'><p>a<div class=sidebar>no</div></main>", "a"),
+        ("<div class='layout with-nav'><p>a</div>", "a"),
+        ("<div class='sidebar right'><article><p>a</article></div>", "a"),
+        ("<article class='post comments-open'>a<section class=comments><article class=comment>no</article></section></article>", "a"),
+        ("<div class='content ad-free'>a</div>", "a"),
+        ("<article class='promo'>a</article><div id=comments><article class=comment>no</article></div>", "a"),
+        ("<p>a</p><aside><article>no</article></aside>", "a"),
+    ],
+)
+def test_wrappers_do_not_empty_a_page(spark, given, want):
+    assert texts(spark, [(1, "http://x/", given)]) == {1: want}
