@@ -21,7 +21,8 @@ of importances is written first, so Spark broadcasts it only if it is small.
 
 Defined results: null html counts as empty and gives an empty text; a null or odd URL has the
 host ``''``; a host with one page keeps all that names do not decide; repeated rows come back
-as often as they came, and count as pages each; tags left open end with their parent, a cut
+as often as they came; pages of a host that are equal in what names do not rule out count as one
+page of its tree; tags left open end with their parent, a cut
 off tag or comment at the end is no text; other columns are not looked at.
 """
 
@@ -230,7 +231,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     """A row per page: ``host``, ``blocks`` that names do not rule out, ``nodes`` of the style tree."""
     source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"))
     schema = source.select(id_col, url_col).schema.add("host", "string")
-    schema = schema.add("has_main", "boolean").add("blocks", _type("array<struct<path:bigint,main:boolean,text:string>>")).add("nodes", _type("array<struct<path:bigint,style:bigint,features:array<bigint>>>"))
+    schema = schema.add("digest", "long").add("has_main", "boolean").add("blocks", _type("array<struct<path:bigint,main:boolean,text:string>>")).add("nodes", _type("array<struct<path:bigint,style:bigint,features:array<bigint>>>"))
 
     def run(batches):
         import pyarrow as pa
@@ -244,14 +245,16 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             return value - (value >> 63 << 64)
 
         for batch in batches:
-            hosts, mains, blocks, nodes = [], [], [], []
+            hosts, digests, mains, blocks, nodes = [], [], [], [], []
             for url, html in zip(batch.column(1), batch.column(2), strict=True):
                 page = Page(html.as_py() or "")
                 hosts.append(host_of(url.as_py()))
                 mains.append(any(b[1] and not b[2] for b in page.blocks))
-                blocks.append([{"path": key(p), "main": m, "text": t} for p, m, noise, t in page.blocks if not noise and (m or not mains[-1])])
-                nodes.append([{"path": key(p), "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in found})} for p, found in page.features.items()])
-            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((hosts, mains, blocks, nodes), list(kinds)[2:], strict=True))]
+                judged = [(p, m, t) for p, m, noise, t in page.blocks if not noise and (m or not mains[-1])]
+                digests.append(key("\n".join(f"{p}\r{t}" for p, _, t in judged)))
+                blocks.append([{"path": key(p), "main": m, "text": t} for p, m, t in judged])
+                nodes.append([{"path": key(p), "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in page.features[p]})} for p in dict.fromkeys(p for p, _, _ in judged)])
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((hosts, digests, mains, blocks, nodes), list(kinds)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return source.mapInArrow(run, schema)
@@ -263,6 +266,17 @@ def _type(text: str):
     return DataType.fromDDL(text)
 
 
+def _once(pages: DataFrame) -> DataFrame:
+    """One page of each host and digest; ``pages`` has a number of its own in ``row_of_page``.
+
+    Only the numbers of further copies leave their place; Spark broadcasts them if they are few.
+    """
+    known = pages.select("host", "digest", "row_of_page")
+    first = known.groupBy("host", "digest").agg(F.min("row_of_page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    further = stored(known.join(first, ["host", "digest"]).where("row_of_page <> first").select("row_of_page"), "page-copies")
+    return pages.join(further, "row_of_page", "left_anti")
+
+
 def importances(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
     """``host, path, pages, presentation, content, importance`` of each node of the style trees."""
     nodes = pages.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
@@ -283,8 +297,8 @@ def importances(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, url_col, text, n_chars`` of each page, and ``n_blocks`` that make the text."""
     spark_id = "row_of_page"
-    read = stored(parsed(pages, id_col, url_col, html_col), "parsed-pages")
-    low = stored(importances(read).where(F.col("importance") < threshold).select("host", "path"), "low-importance")
+    read = stored(parsed(pages, id_col, url_col, html_col).withColumn(spark_id, F.monotonically_increasing_id()), "parsed-pages")
+    low = stored(importances(_once(read)).where(F.col("importance") < threshold).select("host", "path"), "low-importance")
     # blocks that no name decides meet the style tree; a page's own blocks are known by their paths
     undecided = read.where(~F.col("has_main")).select("host", F.explode("blocks.path").alias("path")).distinct()
     removed = stored(undecided.join(low, ["host", "path"]), "removed")
@@ -297,7 +311,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 def _without_removed(pages: DataFrame, removed: DataFrame, id_col: str, url_col: str, row: str) -> DataFrame:
     """The texts of pages whose blocks the style tree decides; only these pages' blocks are shuffled."""
-    numbered = pages.select(F.struct(id_col, url_col).alias("page"), F.uuid().alias(row), "host", "blocks")
+    numbered = pages.select(F.struct(id_col, url_col).alias("page"), row, "host", "blocks")
     numbered = stored(numbered, "undecided-pages")
     blocks = numbered.select(row, "host", F.posexplode("blocks").alias("at", "block")).select(row, "host", "at", F.col("block.path").alias("path"), F.col("block.text").alias("text"))
     kept = blocks.join(removed, ["host", "path"], "left_anti").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("held"))

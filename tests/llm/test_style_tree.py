@@ -99,3 +99,14 @@ def test_importance_formula(spark):
 )
 def test_wrappers_do_not_empty_a_page(spark, given, want):
     assert texts(spark, [(1, "http://x/", given)]) == {1: want}
+
+
+def test_copies_count_as_one_page(spark):
+    story = "<div class=page><h2>Title {i}</h2><div class=story>Body {i}</div></div><div class=ad>{n}</div>"
+    rows = [(n, f"https://copies.example/{n}", story.format(i=0, n=n)) for n in range(20)]
+    rows += [(100 + i, "https://mixed.example/", story.format(i=max(i, 15), n=i)) for i in range(20)]
+    got = texts(spark, rows)
+    assert {got[n] for n in range(20)} == {"Title 0\nBody 0"}
+    assert [got[100 + i] for i in range(20)] == [f"Title {max(i, 15)}\nBody {max(i, 15)}" for i in range(20)]
+    counted = s.importances(s._once(s.parsed(spark.createDataFrame(rows, PAGES)).selectExpr("*", "page_id AS row_of_page")))
+    assert {(r.host, r.pages) for r in counted.collect()} == {("copies.example", 1), ("mixed.example", 5)}
