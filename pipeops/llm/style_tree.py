@@ -10,19 +10,21 @@ have it is
   over the pages, which is 0 if all pages have the same and 1 if each has its own;
 * together: ``(1 - g^l) * presentation + g^l * content`` with ``l`` presentations, ``g`` 0.9.
 
-A branch all of whose nodes are below ``threshold`` is removed, which is to say every such
-block. Names speak first: what is called navigation, footer, advert, form, comment and so on
-is of importance 0, unless it is a wrapper of the main text (``_spare_wrappers``), and the inside of ``article`` or ``main`` of importance 1 (copies of an
-article on one host are no boilerplate); if a page has such an element, it is its main text.
+Every block of a node below ``threshold`` is removed. Names speak first: what is called navigation,
+footer, advert, form, comment and so on is of importance 0, unless it is a wrapper of the main text
+(``_spare_wrappers``); the inside of ``article`` or ``main`` is likely the main text, what stands
+beside it is likely not. That counts as ``PRIOR`` pages of importance 1 and 0, so a host of few
+pages goes by names and one of many by its tree. Several articles with less than half of the text
+are teasers and decide nothing.
 
-Only counts are shuffled: hashes of features are counted before the shuffle, and the table of
-undecided blocks meets the importances; the largest unit held in memory is one page. The table
-of importances is written first, so Spark broadcasts it only if it is small.
+Hashes of features are counted before their shuffle, and only the paths of blocks meet the
+importances. Texts are shuffled only if the paths that turn a page's blocks against their names
+are too many to broadcast; the largest unit held in memory is one page.
 
 Defined results: null html counts as empty and gives an empty text; a null or odd URL has the
 host ``''``; a host with one page keeps all that names do not decide; repeated rows come back
-as often as they came; pages of a host that are equal in what names do not rule out count as one
-page of its tree; tags left open end with their parent, a cut
+as often as they came; pages of a host with the same main text (all text that no name makes noise,
+if there is no article) count as one page of its tree; tags left open end with their parent, a cut
 off tag or comment at the end is no text; other columns are not looked at.
 """
 
@@ -39,6 +41,8 @@ from .tables import stored
 
 THRESHOLD = 0.3
 DAMPING = 0.9
+#: Pages for which the names of an article count as evidence.
+PRIOR = 4
 
 #: Elements that stand in a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -133,6 +137,14 @@ class Page(HTMLParser):
             for e in least[0].line():
                 e.own = ""
 
+    def only_cards(self) -> bool:
+        """Whether several articles hold less than half of the text that names leave: teasers beside a story."""
+        shown = [m for m in self.mains if not any(e.own for e in m.line())]
+        if len(shown) < 2 or any(m.tag != "article" or "role=main" in m.path for m in shown):
+            return False
+        left = [(main, len(text)) for _, main, noise, text in self.blocks if not noise]
+        return 2 * sum(n for main, n in left if main) < sum(n for _, n in left)
+
     def _judged(self) -> list[tuple[str, bool, bool, str]]:
         noise: dict[Element, bool] = {}
         for holder, _ in self.held:
@@ -228,10 +240,10 @@ def host_of(url: str | None) -> str:
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row per page: ``host``, ``blocks`` that names do not rule out, ``nodes`` of the style tree."""
+    """A row per page: ``host``, ``blocks`` that no name makes noise, ``nodes`` of the style tree."""
     source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"))
     schema = source.select(id_col, url_col).schema.add("host", "string")
-    schema = schema.add("digest", "long").add("has_main", "boolean").add("blocks", _type("array<struct<path:bigint,main:boolean,text:string>>")).add("nodes", _type("array<struct<path:bigint,style:bigint,features:array<bigint>>>"))
+    schema = schema.add("digest", "long").add("has_main", "boolean").add("blocks", _type("array<struct<path:bigint,main:boolean,text:string>>")).add("nodes", _type("array<struct<path:bigint,main:boolean,style:bigint,features:array<bigint>>>"))
 
     def run(batches):
         import pyarrow as pa
@@ -249,11 +261,13 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
             for url, html in zip(batch.column(1), batch.column(2), strict=True):
                 page = Page(html.as_py() or "")
                 hosts.append(host_of(url.as_py()))
-                mains.append(any(b[1] and not b[2] for b in page.blocks))
-                judged = [(p, m, t) for p, m, noise, t in page.blocks if not noise and (m or not mains[-1])]
-                digests.append(key("\n".join(f"{p}\r{t}" for p, _, t in judged)))
-                blocks.append([{"path": key(p), "main": m, "text": t} for p, m, t in judged])
-                nodes.append([{"path": key(p), "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in page.features[p]})} for p in dict.fromkeys(p for p, _, _ in judged)])
+                cards = page.only_cards()
+                judged = [(p, m and not cards, t) for p, m, noise, t in page.blocks if not noise]
+                mains.append(any(m for _, m, _ in judged))
+                digests.append(key("\n".join(f"{p}\r{t}" for p, m, t in judged if m or not mains[-1])))
+                blocks.append([{"path": key(f"{m} {p}"), "main": m, "text": t} for p, m, t in judged])
+                found = dict.fromkeys((p, m) for p, m, _ in judged)
+                nodes.append([{"path": key(f"{m} {p}"), "main": m, "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in page.features[p]})} for p, m in found])
             columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((hosts, digests, mains, blocks, nodes), list(kinds)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
@@ -278,10 +292,10 @@ def _once(pages: DataFrame) -> DataFrame:
 
 
 def importances(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """``host, path, pages, presentation, content, importance`` of each node of the style trees."""
-    nodes = pages.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
-    styles = nodes.groupBy("host", "path", "style").agg(F.count("*").alias("n"))
-    shown = styles.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("sum_n"))
+    """``host, path, main, beside_main, pages, presentation, content, importance`` of each node of the style trees."""
+    nodes = pages.select("host", "has_main", F.explode("nodes").alias("node")).select("host", "has_main", "node.*")
+    styles = nodes.groupBy("host", "path", "style").agg(F.count("*").alias("n"), F.max("main").alias("main"), F.max("has_main").alias("beside_main"))
+    shown = styles.groupBy("host", "path").agg(F.max("main").alias("main"), F.max("beside_main").alias("beside_main"), F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("sum_n"))
     features = nodes.select("host", "path", F.explode("features").alias("feature")).groupBy("host", "path", "feature").agg(F.count("*").alias("n"))
     held = features.groupBy("host", "path").agg(F.count("*").alias("features"), F.sum(F.log("n")).alias("entropy"))
     many = F.col("pages") > 1
@@ -290,29 +304,40 @@ def importances(pages: DataFrame, damping: float = DAMPING) -> DataFrame:
     content = F.when(many, 1 - F.col("entropy") / F.col("features") / base).otherwise(1.0)
     weight = F.pow(F.lit(damping), F.col("styles"))
     return shown.join(held, ["host", "path"]).select(
-        "host", "path", "pages", presentation.alias("presentation"), content.alias("content"), ((1 - weight) * presentation + weight * content).alias("importance")
+        "host", "path", "main", "beside_main", "pages", presentation.alias("presentation"), content.alias("content"), ((1 - weight) * presentation + weight * content).alias("importance")
     )
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, url_col, text, n_chars`` of each page, and ``n_blocks`` that make the text."""
-    spark_id = "row_of_page"
-    read = stored(parsed(pages, id_col, url_col, html_col).withColumn(spark_id, F.monotonically_increasing_id()), "parsed-pages")
-    low = stored(importances(_once(read)).where(F.col("importance") < threshold).select("host", "path"), "low-importance")
-    # blocks that no name decides meet the style tree; a page's own blocks are known by their paths
-    undecided = read.where(~F.col("has_main")).select("host", F.explode("blocks.path").alias("path")).distinct()
-    removed = stored(undecided.join(low, ["host", "path"]), "removed")
-    texts = read.where("has_main").select(id_col, url_col, F.col("blocks.text").alias("texts"))
-    others = _without_removed(read.where(~F.col("has_main")), removed, id_col, url_col, spark_id)
-    every = texts.union(others)
-    text = F.array_join("texts", "\n")
-    return every.select(id_col, url_col, text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("texts").cast("long").alias("n_blocks"))
-
-
-def _without_removed(pages: DataFrame, removed: DataFrame, id_col: str, url_col: str, row: str) -> DataFrame:
-    """The texts of pages whose blocks the style tree decides; only these pages' blocks are shuffled."""
-    numbered = pages.select(F.struct(id_col, url_col).alias("page"), row, "host", "blocks")
-    numbered = stored(numbered, "undecided-pages")
-    blocks = numbered.select(row, "host", F.posexplode("blocks").alias("at", "block")).select(row, "host", "at", F.col("block.path").alias("path"), F.col("block.text").alias("text"))
-    kept = blocks.join(removed, ["host", "path"], "left_anti").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("held"))
-    return numbered.select(row, "page").join(kept, row, "left").select("page.*", F.coalesce(F.col("held.text"), F.array().cast("array<string>")).alias("texts"))
+    read = stored(parsed(pages, id_col, url_col, html_col).withColumn("row_of_page", F.monotonically_increasing_id()), "parsed-pages")
+    ruled = stored(against_names(importances(_once(read)), threshold), "ruled-paths")
+    kept = _decided(read, ruled)
+    texts = F.transform("kept", lambda b: b["text"])
+    text = F.array_join(texts, "\n")
+    return kept.select(id_col, url_col, text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size("kept").cast("long").alias("n_blocks"))
+
+
+def against_names(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``host, path, inside, beside, alone``: nodes where the style tree decides otherwise than names alone.
+
+    Names keep what is in an article, drop what is beside one, and keep all on a page without. In and
+    beside an article they count as ``PRIOR`` pages of importance 1 and 0; without one the tree decides.
+    """
+    seen = (F.col("pages") - 1) * F.col("importance")
+    weight = F.col("pages") - 1 + PRIOR
+    inside = F.col("main") & ((seen + PRIOR) / weight < threshold)
+    beside = ~F.col("main") & F.col("beside_main") & (seen / weight >= threshold)
+    alone = ~F.col("main") & (F.col("importance") < threshold)
+    return nodes.select("host", "path", inside.alias("inside"), beside.alias("beside"), alone.alias("alone")).where("inside OR beside OR alone")
+
+
+def _decided(read: DataFrame, ruled: DataFrame) -> DataFrame:
+    """The pages with their ``kept`` blocks. Only paths are shuffled to meet the tree; a page then takes its own back."""
+    paths = read.select("row_of_page", "host", "has_main", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["main"].alias("main"))))).alias("p"))
+    met = paths.select("row_of_page", "host", "has_main", "p.*").join(ruled, ["host", "path"])
+    turned = F.when(F.col("main"), F.col("inside")).when(F.col("has_main"), F.col("beside")).otherwise(F.col("alone"))
+    turns = stored(met.where(turned).groupBy("row_of_page").agg(F.collect_set("path").alias("turned")), "turned-paths")
+    by_name = lambda b: b["main"] | ~F.col("has_main")
+    is_turned = lambda b: F.coalesce(F.array_contains("turned", b["path"]), F.lit(False))
+    return read.join(turns, "row_of_page", "left").withColumn("kept", F.filter("blocks", lambda b: by_name(b) != is_turned(b)))

@@ -110,3 +110,15 @@ def test_copies_count_as_one_page(spark):
     assert [got[100 + i] for i in range(20)] == [f"Title {max(i, 15)}\nBody {max(i, 15)}" for i in range(20)]
     counted = s.importances(s._once(s.parsed(spark.createDataFrame(rows, PAGES)).selectExpr("*", "page_id AS row_of_page")))
     assert {(r.host, r.pages) for r in counted.collect()} == {("copies.example", 1), ("mixed.example", 5)}
+
+
+def test_the_tree_decides_in_and_beside_articles(spark):
+    page = "<div class=story>Story {i}</div><article><p>Words {i}</p><div class=b>Written by us</div></article><div class=c>All rights reserved</div>"
+    got = texts(spark, [(i, "http://many/", page.format(i=i)) for i in range(30)] + [(50, "http://one/", page.format(i=50))])
+    assert [got[i] for i in range(30)] == [f"Story {i}\nWords {i}" for i in range(30)]
+    assert got[50] == "Words 50\nWritten by us"  # one page tells nothing, names decide
+
+
+def test_teasers_do_not_hide_a_story(spark):
+    page = "<div>A long story that is more than its teasers</div><article>one</article><article>two</article>"
+    assert texts(spark, [(1, "http://x/", page)]) == {1: "A long story that is more than its teasers\none\ntwo"}
