@@ -10,8 +10,11 @@ The items are a query set: blocks of at most about ``block_words`` words pass th
 driver one at a time, and each is held against all documents where they lie, no shuffle.
 
 Words are runs of letters and digits in lower case, so case, punctuation and white space do
-not count. Defined results: null and wordless texts hold nothing; items of fewer than
-``min_words`` words (null ones, too) are left out, being no evidence; equal items each give
+not count; in scripts without blanks (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
+character is one. Defined results: null and wordless texts hold nothing; items of fewer than
+``min_words`` words are searched exactly if they have ``MIN_CHARS`` characters, else (null ones,
+too) left out, being no evidence; shorter items than that in a script without blanks are searched
+exactly, too, as a character says less than a word; equal items each give
 a row; repeated documents give repeated rows; of several passages for one item the one with
 the least distance, then the first, is reported; other columns are not looked at.
 """
@@ -29,10 +32,14 @@ from pyspark.sql import types as T
 
 from .tables import stored
 
-WORD = re.compile(r"[^\W_]+")
+#: Letters and marks of scripts that put no blanks between words.
+UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+WORD = re.compile(f"[^\\W_{UNSPACED}]+|[{UNSPACED}]")
 #: Share of an item's words that may differ.
 ERROR_RATE = 0.2
 MIN_WORDS = 5
+#: Characters in the words of a shorter item, at least, to be searched exactly.
+MIN_CHARS = 16
 #: Words of the items that are searched in one pass over the documents.
 BLOCK_WORDS = 200_000
 
@@ -41,6 +48,16 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def error_budget(words: list[str], error_rate: float, min_words: int = MIN_WORDS) -> int | None:
+    """Words of an item that may differ, or None if it is too short to be searched."""
+    short = sum(map(len, words)) < MIN_CHARS
+    if len(words) < min_words:
+        return None if short else 0
+    if short and any(re.match(f"[{UNSPACED}]", word) for word in words):
+        return 0
+    return math.floor(error_rate * len(words))
+
+
 def pieces(words: list[str], errors: int) -> list[tuple[int, list[str]]]:
     """The words in ``errors + 1`` runs of nearly equal length, each with its place."""
     cuts = [len(words) * i // (errors + 1) for i in range(errors + 2)]
@@ -83,12 +100,12 @@ def best_passage(pattern: list[str], words: list[str], errors: int) -> tuple[int
 
 
 class Block:
-    """The pieces of some items in one search automaton."""
+    """The pieces of some items ``(key, words, errors)`` in one search automaton."""
 
-    def __init__(self, items: list[tuple], error_rate: float) -> None:
+    def __init__(self, items: list[tuple]) -> None:
         import ahocorasick
 
-        self.items = [(key, words, math.floor(error_rate * len(words))) for key, words in items]
+        self.items = items
         wanted: dict[str, list[tuple[int, int, int]]] = {}
         for i, (_, words, errors) in enumerate(self.items):
             for place, piece in pieces(words, errors):
@@ -141,7 +158,7 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _held_against(docs: DataFrame, items: list[tuple], item_field: T.StructField, error_rate: float) -> DataFrame:
+def _held_against(docs: DataFrame, items: list[tuple], item_field: T.StructField) -> DataFrame:
     """The documents' passages for one block of items."""
     fields = [T.StructField(n, T.LongType()) for n in ("item_words", "distance", "start", "end")]
     schema = T.StructType([docs.schema[0], item_field, *fields])
@@ -151,7 +168,7 @@ def _held_against(docs: DataFrame, items: list[tuple], item_field: T.StructField
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
-        block = Block(items, error_rate)
+        block = Block(items)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -179,13 +196,14 @@ def contaminated(
     asked = benchmark.where(F.col(item_text_col).isNotNull()).select(key, F.col(item_text_col).alias("asked"))
     field = asked.schema[0]
     blanks = F.length("asked") - F.length(F.regexp_replace("asked", r"\s", "")) + 1
-    total = asked.agg(F.sum(blanks)).first()[0] or 0
+    unspaced = F.length(F.regexp_replace("asked", f"[^{UNSPACED}]", ""))
+    total = asked.agg(F.sum(blanks + unspaced)).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
     found = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect()
-        items = [(row[0], words) for row in rows if len(words := words_of(row[1])) >= min_words]
-        part = _held_against(source, sorted(items, key=repr), field, error_rate)
+        items = [(row[0], words, errors) for row in rows if (errors := error_budget(words := words_of(row[1]), error_rate, min_words)) is not None]
+        part = _held_against(source, sorted(items, key=repr), field)
         if blocks > 1:  # so that the driver lets go of the block
             part = stored(part, "passages")
         found = part if found is None else found.union(part)

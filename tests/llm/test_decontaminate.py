@@ -87,3 +87,17 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert d.contaminated(no_docs, items).count() == d.contaminated(edge_docs, items.limit(0)).count() == 0
     same_name = d.contaminated(edge_docs, items.withColumnRenamed("item_id", "doc_id"), item_col="doc_id")
     assert same_name.columns[:2] == ["doc_id", "item_id"] and same_name.count() == len(got)
+
+
+def test_scripts_without_blanks_and_short_items(spark):
+    chinese, thai = "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少", "สวัสดีครับวันนี้อากาศดีมากเลยนะครับ"
+    items = [(1, chinese), (2, thai), (3, "Incomprehensibilities notwithstanding"), (4, "to be"), (5, "画蛇添足了吗")]
+    docs = [
+        (10, "前" + chinese.replace("处", "x", 1) + "后 and 画蛇添足了么"),
+        (11, f"a {thai} b"),
+        (12, "Some incomprehensibilities, notwithstanding to be."),
+        (13, "incomprehensibility notwithstanding; 看，画蛇添足了吗。"),
+    ]
+    found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(10, 1, 1), (11, 2, 0), (12, 3, 0), (13, 5, 0)}
+    assert next(docs[3][1][r.start : r.end] for r in found if r.doc_id == 13) == items[4][1]
