@@ -9,7 +9,8 @@ which of its lists it is handled (the first one), and its bit distance is verifi
 
 Only distinct fingerprints are indexed, so copies cost nothing. A list is read from a sorted
 stream; of its verified links a spanning forest goes on, which leaves components unchanged.
-A list of over ``BLOCK`` fingerprints is cut into blocks, and pairs of blocks are dealt out.
+Lists are counted first; one of over ``BLOCK`` fingerprints is cut into blocks by a hash before it
+is dealt out, in pairs of blocks, so that no task holds it whole.
 """
 
 from __future__ import annotations
@@ -111,81 +112,63 @@ def links(prints: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
         for i, c in enumerate(choices)
     ]
     postings = prints.select("fp", F.explode(F.array(*keys)).alias("list")).select("list.choice", "list.bytes", "fp")
-    dealt = postings.repartition("choice", "bytes").sortWithinPartitions("choice", "bytes")
+    dealt = dealt_lists(postings, block)
     first = _first_lists(shared)
-    schema = "a long, b long, choice short, part long, left array<long>, right array<long>"
-
-    def out(pairs, blocks):
-        import numpy as np
-        import pyarrow as pa
-
-        pairs = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-        n, m = len(pairs), len(blocks)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(pairs[:, k].copy()), pa.nulls(m, pa.int64())]) for k in (0, 1)
-            ]
-            + [
-                pa.concat_arrays([pa.nulls(n, t), pa.array([x[k] for x in blocks], t)])
-                for k, t in enumerate((pa.int16(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))
-            ],
-            ["a", "b", "choice", "part", "left", "right"],
-        )
 
     def find(batches):
         import numpy as np
 
         own = np.array(first)
 
-        def take(choice, members):
-            """The links of a whole list, or its blocks in pairs."""
-            if len(members) <= block:
-                return _forest(members, members, choice, bits, own, True), []
-            parts = [members[i : i + block].view(np.int64).tolist() for i in range(0, len(members), block)]
-            return [], [(choice, i * len(parts) + j, x, parts[j]) for i, x in enumerate(parts) for j in range(i, len(parts))]
+        def take(group) -> list[tuple[int, int]]:
+            """The links of a whole list or block, or of a pair of blocks."""
+            choice, _, _, upper, fp = group
+            fp, whole = fp.view(np.uint64), not upper.any()
+            left, right = (fp, fp) if whole else (fp[~upper], fp[upper])
+            return _forest(left, right, int(choice[0]), bits, own, whole)
 
         held = None
         for batch in batches:
-            choice, where, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fp = fp.view(np.uint64)
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
             if held is not None:
-                choice, where, fp = np.concatenate([held[0], choice]), np.concatenate([held[1], where]), np.concatenate([held[2], fp])
-            if not len(fp):
+                columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+            if not len(columns[4]):
                 continue
-            cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (where[1:] != where[:-1])) + 1
-            starts = np.concatenate([[0], cuts])
-            held = choice[starts[-1] :], where[starts[-1] :], fp[starts[-1] :]
-            sizes = np.diff(starts)
+            changed = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            held = [c[starts[-1] :] for c in columns]
             found = []
-            for k in np.flatnonzero(sizes > 1):
-                pairs, blocks = take(int(choice[starts[k]]), fp[starts[k] : starts[k + 1]])
-                found += pairs
-                for one in blocks:
-                    yield out([], [one])
+            for k in np.flatnonzero(np.diff(starts) > 1):
+                found += take([c[starts[k] : starts[k + 1]] for c in columns])
             if found:
-                yield out(found, [])
-        if held is not None and len(held[2]) > 1:
-            pairs, blocks = take(int(held[0][0]), held[2])
-            yield out(pairs, [])
-            for one in blocks:
-                yield out([], [one])
-
-    def compare(batches):
+                yield links_of(found)
+        if held is not None and len(held[4]) > 1:
+            yield links_of(take(held))
+
+    def links_of(pairs):
         import numpy as np
         import pyarrow as pa
 
-        own = np.array(first)
-        for batch in batches:
-            done = batch.filter(batch.column(0).is_valid())
-            yield pa.RecordBatch.from_arrays([done.column(0), done.column(1)], ["a", "b"])
-            for row in batch.filter(batch.column(0).is_null()).slice(0).to_pylist():
-                left, right = (np.array(row[k], np.int64).view(np.uint64) for k in ("left", "right"))
-                pairs = _forest(left, right, row["choice"], bits, own, row["left"] == row["right"])
-                pairs = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-
-    found = dealt.mapInArrow(find, schema).repartition("a", "b", "choice", "part")
-    return found.mapInArrow(compare, "a long, b long").distinct()
+        pairs = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(find, "a long, b long").distinct()
+
+
+def dealt_lists(postings: DataFrame, block: int) -> DataFrame:
+    """``choice, bytes, pair, upper, fp``: sorted lists; one of over ``block`` fingerprints as pairs of blocks.
+
+    The fingerprints of a long list are dealt to blocks by their hash and go once to every pair
+    their block is in, ``upper`` in the second place; no group is of much over two blocks.
+    """
+    sizes = postings.groupBy("choice", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    long_lists = stored(sizes.select("choice", "bytes", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "long-lists")
+    salted = postings.join(long_lists, ["choice", "bytes"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    salted = salted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    met = salted.select("choice", "bytes", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.shiftleft(F.least("own", "other").cast("long"), 32) + F.greatest("own", "other")
+    rows = met.select("choice", "bytes", pair.alias("pair"), (F.col("own") > F.col("other")).alias("upper"), "fp")
+    return rows.repartition("choice", "bytes", "pair").sortWithinPartitions("choice", "bytes", "pair")
 
 
 def _signed(mask: int) -> int:

@@ -84,3 +84,14 @@ def test_components_of_a_path_a_star_and_loops(spark):
     got = {r.node: r.root for r in components(frame).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(300, 400)}, 899: 899, 900: 899}
     assert components(frame.limit(0)).count() == 0
+
+
+def test_no_group_holds_a_long_list_whole(spark):
+    postings = spark.range(1000).selectExpr("CAST(0 AS SMALLINT) AS choice", "CASE WHEN id < 900 THEN 7 ELSE id END AS bytes", "id AS fp")
+    rows = simhash.dealt_lists(postings, 100).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.bytes, r.pair), []).append(r)
+    assert len(groups) == 100 + 45 and max(map(len, groups.values())) < 300
+    met = {frozenset((a.fp, b.fp)) for g in groups.values() for a in g for b in g if a.upper != b.upper or not any(r.upper for r in g)}
+    assert {m for m in met if len(m) == 2} == {frozenset((a, b)) for a in range(900) for b in range(a)}
