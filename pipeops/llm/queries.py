@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pipeops.session import scratch
 
-from . import arc_warc, bpe, chunk_dedup, decontaminate, pii_votes, quality_fm, secret_forest, simhash, style_tree, token_rollups
+from . import (
+    arc_warc, bpe, chunk_dedup, decontaminate, hadamard_clusters, language_nb, periodic_runs, pii_votes, quality_fm, secret_forest, simhash, style_tree, token_rollups,
+)
 from .tables import stored, table
 
 
@@ -78,6 +80,18 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_nb.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_clusters.cluster(table(spark, sf_dir, "embeddings"), scale=1024, centroids=8, rounds=10, seed=3)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_benchmark_passages": op2_benchmark_passages,
@@ -89,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chunk_recipes": op8_chunk_recipes,
     "op9_weak_pii": op9_weak_pii,
     "op10_token_rollup": op10_token_rollup,
+    "op11_language_bayes": op11_language_bayes,
+    "op12_hadamard_clusters": op12_hadamard_clusters,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op8_chunk_recipes": """
@@ -110,4 +127,5 @@ ORACLES: dict[str, str] = {
                count(*) AS docs, CAST(sum(CASE WHEN recounted THEN b ELSE a END) AS BIGINT) AS tokens
         FROM current GROUP BY 1, 2, 3
     """,
+    "op12_hadamard_clusters": hadamard_clusters.sql(),
 }
