@@ -1,11 +1,10 @@
-"""Every registered query against its oracle on the smallest tables."""
+"""Every query of the catalog against its oracle on the smallest tables."""
 
 import pytest
 from oracle import compare, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
-
-QUERIES, ORACLES = queries(), oracle_sql()
+from catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -27,4 +26,4 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
