@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pipeops import operators as ops
+from pipeops.session import scratch
 
 from .registry import query, table
 
@@ -417,6 +419,48 @@ def w1_split_window_sums(spark, sf):
     return df.selectExpr("event_id", "round(running, 2) AS running", "round(mean * n, 2) AS again")
 
 
+# Frames, values and offsets over whole tables or few large groups, cut by place or by value.
+
+_FRAMES = {
+    "rows": ("orders", "o_orderkey", "avg", "o_totalprice", [], ["o_orderdate", "o_orderkey"], (-2, 1), 1),
+    "rows_before": ("orders", "o_orderkey", "max", "o_totalprice", ["o_orderstatus"], ["o_orderdate", "o_orderkey"], ("unbounded preceding", -3), 1),
+    "rows_after": ("orders", "o_orderkey", "min", "o_totalprice", ["o_orderpriority"], ["o_orderdate DESC", "o_orderkey"], (2, "unbounded following"), 1),
+    "first_value": ("orders", "o_orderkey", "first_value", "o_custkey", [], ["o_orderdate", "o_orderkey"], (-700, -600), 1),
+    "last_value": ("orders", "o_orderkey", "last_value", "o_custkey", ["o_orderstatus"], ["o_totalprice", "o_orderkey"], ("unbounded preceding", 5), 1),
+    "nth_value": ("orders", "o_orderkey", "nth_value", "o_custkey", ["o_orderstatus"], ["o_totalprice", "o_orderkey"], ("unbounded preceding", "current row"), 40),
+    "lag": ("orders", "o_orderkey", "lag", "o_custkey", [], ["o_totalprice DESC", "o_orderkey"], None, 25),
+    "lead": ("orders", "o_orderkey", "lead", "o_custkey", ["o_orderstatus"], ["o_totalprice DESC", "o_orderkey"], None, 9000),
+    "range": ("part", "p_partkey", "count", "p_partkey", ["p_brand"], ["p_size"], (-5, 2), 1),
+    "range_before": ("part", "p_partkey", "max", "p_partkey", [], ["p_size"], ("unbounded preceding", 3), 1),
+    "range_after": ("part", "p_partkey", "min", "p_partkey", ["p_brand"], ["p_size DESC"], (1, "unbounded following"), 1),
+}
+
+
+def _bound(edge):
+    return edge if isinstance(edge, str) else f"{abs(edge)} {'PRECEDING' if edge < 0 else 'FOLLOWING'}"
+
+
+def _register_frame(name, source, row, function, argument, keys, order, edges, offset):
+    kind = "range" if name.startswith("range") else "rows"
+    call = f"{function}({argument}{f', {offset}' if function in ('lag', 'lead', 'nth_value') else ''})"
+    over = f"{'PARTITION BY ' + ', '.join(keys) if keys else ''} ORDER BY {', '.join(order)}"
+    if edges:
+        over += f" {kind} BETWEEN {_bound(edges[0])} AND {_bound(edges[1])}"
+    value = f"{call} OVER ({over})"
+    real = function == "avg"
+
+    def run(spark, sf):
+        frame = (kind, *edges) if edges else ("rows", 0, 0)
+        df = ops.split_frame(table(spark, sf, source), "w", function, order, argument, keys, frame, offset, splits=16, rows_per_chunk=5_000)
+        return df.select(row, (F.round("w", 4) if real else F.col("w")).alias("w"))
+
+    query(f"w1_split_frame_{name}", f"SELECT {row}, {f'round({value}, 4)' if real else value} AS w FROM {source}")(run)
+
+
+for _name, _spec in _FRAMES.items():
+    _register_frame(_name, *_spec)
+
+
 # Distinct rows.
 
 
@@ -489,13 +533,30 @@ def u4_union(spark, sf):
 # Order, limit, partitioning. The oracle compares rows, so the sort shows its order in a column.
 
 
-@query(
-    "o1_sort",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem""",
-)
+_O1 = """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, row_number() OVER (
+              ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem"""
+
+
+def _prices(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query("o1_sort", _O1)
 def o1_sort(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return ops.sort(lines, ["l_extendedprice DESC NULLS LAST"], spread_ties=["l_orderkey", "l_linenumber", "l_partkey"])
+    """The sorted rows as they are written: files in order, rows in order in each, counted up to a place."""
+    home = scratch(spark, "sorted")
+    ops.sort(_prices(spark, sf), ["l_extendedprice DESC NULLS LAST"], spread_ties=["l_orderkey", "l_linenumber", "l_partkey"]).write.parquet(home)
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    rows = spark.read.parquet(home).select("*", F.regexp_extract(name, "part-([0-9]+)", 1).cast("int").alias("file"), row.alias("row"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return rows.join(counts, "file").select(*rows.columns[:4], (F.col("before") + F.col("row") + 1).alias("place"))
+
+
+@query("o1_places", _O1)
+def o1_places(spark, sf):
+    """Each row's place without writing the sorted rows: counts of chunks turned into offsets."""
+    return ops.places(_prices(spark, sf), ["l_extendedprice DESC NULLS LAST", "l_orderkey", "l_linenumber", "l_partkey"], splits=16)
 
 
 @query(

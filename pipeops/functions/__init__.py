@@ -1,4 +1,4 @@
-from .expressions import as_column, key_struct, named_column, sort_key, sort_keys
+from .expressions import as_column, key_struct, named_column, sort_directions, sort_key, sort_keys
 from .predicates import predicate
 from .quantiles import exact_quantiles
 
@@ -8,6 +8,7 @@ __all__ = [
     "key_struct",
     "named_column",
     "predicate",
+    "sort_directions",
     "sort_key",
     "sort_keys",
 ]

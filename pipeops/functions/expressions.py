@@ -30,14 +30,14 @@ def named_column(value: str | Column | Mapping[str, str]) -> Column:
     return as_column(value)
 
 
-def sort_key(spec: str | Column | tuple) -> Column:
-    """``"x DESC NULLS LAST"``, ``("x", "desc")`` or a Column, as an ordering Column.
+def sort_direction(spec: str | tuple) -> tuple[Column, bool, bool]:
+    """The expression of ``"x DESC NULLS LAST"`` or ``("x", "desc")``, whether it descends, and whether nulls come last.
 
     ``F.expr("x DESC")`` would read DESC as an alias and sort ascending, so the
     trailing words are taken off here.
     """
     if isinstance(spec, Column):
-        return spec
+        raise ValueError("give order keys as text or tuples")
     if isinstance(spec, tuple):
         expression, direction, nulls = (*spec, None, None)[:3]
     else:
@@ -45,13 +45,24 @@ def sort_key(spec: str | Column | tuple) -> Column:
         if match is None:
             raise ValueError("an empty sort expression")
         expression, direction, nulls = match["expr"], match["dir"], match["nulls"]
-    column = as_column(expression)
     descending = (direction or "asc").lower() == "desc"
     # Spark's own defaults: nulls first ascending, nulls last descending.
-    first = (nulls or ("last" if descending else "first")).lower() == "first"
+    last = (nulls or ("last" if descending else "first")).lower() == "last"
+    return as_column(expression), descending, last
+
+
+def sort_directions(specs: Iterable) -> list[tuple[Column, bool, bool]]:
+    return [sort_direction(spec) for spec in specs]
+
+
+def sort_key(spec: str | Column | tuple) -> Column:
+    """``"x DESC NULLS LAST"``, ``("x", "desc")`` or a Column, as an ordering Column."""
+    if isinstance(spec, Column):
+        return spec
+    column, descending, last = sort_direction(spec)
     if descending:
-        return column.desc_nulls_first() if first else column.desc_nulls_last()
-    return column.asc_nulls_first() if first else column.asc_nulls_last()
+        return column.desc_nulls_last() if last else column.desc_nulls_first()
+    return column.asc_nulls_last() if last else column.asc_nulls_first()
 
 
 def key_struct(columns: Iterable[str | Column]) -> Column:

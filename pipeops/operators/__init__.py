@@ -1,4 +1,5 @@
 from .aggregates import aggregate, distinct, drop_duplicates, latest_per_key, session_aggregate
+from .frames import places, split_frame
 from .joins import join
 from .ordering import coalesce, limit, repartition, sort
 from .sets import except_, intersect, union, union_by_name
@@ -48,6 +49,7 @@ __all__ = [
     "json_parse",
     "latest_per_key",
     "limit",
+    "places",
     "posexplode",
     "rename",
     "reorder",
@@ -56,6 +58,7 @@ __all__ = [
     "select",
     "session_aggregate",
     "sort",
+    "split_frame",
     "split_window",
     "split_windows",
     "sql_project",

@@ -68,14 +68,16 @@ def session_aggregate(
 ) -> DataFrame:
     """Sessions per key: start, end and summed expressions, safe for a hot key (batch).
 
-    ``session_window`` sorts all rows of a key in one task. Here sessions are
-    first built per key and calendar ``chunk``, which spreads a hot key, and only
-    those partial sessions are then merged per key. ``sums`` maps an output name
-    to an expression that is summed, e.g. ``{"events": "1"}``.
+    ``session_window`` sorts all rows of a key in one task. Here sessions are first built per
+    key and calendar ``chunk`` (a unit of ``date_trunc``), which spreads a hot key. Only the
+    first and the last of a chunk can meet a session of another chunk: those edges, at most
+    two rows per key and chunk, are scanned in order and joined, and all sessions inside a
+    chunk are final where they are, however many a key has. ``sums`` maps an output name to an
+    expression that is summed, e.g. ``{"events": "1"}``.
     """
     keys = list(keys)
     length = F.expr(f"INTERVAL '{gap}'")
-    partial = (
+    pieces = (
         df.withColumn("__chunk", F.date_trunc(chunk, F.col(time)))
         .groupBy(*keys, "__chunk", F.session_window(F.col(time), gap).alias("__s"))
         .agg(
@@ -84,17 +86,16 @@ def session_aggregate(
             *[F.sum(as_column(e)).alias(name) for name, e in sums.items()],
         )
     )
+    inside = Window.partitionBy(*keys, "__chunk").orderBy("__first")
+    marked = pieces.withColumn("__edge", F.lag("__last").over(inside).isNull() | F.lead("__last").over(inside).isNull())
+    columns = [*keys, F.col("__first").alias("session_start"), (F.col("__last") + length).alias("session_end"), *sums]
+    final = marked.where("NOT __edge").select(*columns)
+    edges = marked.where("__edge")
     in_order = Window.partitionBy(*keys).orderBy("__first")
-    opens = F.lag("__last").over(in_order)
-    numbered = partial.withColumn(
-        "__new", F.when(F.col("__first") <= opens + length, 0).otherwise(1)
-    ).withColumn("__session", F.sum("__new").over(in_order))
-    return (
-        numbered.groupBy(*keys, "__session")
-        .agg(
-            F.min("__first").alias("session_start"),
-            (F.max("__last") + length).alias("session_end"),
-            *[F.sum(name).alias(name) for name in sums],
-        )
-        .drop("__session")
+    # the last of the chunk before may lie behind sessions that are final, but never behind one it could join
+    opens = F.when(F.col("__first") <= F.lag("__last").over(in_order) + length, 0).otherwise(1)
+    numbered = edges.withColumn("__new", opens).withColumn("__session", F.sum("__new").over(in_order))
+    joined = numbered.groupBy(*keys, "__session").agg(
+        F.min("__first").alias("__first"), F.max("__last").alias("__last"), *[F.sum(name).alias(name) for name in sums]
     )
+    return final.unionByName(joined.select(*columns))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from pipeops.functions import as_column, key_struct, sort_keys
+from pipeops.functions import as_column, key_struct, sort_directions, sort_keys
+
+from .cuts import ROWS_PER_CHUNK, chunk_number, row_hash
 
 _EDGES = {
     "unbounded preceding": Window.unboundedPreceding,
@@ -78,9 +79,11 @@ def _whole_partition(
     return joined.select(*kept, F.col("__total").alias(target))
 
 
-RANKINGS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
+RANKINGS = ("row_number", "place", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 RUNNING = ("count", "sum", "min", "max", "avg")
 OFFSETS = ("lag", "lead")
+#: Functions that do not see whether rows are equal in the order.
+TIE_BLIND = ("row_number", "place", "ntile", "lag", "lead")
 
 
 def split_window(
@@ -91,7 +94,7 @@ def split_window(
     argument: str | None = None,
     partition_by: Sequence[str] = (),
     split_by: str | Column | None = None,
-    splits: int = 64,
+    splits: int | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """A window function whose partitions may be of any size; see :func:`split_windows`.
@@ -108,44 +111,50 @@ def split_windows(
     order_by: Sequence,
     partition_by: Sequence[str] = (),
     split_by: str | Column | None = None,
-    splits: int = 64,
+    splits: int | None = None,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Window functions over partitions of any size, even the whole table.
 
-    Each partition is cut along its first order column into chunks. The functions run
-    inside the chunks, in as many tasks as there are chunks; one summary row per chunk
-    then carries what the chunks before it hold. Results are the same as
-    :func:`window` gives. All targets share the shuffle, the sort and the summary.
-
-    ``targets`` maps a column name to a function and its argument: ``row_number,
-    rank, dense_rank, percent_rank, cume_dist`` (none), ``ntile`` (number of buckets),
-    ``count, sum, min, max, avg`` up to the current row and its ties, or ``lag,
-    lead`` by one row (an expression).
-
-    ``split_by`` is an expression that never decreases in sort order, such as
-    ``date_trunc('day', ts)``; equal order values must fall in one chunk. Without
-    it, ``splits`` chunks are cut at approximate quantiles of the first order
-    column (number, date or timestamp), which takes one small aggregate first.
+    The table is cut along partition keys and the whole order into chunks. The functions run
+    inside the chunks, in as many tasks as there are chunks; one summary row per chunk and key
+    then carries what the chunks before it hold. Results are the same as :func:`window`
+    gives. All targets share the shuffle, the sort and the summary.
+
+    ``targets`` maps a column name to a function and its argument: ``row_number, place`` (the
+    same as a long), ``rank, dense_rank, percent_rank, cume_dist`` (none), ``ntile`` (number of
+    buckets), ``count, sum, min, max, avg`` up to the current row and its ties, or ``lag,
+    lead`` by one row (an expression). :func:`pipeops.operators.split_frame` has the other frames.
+
+    Cuts come from a sample (see :func:`pipeops.operators.cuts.chunk_number`), as many as
+    ``splits`` says or the size of the table asks for. Where no function sees ties, rows equal
+    in the order are cut as well, by a hash of the row; else they share a chunk. ``split_by``
+    spares the sample: an expression that never decreases in sort order, such as
+    ``date_trunc('day', ts)``; equal order values must fall in one chunk.
     """
     if not order_by:
         raise ValueError("a split window needs an order")
     plans = [_Split(i, *spec) for i, spec in enumerate(targets.values())]
-    order = sort_keys(order_by)
-    values = [_bare(spec) for spec in order_by] if split_by is None else []
-    descending = bool(values) and values[0][1]
-    chunk = as_column(split_by) if split_by is not None else _cut(df, values[0][0], splits)
     keys = [as_column(k) for k in partition_by]
+    work = df
+    if split_by is not None:
+        chunk = as_column(split_by)
+    else:
+        if all(plan.function in TIE_BLIND for plan in plans):
+            work, order_by = df.withColumn("__tie", row_hash(df)), [*order_by, "__tie"]
+        chunk = chunk_number(work, order_by, keys, splits, rows_per_chunk)
+    order = sort_keys(order_by)
 
     # Rows, chunk summaries and what is carried over all meet on one key, so the rows
     # are shuffled once.
-    work = df.withColumn("__key", key_struct([*keys, chunk]))
+    work = work.withColumn("__key", key_struct([*keys, chunk]))
     for plan in plans:
         if plan.needs_argument:
             work = work.withColumn(plan.name("arg"), as_column(plan.argument))
     inside = Window.partitionBy("__key").orderBy(*order)
     place = F.col(f"__key.k{len(keys)}")
     whole = Window.partitionBy(*[F.col(f"__key.k{i}") for i in range(len(keys))])
-    chunks = whole.orderBy(place.desc_nulls_last() if descending else place.asc_nulls_first())
+    chunks = whole.orderBy(place.asc_nulls_first())
 
     rows = work.select("*", *[c for plan in plans for c in plan.local(inside)])
     joined = rows
@@ -168,30 +177,8 @@ def split_windows(
     )
 
 
-def _cut(df: DataFrame, column: Column, splits: int) -> Column:
-    """The number of quantiles below a value; nulls are a chunk of their own."""
-    shares = [i / splits for i in range(1, splits)]
-    cuts = df.agg(F.percentile_approx(column, shares, 10_000).alias("cuts")).first()["cuts"]
-    below = [(column > F.lit(c)).cast("int") for c in sorted(set(cuts or []))]
-    return F.when(column.isNotNull(), reduce(lambda a, b: a + b, below, F.lit(0))).otherwise(-1)
-
-
-def _bare(spec: object) -> tuple[Column, bool]:
-    """The expression of a sort key and whether it sorts descending."""
-    if isinstance(spec, tuple):
-        return as_column(spec[0]), len(spec) > 1 and spec[1].lower() == "desc"
-    if isinstance(spec, str):
-        words = spec.strip().split()
-        if len(words) > 2 and words[-2].lower() == "nulls":
-            raise ValueError("a split window without split_by keeps Spark's default null order")
-        if words[-1].lower() in ("asc", "desc"):
-            return as_column(" ".join(words[:-1])), words[-1].lower() == "desc"
-        return as_column(spec), False
-    raise ValueError("give order keys as text or tuples, or pass split_by")
-
-
 def _order_value(spec: object) -> Column:
-    return spec if isinstance(spec, Column) else _bare(spec)[0]
+    return spec if isinstance(spec, Column) else sort_directions([spec])[0][0]
 
 
 class _Split:
@@ -220,7 +207,7 @@ class _Split:
     def local(self, inside: WindowSpec) -> list[Column]:
         """What the function gives inside a chunk."""
         made: dict[str, Column] = {}
-        if self._is("row_number", "ntile"):
+        if self._is("row_number", "place", "ntile"):
             made["local"] = F.row_number().over(inside)
         elif self._is("rank", "percent_rank"):
             made["local"] = F.rank().over(inside)
@@ -302,4 +289,4 @@ class _Split:
                 more + F.floor(past / F.greatest(size, F.lit(1)))
             )
             return (bucket + 1).cast("int")
-        return position.cast("int")
+        return position if self._is("place") else position.cast("int")
