@@ -81,7 +81,7 @@ def m4_cdc_stream(spark, sf):
         schema=changes.schema,
         options={"maxFilesPerTrigger": 1},
     )
-    target = outputs.CdcTarget(f"{home}/target", compact_every=4, **_CDC_CONFIG)
+    target = outputs.CdcTarget(f"{home}/target", compact_every=4, buckets=8, **_CDC_CONFIG)
     latest = target.run(stream, f"{home}/checkpoint")
     return latest.select("user_id", "event_id", "event_type", "value")
 

@@ -29,9 +29,17 @@ def _append(spark, df, label):
     return streaming.drain(df, f"{home}/rows", f"{home}/checkpoint")
 
 
-def _complete(spark, df, label):
+def _closed(spark, sf, label, build, rows=({},)):
+    """All rows of an append stream: it runs over the events, and once more after closing rows."""
     home = scratch(spark, label)
-    return streaming.drain_complete(df, f"{home}/rows", f"{home}/checkpoint")
+    end = table(spark, sf, "events").agg(F.max("ts") + F.expr("INTERVAL 60 DAYS")).first()[0]
+    for more in (False, True):
+        events = event_stream(spark, sf)
+        if more:
+            streaming.close(spark, f"{home}/closing", events.schema, [{"ts": end, **row} for row in rows])
+        df = build(streaming.with_closing_rows(events, f"{home}/closing"))
+        out = streaming.drain(df, f"{home}/rows", f"{home}/checkpoint")
+    return out
 
 
 def _start(column="window.start"):
@@ -82,8 +90,13 @@ def e2_dedup_stream(spark, sf):
               count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""",
 )
 def e3_tumbling_stream(spark, sf):
-    df = ops.aggregate(event_stream(spark, sf), ["window(ts, '2 hours')"], _COUNTS)
-    return _complete(spark, df.select(_start(), "n", "total"), "tumbling")
+    """Append mode: a window comes out when the watermark has passed it, the last ones after a closing row."""
+
+    def build(events):
+        df = ops.aggregate(streaming.watermark(events, "ts", "1 hour"), ["window(ts, '2 hours')"], _COUNTS)
+        return df.select(_start(), "n", "total")
+
+    return _closed(spark, sf, "tumbling", build)
 
 
 @query(
@@ -96,8 +109,10 @@ def e3_tumbling_stream(spark, sf):
        GROUP BY 1""",
 )
 def e3_sliding_stream(spark, sf):
-    df = ops.aggregate(event_stream(spark, sf), ["window(ts, '1 day', '12 hours')"], _COUNTS)
-    return _complete(spark, df.select(_start(), "n", "total"), "sliding")
+    """Update mode: a micro-batch gives the windows it changed, which replace those before."""
+    home = scratch(spark, "sliding")
+    df = ops.aggregate(streaming.watermark(event_stream(spark, sf), "ts", "1 hour"), ["window(ts, '1 day', '12 hours')"], _COUNTS)
+    return streaming.drain_updates(df.select(_start(), "n", "total"), ["window_start"], f"{home}/rows", f"{home}/checkpoint", buckets=4)
 
 
 @query(
@@ -111,20 +126,23 @@ def e3_sliding_stream(spark, sf):
        SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n FROM numbered GROUP BY user_id, s""",
 )
 def e3_session_stream(spark, sf):
-    df = ops.aggregate(
-        event_stream(spark, sf),
-        ["user_id", "session_window(ts, '1 hour')"],
-        [{"expression": "count(*)", "alias": "n"}],
-    )
-    started = F.unix_micros("session_window.start").alias("started")
-    return _complete(spark, df.select("user_id", started, "n"), "session")
+    def build(events):
+        df = ops.aggregate(
+            streaming.watermark(events, "ts", "1 hour"),
+            ["user_id", "session_window(ts, '1 hour')"],
+            [{"expression": "count(*)", "alias": "n"}],
+        )
+        return df.select("user_id", F.unix_micros("session_window.start").alias("started"), "n")
+
+    return _closed(spark, sf, "session", build)
 
 
-def _rich(spark, sf):
-    return table(spark, sf, "customer").where("c_acctbal > 5000").select("c_custkey", "c_mktsegment")
+def _customers(spark, sf):
+    """All customers, every third under a number that no event has."""
+    return table(spark, sf, "customer").selectExpr("if(c_custkey % 3 = 0, -c_custkey, c_custkey) AS c_custkey", "c_mktsegment")
 
 
-_RICH = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 5000)"
+_CUSTOMERS = "(SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_mktsegment FROM customer)"
 
 
 def _register_static(how, sql_how):
@@ -132,12 +150,12 @@ def _register_static(how, sql_how):
 
     def run(spark, sf):
         events = event_stream(spark, sf).select("event_id", "user_id")
-        df = ops.join(events, _rich(spark, sf), "left.user_id = right.c_custkey", how)
+        df = ops.join(events, _customers(spark, sf), "left.user_id = right.c_custkey", how)
         return _append(spark, df.selectExpr(*columns.split(", ")), f"static-{how}")
 
     query(
         f"e4_stream_static_{how}",
-        f"SELECT {columns} FROM events {sql_how} JOIN {_RICH} ON user_id = c_custkey",
+        f"SELECT {columns} FROM events {sql_how} JOIN {_CUSTOMERS} ON user_id = c_custkey",
     )(run)
 
 
@@ -147,30 +165,31 @@ _register_static("left_semi", "SEMI")
 _register_static("left_anti", "ANTI")
 
 
-def _sides(spark, sf):
-    events = streaming.watermark(event_stream(spark, sf), "ts", "1 hour")
+def _sides(events):
+    events = streaming.watermark(events, "ts", "1 hour")
     buys = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
     return buys, clicks
 
 
 _NEAR = "left.user_id = right.user_id AND right.ts BETWEEN left.ts - INTERVAL '1 hour' AND left.ts"
+_CLICKED = """SELECT b.event_id AS purchase, c.event_id AS click
+       FROM (SELECT * FROM events WHERE event_type = 'purchase') b {how} JOIN (SELECT * FROM events WHERE event_type = 'click') c
+       ON b.user_id = c.user_id AND c.ts BETWEEN b.ts - INTERVAL '1 hour' AND b.ts"""
 
 
-@query(
-    "e4_stream_stream_inner",
-    """SELECT b.event_id AS purchase, c.event_id AS click FROM events b JOIN events c
-       ON b.user_id = c.user_id AND c.ts BETWEEN b.ts - INTERVAL '1 hour' AND b.ts
-       WHERE b.event_type = 'purchase' AND c.event_type = 'click'""",
-)
+@query("e4_stream_stream_inner", _CLICKED.format(how=""))
 def e4_stream_stream_inner(spark, sf):
     """Purchases with the user's clicks in the hour before."""
-    df = ops.join(*_sides(spark, sf), _NEAR, "inner")
+    df = ops.join(*_sides(event_stream(spark, sf)), _NEAR, "inner")
     return _append(spark, df.selectExpr("event_id AS purchase", "right_event_id AS click"), "stream-stream")
 
 
-@query("e4_stream_stream_left")
+@query("e4_stream_stream_left", _CLICKED.format(how="LEFT"))
 def e4_stream_stream_left(spark, sf):
-    """As above, with purchases without clicks once the watermark has passed them."""
-    df = ops.join(*_sides(spark, sf), _NEAR, "left")
-    return _append(spark, df.selectExpr("event_id AS purchase", "right_event_id AS click"), "stream-left")
+    """As above, with purchases without clicks; the last of them once closing rows have moved both watermarks."""
+
+    def build(events):
+        return ops.join(*_sides(events), _NEAR, "left").selectExpr("event_id AS purchase", "right_event_id AS click")
+
+    return _closed(spark, sf, "stream-left", build, [{"event_type": "purchase"}, {"event_type": "click"}])

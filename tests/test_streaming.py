@@ -187,3 +187,61 @@ def test_append_flows_share_a_target(spark, tmp_path):
             )
     got = outputs.read_flows(spark, str(tmp_path / "target"), EVENTS)
     assert sorted((r["flow"], r["k"]) for r in got.collect()) == [("a", 1), ("b", 2)]
+
+
+def ten_batches(spark, feed):
+    """Ten files of an hour each; late rows are within the delay."""
+    for i in range(10):
+        rows = [(k, at(60 * i + m)) for k in range(3) for m in (0, 20, 40)] + ([(9, at(60 * i - 10))] if i else [])
+        write(spark, feed, i, rows, EVENTS)
+
+
+def state_rows(seen):
+    return lambda query: seen.extend(sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["numInputRows"])
+
+
+@pytest.mark.parametrize("mode", ["append", "update"])
+def test_state_stays_flat_over_ten_batches(spark, tmp_path, mode):
+    feed, seen = tmp_path / "feed", []
+    ten_batches(spark, feed)
+    counts = [{"expression": "count(*)", "alias": "n"}]
+
+    def build(source):
+        windows = ops.aggregate(streaming.watermark(source, "ts", "30 minutes"), ["k", "window(ts, '20 minutes')"], counts)
+        return windows.select("k", F.unix_timestamp("window.start").alias("start"), "n")
+
+    where = (str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    if mode == "update":
+        out = streaming.drain_updates(build(stream(spark, feed, EVENTS)), ["k", "start"], *where, finished=state_rows(seen), buckets=3, compact_every=4)
+    else:
+        closing = str(tmp_path / "closing")
+        streaming.drain(build(streaming.with_closing_rows(stream(spark, feed, EVENTS), closing)), *where, finished=state_rows(seen))
+        streaming.close(spark, closing, stream(spark, feed, EVENTS).schema, [{"ts": at(100_000)}])
+        out = streaming.drain(build(streaming.with_closing_rows(stream(spark, feed, EVENTS), closing)), *where)
+    batch = spark.read.schema(EVENTS).parquet(str(feed))
+    want = batch.groupBy("k", F.window("ts", "20 minutes").alias("w")).count().select("k", F.unix_timestamp("w.start"), "count")
+    assert sorted(map(tuple, out.select("k", "start", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert len(seen) >= 10 and max(seen[2:]) <= 2 * seen[1]
+
+
+def test_cdc_compaction_leaves_other_buckets_alone(spark, tmp_path):
+    target = outputs.CdcTarget(str(tmp_path / "t"), ["id"], "seq", compact_every=1, buckets=8)
+    schema = "id int, seq int, name string"
+    everything = spark.range(200).selectExpr("CAST(id AS INT) AS id", "1 AS seq", "'old' AS name")
+    target.write_batch(everything, 0)
+    _, first = target._manifest(spark)
+    assert set(first.values()) == {0} and len(first) == 8
+    target.write_batch(spark.createDataFrame([(7, 2, "new")], schema), 1)
+    last, second = target._manifest(spark)
+    moved = [b for b, g in second.items() if g == 1]
+    assert last == 1 and len(moved) == 1 and set(second.values()) == {0, 1}
+    written = [p.name for p in (tmp_path / "t" / "bases" / "generation=1").glob("__bucket=*")]
+    assert written == [f"__bucket={moved[0]}"]
+    now = target.read(spark, everything.schema)
+    assert now.count() == 200 and now.where("name = 'new'").first()["id"] == 7
+    # what a later compaction of all buckets leaves behind is emptied
+    for number in (2, 3, 4):
+        target.write_batch(everything.withColumn("seq", F.lit(number + 1)), number)
+    assert target.read(spark, everything.schema).where("seq = 5").count() == 200
+    assert not list((tmp_path / "t" / "bases" / "generation=0").glob("__bucket=*"))
+    assert spark.read.schema("id int").parquet(str(tmp_path / "t" / "batches" / "batch=0")).count() == 0
