@@ -735,10 +735,12 @@ _TEXTS = (plan_texts.JOINED, plan_texts.WINDOWED, plan_texts.UNITED)
 _QUOTED = ", ".join("'" + text.replace("'", "''") + "'" for text in _TEXTS)
 
 
-def _plan_lines(shift: int) -> str:
-    """SQL: the operator lines of every event's plan, from the text itself."""
-    return f"""SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY line) - 1 AS node_index, operator,
-                      CAST(len(branch) / 3 AS INT) AS depth, line, phase, raw FROM (
+#: The operator lines of each text, taken apart once in SQL.
+_NODES = f"""nodes AS MATERIALIZED (
+      SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY line) - 1 AS node_index, operator,
+             CAST(len(branch) / 3 AS INT) AS depth, line, phase, raw,
+             CASE WHEN ends_with(operator, 'Exchange') AND operator <> 'ReusedExchange' THEN regexp_replace(regexp_replace(
+               substr(raw, strpos(raw, operator)), '#[0-9]+L?', '#?', 'g'), '\\b((?:plan_)?id)=#?[0-9]+', '\\1=?', 'g') END AS exchange FROM (
         SELECT *, regexp_extract(raw, '^((?:[: ]  )*(?:[:+]- )?)', 1) AS branch,
                regexp_extract(raw, '^(?:[: ]  )*(?:[:+]- )?(?:[*](?:[(][0-9]+[)])?[ ])?[''!]?([A-Z][A-Za-z0-9]*)(?:[ (\\[,]|$)', 1) AS operator,
                CASE headed WHEN '== Parsed Logical Plan ==' THEN 'parsed' WHEN '== Analyzed Logical Plan ==' THEN 'analyzed'
@@ -746,10 +748,16 @@ def _plan_lines(shift: int) -> str:
         FROM (SELECT *, max(CASE WHEN raw LIKE '==%' THEN line END) OVER above AS heading,
                      max(CASE WHEN raw = '' THEN line END) OVER above AS blank,
                      max_by(raw, line) FILTER (WHERE raw LIKE '==%') OVER above AS headed
-              FROM (SELECT event_id, unnest(range(1, len(lines) + 1)) AS line, rtrim(unnest(lines)) AS raw
-                    FROM (SELECT event_id, string_split([{_QUOTED}][CAST((event_id + CASE WHEN event_type = 'click' THEN {shift} ELSE 0 END) % 3 AS INT) + 1], chr(10)) AS lines FROM events))
-              WINDOW above AS (PARTITION BY event_id ORDER BY line)))
-      WHERE operator <> '' AND (blank IS NULL OR blank < heading) AND NOT (phase = 'analyzed' AND line = heading + 1)"""
+              FROM (SELECT text_id, unnest(range(1, len(lines) + 1)) AS line, rtrim(unnest(lines)) AS raw
+                    FROM (SELECT i AS text_id, string_split([{_QUOTED}][i + 1], chr(10)) AS lines FROM range(3) t(i)))
+              WINDOW above AS (PARTITION BY text_id ORDER BY line)))
+      WHERE operator <> '' AND (blank IS NULL OR blank < heading) AND NOT (phase = 'analyzed' AND line = heading + 1))"""
+
+
+def _plan_lines(shift: int) -> str:
+    """SQL: the operator lines of every event's plan."""
+    return f"""SELECT event_id, nodes.* FROM nodes JOIN events
+               ON text_id = (event_id + CASE WHEN event_type = 'click' THEN {shift} ELSE 0 END) % 3"""
 
 
 _STRATEGY = "CASE operator WHEN 'BroadcastHashJoin' THEN 'broadcast' WHEN 'SortMergeJoin' THEN 'sort_merge' END"
@@ -759,35 +767,39 @@ _PARTS = "CASE WHEN operator = 'Exchange' THEN CASE WHEN contains(raw, 'SinglePa
 def _plans(spark, sf, shift=0):
     texts = F.array(*map(F.lit, _TEXTS))
     at = (F.col("event_id") + F.when(F.col("event_type") == "click", shift).otherwise(0)) % 3 + 1
-    return table(spark, sf, "events").select("event_id", F.element_at(texts, at.cast("int")).alias("text"))
+    # a text of a few hundred bytes has dozens of nodes: rows are dealt out before they grow
+    events = ops.repartition(table(spark, sf, "events").select("event_id", "event_type"), spark.sparkContext.defaultParallelism)
+    return events.select("event_id", F.element_at(texts, at.cast("int")).alias("text"))
 
 
 @query(
     "d14_plan_nodes",
-    f"""SELECT event_id, node_index, operator, depth, line, phase, {_STRATEGY} AS join_strategy, {_PARTS} AS partitioning,
+    f"""WITH {_NODES} SELECT event_id, node_index, operator, depth, line, phase, {_STRATEGY} AS join_strategy, {_PARTS} AS partitioning, exchange,
               regexp_replace(regexp_replace(raw, '#[0-9]+L?', '#?', 'g'), '\\b((?:plan_)?id)=#?[0-9]+', '\\1=?', 'g') AS normalized
        FROM ({_plan_lines(0)})""",
 )
 def d14_plan_nodes(spark, sf):
-    return plans.plan_nodes(_plans(spark, sf), ["event_id"]).drop("raw", "exchange")
+    return plans.plan_nodes(_plans(spark, sf), ["event_id"]).drop("raw")
 
 
 @query(
     "d14_plan_changes",
-    f"""WITH l AS (SELECT *, {_STRATEGY} AS s, {_PARTS} AS p FROM ({_plan_lines(0)})),
+    f"""WITH {_NODES}, l AS (SELECT *, {_STRATEGY} AS s, {_PARTS} AS p FROM ({_plan_lines(0)})),
              r AS (SELECT *, {_STRATEGY} AS s, {_PARTS} AS p FROM ({_plan_lines(1)}))
        SELECT event_id, node_index, CASE WHEN l.operator IS NULL THEN 'add' WHEN r.operator IS NULL THEN 'remove'
                 WHEN l.operator <> r.operator THEN 'replace' ELSE 'alter' END AS op,
               l.operator AS before_operator, r.operator AS after_operator,
               l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.s IS DISTINCT FROM r.s AS join_strategy_changed,
-              l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.p IS DISTINCT FROM r.p AS partitioning_changed
+              l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.p IS DISTINCT FROM r.p AS partitioning_changed,
+              l.operator IS NOT NULL AND r.operator IS NOT NULL AND l.exchange IS DISTINCT FROM r.exchange AS exchange_changed
        FROM l FULL JOIN r USING (event_id, node_index)
-       WHERE l.operator IS DISTINCT FROM r.operator OR l.phase IS DISTINCT FROM r.phase OR l.s IS DISTINCT FROM r.s OR l.p IS DISTINCT FROM r.p""",
+       WHERE l.operator IS DISTINCT FROM r.operator OR l.phase IS DISTINCT FROM r.phase OR l.s IS DISTINCT FROM r.s
+          OR l.p IS DISTINCT FROM r.p OR l.exchange IS DISTINCT FROM r.exchange""",
 )
 def d14_plan_changes(spark, sf):
     """The plan of every event against a second capture of it."""
-    left = plans.plan_nodes(_plans(spark, sf), ["event_id"]).withColumn("exchange", F.lit(None).cast("string"))
-    right = plans.plan_nodes(_plans(spark, sf, 1), ["event_id"]).withColumn("exchange", F.lit(None).cast("string"))
+    left = plans.plan_nodes(_plans(spark, sf), ["event_id"])
+    right = plans.plan_nodes(_plans(spark, sf, 1), ["event_id"])
     return plans.plan_changes(left, right, ["event_id"]).select(
         "event_id",
         "node_index",
@@ -796,12 +808,13 @@ def d14_plan_changes(spark, sf):
         "after_operator",
         "join_strategy_changed",
         "partitioning_changed",
+        "exchange_changed",
     )
 
 
 @query(
     "d14_plan_operator_changes",
-    f"""WITH l AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(0)})), r AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(1)}))
+    f"""WITH {_NODES}, l AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(0)})), r AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(1)}))
        SELECT event_id, operator, 'removed' AS change FROM l ANTI JOIN r USING (event_id, operator)
        UNION ALL SELECT event_id, operator, 'added' FROM r ANTI JOIN l USING (event_id, operator)""",
 )

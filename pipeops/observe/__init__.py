@@ -2,7 +2,7 @@ from .diagnosis import DEFAULT_RULES, Rule, diagnose, rules_from
 from .logs import attribute_log_lines
 from .profiles import profile, profile_diff, top_values
 from .progress import streaming_progress
-from .redaction import redact, redact_value, redaction_counts, secret_literals
+from .redaction import redact, redact_value, redaction_counts, secret_literals, unparsable
 from .runs import problem_changes, run_deltas, stage_deltas
 from .schemas import (
     schema_changes,
@@ -43,4 +43,5 @@ __all__ = [
     "stage_summary",
     "streaming_progress",
     "top_values",
+    "unparsable",
 ]

@@ -85,7 +85,9 @@ def streaming_progress(lines: DataFrame, value: str = "value") -> Progress:
     )
     found = F.from_json(value, ", ".join(f"{name} STRING" for name in CHECKPOINTS))
     checkpoints = (
-        lines.select(F.explode(F.array(*[found[n] for n in CHECKPOINTS])).alias("checkpoint"))
+        # All three names hold this word; other lines are not parsed.
+        lines.where(F.contains(F.col(value), F.lit("heckpoint")))
+        .select(F.explode(F.array(*[found[n] for n in CHECKPOINTS])).alias("checkpoint"))
         .where("checkpoint <> ''")
         .distinct()
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -35,8 +36,12 @@ def _usable(secrets: Mapping[str, str] | None, min_length: int) -> dict[str, str
 
 
 def _clean(column: Column, secrets: Mapping[str, str], patterns: Sequence[str]) -> Column:
-    for value in secrets.values():
-        column = F.replace(column, F.lit(value), F.lit(MASK))
+    if secrets:
+        # one pass, longer values first: a secret that holds another goes whole, and a mask is not searched again
+        values = sorted(set(secrets.values()), key=lambda v: (-len(v), v))
+        any_of = reduce(lambda a, b: a | b, [F.contains(column, F.lit(v)) for v in values])
+        quoted = "|".join(re.sub(r"([\x00-/:-@\[-`{-\x7f])", r"\\\1", v) for v in values)
+        column = F.when(any_of, F.regexp_replace(column, quoted, MASK)).otherwise(column)
     for name in patterns:
         pattern, mask = PATTERNS[name]
         column = F.when(_may_match(column, name), F.regexp_replace(column, pattern, mask)).otherwise(column)
@@ -151,86 +156,78 @@ def redaction_counts(
     return df.agg(*sums).select(F.inline(F.array(*rows)))
 
 
-def _json_depth(text: Column) -> Column:
-    """How deep objects and arrays nest in a JSON text."""
-    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    brackets = F.regexp_replace(bare, r"[^\[\]{}]", "")
-    state = F.aggregate(
-        F.split(brackets, ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda acc, c: F.struct(
-            (acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
-            F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most"),
-        ),
+# The pieces of a JSON text that matter: strings, brackets and commas; colons, numbers and names do not.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\],]'
+
+
+def _unquoted(token: Column) -> Column:
+    plain = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(F.contains(token, F.lit("\\")), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(plain)
+
+
+def _findings(tokens: Column, root: str) -> Column:
+    """The literal secrets of a JSON text, met token by token with a stack of what is open."""
+    words = "|".join(SECRET_KEYS)
+    finding = "struct<path: string, value_length: int>"
+    # paths: of every open object or list; at: the position in it (-1 in an object); key: of the value that comes next
+    begin = F.struct(
+        F.array().cast("array<string>").alias("paths"),
+        F.array().cast("array<int>").alias("at"),
+        F.lit(None).cast("string").alias("key"),
+        F.array().cast(f"array<{finding}>").alias("found"),
     )
-    return state["most"]
 
+    def step(acc: Column, token: Column) -> Column:
+        first = F.substring(token, 1, 1)
+        depth = F.size(acc["paths"])
+        here, index = F.get(acc["paths"], depth - 1), F.get(acc["at"], depth - 1)
+        in_object = index == -1
+        path = F.when(depth == 0, F.lit(root)).when(in_object, F.concat(here, F.lit("."), acc["key"])).otherwise(
+            F.concat(here, F.lit("["), index, F.lit("]"))
+        )
+        opens, closes = first.isin("{", "["), first.isin("}", "]")
+        text = F.when(first == '"', _unquoted(token))
+        names = (first == '"') & in_object & acc["key"].isNull()
+        hit = (
+            (first == '"') & in_object & F.lower(acc["key"]).rlike(words) & (F.length(text) > 0) & ~F.startswith(text, F.lit(REFERENCE))
+        )
+        begun = F.when(first == "{", F.lit(-1)).otherwise(F.lit(0))
+        below = F.slice(acc["at"], 1, F.greatest(depth - 1, F.lit(0)))
+        return F.struct(
+            F.when(opens, F.array_append(acc["paths"], path)).when(closes, F.slice(acc["paths"], 1, F.greatest(depth - 1, F.lit(0)))).otherwise(acc["paths"]).alias("paths"),
+            F.when(opens, F.array_append(acc["at"], begun)).when(closes, below).when((first == ",") & (index >= 0), F.array_append(below, index + 1)).otherwise(acc["at"]).alias("at"),
+            F.when(names, text).when(opens | closes | (first == ","), F.lit(None).cast("string")).otherwise(acc["key"]).alias("key"),
+            F.when(hit, F.array_append(acc["found"], F.struct(path.alias("path"), F.length(text).alias("value_length")))).otherwise(acc["found"]).alias("found"),
+        )
 
-def secret_literals(
-    df: DataFrame,
-    column: str,
-    keys: Sequence[str] = (),
-    root: str = "config",
-    max_depth: int | None = None,
-) -> DataFrame:
+    return F.aggregate(tokens, begin, step)["found"]
+
+
+def _json_text(df: DataFrame, column: str) -> DataFrame:
+    return df if isinstance(df.schema[column].dataType, StringType) else df.withColumn(column, F.to_json(column))
+
+
+def secret_literals(df: DataFrame, column: str, keys: Sequence[str] = (), root: str = "config") -> DataFrame:
     """Paths in a JSON text column (or map, or struct) that look like literal secrets:
     a key with one of the secret words over a non-empty string that is no
     ``secret://`` reference. Gives ``(keys.., path, value_length)``.
 
-    Every level of nesting is one projection, so the table is read once. Without
-    ``max_depth`` a first small aggregate finds how many levels there are; with it,
-    a deeper text makes the query fail rather than be cut off.
+    A text without any of the words is not taken apart; any other is read once, token by
+    token, with a stack of the objects and lists that are open, so nesting of any depth costs
+    one pass. Nothing is shuffled and no job runs while planning. Texts that are no JSON
+    have no findings; :func:`unparsable` reports them.
     """
     keys = list(keys)
-    if not isinstance(df.schema[column].dataType, StringType):
-        df = df.withColumn(column, F.to_json(column))
-    if max_depth is None:
-        depth = df.agg(F.max(_json_depth(F.col(column))).alias("d")).first()["d"] or 0
-    else:
-        depth = max_depth
-    frame = df.select(
-        *keys,
-        F.lit(root).alias("path"),
-        F.lit("").alias("key"),
-        F.try_parse_json(column).alias("v"),
-    )
-    words = "|".join(SECRET_KEYS)
-    for _ in range(depth):
-        as_map = F.try_variant_get("v", "$", "map<string,variant>")
-        as_list = F.try_variant_get("v", "$", "array<variant>")
-        children = F.coalesce(
-            F.transform(
-                F.map_entries(as_map),
-                lambda e: F.struct(
-                    F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"),
-                    e["key"].alias("key"),
-                    e["value"].alias("v"),
-                ),
-            ),
-            F.transform(
-                as_list,
-                lambda v, i: F.struct(
-                    F.concat(F.col("path"), F.lit("["), i, F.lit("]")).alias("path"),
-                    F.lit("").alias("key"),
-                    v.alias("v"),
-                ),
-            ),
-            # A plain value goes on only where its key speaks of a secret.
-            F.when(F.lower("key").rlike(words), F.array(F.struct("path", "key", "v"))),
-        )
-        # The outer form: for the inner one Spark adds a filter on the array's size, which
-        # would compute the array a second time.
-        frame = frame.select(*keys, F.inline_outer(children)).where("path IS NOT NULL")
-    kind = F.schema_of_variant("v")
-    if max_depth is not None:
-        nested = kind.startswith("OBJECT<") | (kind.startswith("ARRAY<") & (kind != "ARRAY<VOID>"))
-        too_deep = F.raise_error(F.lit(f"JSON nests deeper than {max_depth}")).cast("boolean")
-        frame = frame.where(F.when(nested, too_deep).otherwise(True))
-    text = F.try_variant_get("v", "$", "string")
-    hit = (
-        F.lower("key").rlike(words)
-        & (kind == "STRING")
-        & (F.length(text) > 0)
-        & ~F.startswith(text, F.lit(REFERENCE))
-    )
-    return frame.where(hit).select(*keys, "path", F.length(text).alias("value_length"))
+    text = F.col(column)
+    lowered = F.lower(text)
+    # a word may hide behind an escape
+    may = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in (*SECRET_KEYS, "\\u")])
+    texts = _json_text(df, column).where(may & F.try_parse_json(text).isNotNull())
+    found = _findings(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), root)
+    return texts.select(*keys, F.inline_outer(found)).where("path IS NOT NULL")
+
+
+def unparsable(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys.., problem)`` of the rows whose text in ``column`` is no JSON, and which no scan could look into."""
+    bad = _json_text(df, column).where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
+    return bad.select(*keys, F.concat(F.lit("no JSON in "), F.lit(column)).alias("problem"))

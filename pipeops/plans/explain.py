@@ -27,12 +27,17 @@ JOINS = {
 # node, and the operator's name, which ends at a blank or an opening bracket.
 TREE_LINE = r"^((?:[: ][ ]{2})*(?:[:+]-[ ])?)(?:[*](?:[(]\d+[)])?[ ])?['!]?([A-Z][A-Za-z0-9]*)(?:[ (\[,]|$)"
 _COUNT = r"(?i)partitioning[(](?:.*, )?(\d+)[)]"
-_HEADING = r"^=+ .* =+$"
+# Where a section of the text begins: at a line that is a heading (blanks may follow it). The
+# flags make $ and . know line feeds only, as the lines are cut at those.
+_SECTIONS = r"(?md)^(?==+ .* =+ *\r?$)"
+_HEADING = r"(?d)\A(=+ .* =+) *\r?(?:\n|\z)"
+_BLANK_LINE = r"(?d)\r?\n(?= *\r?(?:\n|\z))"
 
 
 def _phase(heading: Column) -> Column:
     known = F.create_map(*[F.lit(part) for pair in PHASES.items() for part in pair])
-    return F.coalesce(F.try_element_at(known, F.lower(F.regexp_replace(heading, r"^=+ | =+$", ""))), F.lit("unknown"))
+    named = F.try_element_at(known, F.lower(F.regexp_replace(heading, r"^=+ | =+$", "")))
+    return F.when(heading == "", "unknown").otherwise(F.coalesce(named, F.lit("unknown")))
 
 
 def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -42,41 +47,54 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     exchange, raw, normalized)``; expression and plan ids are blanked in ``normalized`` so
     that plans of two runs can be compared. A tree ends at the first empty line after its
     heading; the analyzed plan begins with a line of column types, which is no node. Each
-    text is taken apart in its own row; nothing is shuffled.
+    text is taken apart in its own row, in time linear in its length: it is cut at headings,
+    a section at its first empty line and only what is left into lines; nothing is shuffled.
     """
     keys = list(keys)
-    lines = F.transform(
-        F.split(F.col(text), "\r?\n"),
-        lambda line, i: F.struct(
-            (i + 1).alias("line"),
-            F.rtrim(line).alias("raw"),
-            F.regexp_extract(F.rtrim(line), TREE_LINE, 2).alias("operator"),
+    section = F.col(text)
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    # the line each section begins with; a text has a handful of sections
+    starts = F.aggregate(
+        "__sections",
+        F.array(F.lit(1)),
+        lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + breaks(t)),
+    )
+    headed = F.transform(
+        "__sections",
+        lambda t, i: F.struct(t.alias("text"), F.regexp_extract(t, _HEADING, 1).alias("heading"), F.get("__starts", i).alias("start")),
+    )
+    trees = F.transform(
+        "__headed",
+        lambda h: F.struct(
+            h["start"].alias("start"),
+            _phase(h["heading"]).alias("phase"),
+            F.split(F.when(h["heading"] == "", h["text"]).otherwise(F.get(F.split(h["text"], _BLANK_LINE, 2), 0)), "\r?\n").alias("lines"),
         ),
     )
-    headings = F.filter("__lines", lambda r: r["raw"].rlike(_HEADING))
-    blanks = F.transform(F.filter("__lines", lambda r: r["raw"] == ""), lambda r: r["line"])
-    nodes = F.filter("__lines", lambda r: r["operator"] != "")
 
-    def opened(node: Column) -> Column:
-        """The heading above a node."""
-        return F.try_element_at(F.filter("__headings", lambda h: h["line"] < node["line"]), F.lit(-1))
-
-    def outside(node: Column) -> Column:
-        """Whether a line stands after the end of its tree, or lists the column types."""
-        ended = F.exists("__blanks", lambda b: (b > opened(node)["line"]) & (b < node["line"]))
-        types = (_phase(opened(node)["raw"]) == "analyzed") & (node["line"] == opened(node)["line"] + 1)
-        return F.coalesce(ended | types, F.lit(False))
+    def nodes(tree: Column) -> Column:
+        listed = F.transform(
+            tree["lines"],
+            lambda line, i: F.struct(
+                (tree["start"] + i).alias("line"),
+                F.rtrim(line).alias("raw"),
+                F.regexp_extract(line, TREE_LINE, 2).alias("operator"),
+                tree["phase"].alias("phase"),
+                ((tree["phase"] == "analyzed") & (i == 1)).alias("types"),
+            ),
+        )
+        return F.filter(listed, lambda n: (n["operator"] != "") & ~n["types"])
 
     # The outer form: for the inner one Spark adds a filter on the array's size, which
     # would compute the array a second time.
     kept = (
-        plans.select(*keys, lines.alias("__lines"))
-        .select(*keys, headings.alias("__headings"), blanks.alias("__blanks"), nodes.alias("__nodes"))
-        .select(*keys, "__headings", F.filter("__nodes", lambda n: ~outside(n)).alias("__nodes"))
-        .select(*keys, "__headings", F.posexplode_outer("__nodes").alias("node_index", "__node"))
+        plans.select(*keys, F.split(section, _SECTIONS).alias("__sections"))
+        .select(*keys, "__sections", starts.alias("__starts"))
+        .select(*keys, headed.alias("__headed"))
+        .select(*keys, trees.alias("__trees"))
+        .select(*keys, F.posexplode_outer(F.flatten(F.transform("__trees", nodes))).alias("node_index", "__node"))
         .where("__node IS NOT NULL")
-        .withColumn("__heading", opened(F.col("__node")))
-        .withColumn("phase", F.when(F.col("__heading").isNull(), "unknown").otherwise(_phase(F.col("__heading.raw"))))
+        .withColumn("phase", F.col("__node.phase"))
     )
     raw, operator = F.col("__node.raw"), F.col("__node.operator")
     named = F.create_map(*[F.lit(part) for pair in JOINS.items() for part in pair])

@@ -415,9 +415,25 @@ def test_secret_literals(spark):
         "config.private_key.password",
     ]
     assert sorted(r["path"] for r in observe.secret_literals(df, "c", ["id"]).collect()) == expected
-    assert observe.secret_literals(df, "c", ["id"], max_depth=3).count() == 4
-    with pytest.raises(Exception, match="nests deeper"):
-        observe.secret_literals(df, "c", ["id"], max_depth=1).collect()
+
+
+def test_secret_literals_of_any_depth_and_of_no_json(spark):
+    deep = '{"a":[' * 250 + '{"password": "x\\u0041y", "n": [1, "{", {"to\\u006ben": "abc"}]}' + "]}" * 250
+    rows = [(1, deep), (2, '{"password": "x"'), (3, None), (4, "[]"), (5, '"password"'), (6, '{"password": ["a", "b"], "k": {"secret": "z"}}')]
+    df = spark.createDataFrame(rows, "id int, c string")
+    found = {(r["id"], r["path"], r["value_length"]) for r in observe.secret_literals(df, "c", ["id"]).collect()}
+    inner = "config" + ".a[0]" * 250
+    assert found == {(1, f"{inner}.password", 3), (1, f"{inner}.n[2].token", 3), (6, "config.k.secret", 1)}
+    assert [(r["id"], r["problem"]) for r in observe.unparsable(df, "c", ["id"]).collect()] == [(2, "no JSON in c")]
+
+
+def test_secrets_that_hold_each_other(spark):
+    df = spark.createDataFrame([("xabcdefx abc abcd RED",), ("a.c a+c (abc)",), (None,)], "t string")
+    secrets = {"a": "abc", "b": "abcdef", "z": "RED", "m": "a+c", "n": "***"}
+    got = [r["t"] for r in observe.redact(df, ["t"], secrets, patterns=()).collect()]
+    m = "***REDACTED***"
+    assert got == [f"x{m}x {m} {m}d {m}", f"a.c {m} ({m})", None]
+
 
 
 # Plans

@@ -116,7 +116,7 @@ def test_row_local_operators_do_not_shuffle(spark):
     for result in (
         observe.redact(df, ["t"]),
         observe.diagnose(df, "t"),
-        observe.secret_literals(df, "t", ["id"], max_depth=2),
+        observe.secret_literals(df, "t", ["id"]),
         __import__("pipeops.plans", fromlist=["x"]).plan_nodes(df, ["id"], "p"),
     ):
         assert "Exchange" not in plan(result).split("(1)")[0]
