@@ -177,30 +177,38 @@ def _findings(tokens: Column, root: str) -> Column:
         F.array().cast(f"array<{finding}>").alias("found"),
     )
 
+    def state(acc: Column, **changed: Column) -> Column:
+        return F.struct(*[changed.get(name, acc[name]).alias(name) for name in ("paths", "at", "key", "found")])
+
     def step(acc: Column, token: Column) -> Column:
-        first = F.substring(token, 1, 1)
+        sign, text = token["sign"], token["text"]
         depth = F.size(acc["paths"])
         here, index = F.get(acc["paths"], depth - 1), F.get(acc["at"], depth - 1)
-        in_object = index == -1
-        path = F.when(depth == 0, F.lit(root)).when(in_object, F.concat(here, F.lit("."), acc["key"])).otherwise(
+        path = F.when(depth == 0, F.lit(root)).when(index == -1, F.concat(here, F.lit("."), acc["key"])).otherwise(
             F.concat(here, F.lit("["), index, F.lit("]"))
         )
-        opens, closes = first.isin("{", "["), first.isin("}", "]")
-        text = F.when(first == '"', _unquoted(token))
-        names = (first == '"') & in_object & acc["key"].isNull()
-        hit = (
-            (first == '"') & in_object & F.lower(acc["key"]).rlike(words) & (F.length(text) > 0) & ~F.startswith(text, F.lit(REFERENCE))
-        )
-        begun = F.when(first == "{", F.lit(-1)).otherwise(F.lit(0))
-        below = F.slice(acc["at"], 1, F.greatest(depth - 1, F.lit(0)))
-        return F.struct(
-            F.when(opens, F.array_append(acc["paths"], path)).when(closes, F.slice(acc["paths"], 1, F.greatest(depth - 1, F.lit(0)))).otherwise(acc["paths"]).alias("paths"),
-            F.when(opens, F.array_append(acc["at"], begun)).when(closes, below).when((first == ",") & (index >= 0), F.array_append(below, index + 1)).otherwise(acc["at"]).alias("at"),
-            F.when(names, text).when(opens | closes | (first == ","), F.lit(None).cast("string")).otherwise(acc["key"]).alias("key"),
-            F.when(hit, F.array_append(acc["found"], F.struct(path.alias("path"), F.length(text).alias("value_length")))).otherwise(acc["found"]).alias("found"),
+        no_key = F.lit(None).cast("string")
+        outer = F.greatest(depth - 1, F.lit(0))
+        hit = F.lower(acc["key"]).rlike(words) & (F.length(text) > 0) & ~F.startswith(text, F.lit(REFERENCE))
+        finding = F.struct(path.alias("path"), F.length(text).alias("value_length"))
+        # one branch a token; what does not change is handed on as it is
+        return (
+            F.when((sign == '"') & (index == -1) & acc["key"].isNull(), state(acc, key=text))
+            .when((sign == '"') & (index == -1) & hit, state(acc, found=F.array_append(acc["found"], finding)))
+            .when(sign == '"', acc)
+            .when((sign == ",") & (index >= 0), state(acc, at=F.array_append(F.slice(acc["at"], 1, outer), index + 1)))
+            .when(sign == ",", state(acc, key=no_key))
+            .when(
+                sign.isin("{", "["),
+                state(acc, paths=F.array_append(acc["paths"], path), at=F.array_append(acc["at"], F.when(sign == "{", -1).otherwise(0)), key=no_key),
+            )
+            .otherwise(state(acc, paths=F.slice(acc["paths"], 1, outer), at=F.slice(acc["at"], 1, outer), key=no_key))
         )
 
-    return F.aggregate(tokens, begin, step)["found"]
+    signed = F.transform(
+        tokens, lambda t: F.struct(F.substring(t, 1, 1).alias("sign"), F.when(F.startswith(t, F.lit('"')), _unquoted(t)).alias("text"))
+    )
+    return F.aggregate(signed, begin, step)["found"]
 
 
 def _json_text(df: DataFrame, column: str) -> DataFrame:

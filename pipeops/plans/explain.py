@@ -101,12 +101,19 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     shuffles = operator.isin("Exchange", "RepartitionByExpression")
     count = F.when(F.contains(raw, F.lit("SinglePartition")), "1").otherwise(F.regexp_extract(raw, _COUNT, 1))
     moved = F.when(operator.endswith("Exchange") & (operator != "ReusedExchange"), F.substring(raw, F.instr(raw, F.col("__node.operator")), F.length(raw)))
-    blanked = lambda line: F.regexp_replace(F.regexp_replace(line, r"#\d+L?", "#?"), r"\b((?:plan_)?id)=#?\d+", "$1=?")
+
+    def blanked(line: Column) -> Column:
+        """Without the numbers of expressions and plans; one pass over the line."""
+        numbered = F.contains(line, F.lit("#")) | F.contains(line, F.lit("id="))
+        return F.when(numbered, F.regexp_replace(line, r"(#)\d+L?|\b((?:plan_)?id=)\d+", "$1$2?")).otherwise(line)
+
+    # what stands before the name consists of these signs, three a level
+    branch = F.length(raw) - F.length(F.ltrim(raw, F.lit(" :+-")))
     return kept.select(
         *keys,
         "node_index",
         operator.alias("operator"),
-        (F.length(F.regexp_extract(raw, TREE_LINE, 1)) / 3).cast("int").alias("depth"),
+        (branch / 3).cast("int").alias("depth"),
         F.col("__node.line").alias("line"),
         "phase",
         F.try_element_at(named, operator).alias("join_strategy"),
