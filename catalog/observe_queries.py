@@ -427,7 +427,7 @@ _PAIRS = """(SELECT * FROM (
     "d8_run_deltas",
     f"""SELECT left_run, right_run, floor(l.o_totalprice) AS left_seconds, floor(r.o_totalprice) AS right_seconds,
                floor(r.o_totalprice) - floor(l.o_totalprice) AS delta_seconds, l.o_orderstatus <> r.o_orderstatus AS status_changed,
-               l.o_orderpriority <> r.o_orderpriority AS mode_changed, l.o_custkey <> r.o_custkey AS code_changed
+               l.o_orderpriority <> r.o_orderpriority AS mode_changed, l.o_custkey <> r.o_custkey AS code_changed, true AS available
         FROM {_PAIRS} JOIN orders l ON l.o_orderkey = left_run JOIN orders r ON r.o_orderkey = right_run""",
 )
 def d8_run_deltas(spark, sf):
@@ -452,7 +452,9 @@ def d8_run_deltas(spark, sf):
                CAST(coalesce(r.wr, 0) - coalesce(l.wr, 0) AS BIGINT) AS shuffle_write_bytes_delta,
                left_run IN (SELECT run FROM s) AND right_run IN (SELECT run FROM s) AS available
         FROM keys k LEFT JOIN s l ON l.run = left_run AND l.stage_id = k.stage_id
-        LEFT JOIN s r ON r.run = right_run AND r.stage_id = k.stage_id""",
+        LEFT JOIN s r ON r.run = right_run AND r.stage_id = k.stage_id
+        UNION ALL SELECT left_run, right_run, NULL, NULL, NULL, false FROM {_PAIRS}
+        WHERE left_run NOT IN (SELECT run FROM s) AND right_run NOT IN (SELECT run FROM s)""",
 )
 def d8_stage_deltas(spark, sf):
     stages = table(spark, sf, "lineitem").selectExpr(
@@ -482,6 +484,67 @@ def d8_problem_changes(spark, sf):
     return observe.problem_changes(problems, _pairs(spark, sf))
 
 
+# Nodes of a run: the numbers of an order's lines. A line's flags decide which fields its node has and their types.
+
+_NODE_FACTS = """(SELECT l_orderkey AS run_id, l_linenumber AS node_id, min(l_returnflag) AS flag, max(l_linestatus) AS status, count(*) AS n,
+                         min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY ALL)"""
+
+
+def _snapshots(spark, sf):
+    facts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("node_id")).agg(
+        F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high")
+    )
+    return facts.selectExpr(
+        "run_id",
+        "node_id",
+        """CASE WHEN low < 48 THEN array_compact(array(named_struct('name', 'id', 'type', 'long', 'nullable', false),
+             named_struct('name', 'state', 'type', CASE status WHEN 'F' THEN 'string' ELSE 'int' END, 'nullable', true),
+             CASE WHEN flag = 'R' THEN named_struct('name', 'returned', 'type', 'boolean', 'nullable', true) END)) END AS schema""",
+        """CASE WHEN high > 2 THEN array(named_struct('column', 'quantity', 'count', n, 'null_count', 0L, 'distinct_count', n, 'min', low, 'max', high)) END AS profile""",
+    )
+
+
+_NODES_MET = f"""met AS (
+      SELECT left_run, right_run, node_id, b.low < 48 AS b_has, a.low < 48 AS a_has, b.high > 2 AS b_prof, a.high > 2 AS a_prof,
+             b.flag = 'R' AS b_ret, a.flag = 'R' AS a_ret, CASE b.status WHEN 'F' THEN 'string' ELSE 'int' END AS b_type,
+             CASE a.status WHEN 'F' THEN 'string' ELSE 'int' END AS a_type, b.n AS b_n, a.n AS a_n, b.low AS b_low, a.low AS a_low, b.high AS b_high, a.high AS a_high
+      FROM (SELECT left_run, right_run, node_id FROM {_PAIRS} JOIN {_NODE_FACTS} f ON run_id IN (left_run, right_run) GROUP BY ALL)
+      LEFT JOIN (SELECT run_id AS left_run, * EXCLUDE (run_id) FROM {_NODE_FACTS} x) b USING (left_run, node_id)
+      LEFT JOIN (SELECT run_id AS right_run, * EXCLUDE (run_id) FROM {_NODE_FACTS} y) a USING (right_run, node_id))"""
+
+
+@query(
+    "d8_node_schema_diffs",
+    f"""WITH {_NODES_MET}, told AS (SELECT *, coalesce(b_has, false) AND coalesce(a_has, false) AS ok FROM met)
+        SELECT left_run, right_run, node_id, true AS available, NULL AS reason, 'state' AS path, 'type_changed' AS kind,
+               b_type AS before_type, a_type AS after_type, true AS breaking FROM told WHERE ok AND b_type <> a_type
+        UNION ALL SELECT left_run, right_run, node_id, true, NULL, 'returned', 'added', NULL, 'boolean', false FROM told WHERE ok AND a_ret AND NOT b_ret
+        UNION ALL SELECT left_run, right_run, node_id, true, NULL, 'returned', 'removed', 'boolean', NULL, true FROM told WHERE ok AND b_ret AND NOT a_ret
+        UNION ALL SELECT left_run, right_run, node_id, true, NULL, NULL, NULL, NULL, NULL, NULL FROM told WHERE ok AND b_type = a_type AND a_ret = b_ret
+        UNION ALL SELECT left_run, right_run, node_id, false, 'schema missing', NULL, NULL, NULL, NULL, NULL FROM told WHERE NOT ok""",
+)
+def d8_node_schema_diffs(spark, sf):
+    diffs = observe.node_schema_diffs(observe.node_snapshots(_snapshots(spark, sf), _pairs(spark, sf)))
+    return diffs.select(
+        "left_run", "right_run", "node_id", "available", "reason", "path", "kind", "before_type", "after_type", "breaking"
+    )
+
+
+@query(
+    "d8_node_profile_diffs",
+    f"""WITH {_NODES_MET}, told AS (SELECT *, coalesce(b_prof, false) AND coalesce(a_prof, false) AS ok FROM met),
+             metrics AS (SELECT * FROM (VALUES ('count'), ('null_count'), ('distinct_count'), ('min'), ('max')) m(metric)),
+             valued AS (SELECT left_run, right_run, node_id, metric,
+                 CAST(CASE metric WHEN 'null_count' THEN 0 WHEN 'min' THEN b_low WHEN 'max' THEN b_high ELSE b_n END AS DOUBLE) AS before,
+                 CAST(CASE metric WHEN 'null_count' THEN 0 WHEN 'min' THEN a_low WHEN 'max' THEN a_high ELSE a_n END AS DOUBLE) AS after FROM told, metrics WHERE ok)
+        SELECT left_run, right_run, node_id, true AS available, NULL AS reason, metric, 'ok' AS status, before, after, after - before AS delta FROM valued
+        UNION ALL SELECT left_run, right_run, node_id, false, 'profile metrics missing', NULL, NULL, NULL, NULL, NULL FROM told WHERE NOT ok""",
+)
+def d8_node_profile_diffs(spark, sf):
+    diffs = observe.node_profile_diffs(observe.node_snapshots(_snapshots(spark, sf), _pairs(spark, sf)))
+    return diffs.select("left_run", "right_run", "node_id", "available", "reason", "metric", "status", "before", "after", "delta")
+
+
 # Suppliers are nodes with line ranges, events are log lines naming a code line.
 
 _RANGES = """(SELECT s_suppkey AS node_id, 'transformations/generated.py' AS file, CAST(1 + 3 * s_nationkey AS INT) AS start_line,

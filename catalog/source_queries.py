@@ -210,6 +210,26 @@ def s7_generic(spark, sf):
     return df.where("s_acctbal > 0").select("s_suppkey", "s_name")
 
 
+@query("s7_python_source", "SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")
+def s7_python_source(spark, sf):
+    """A registered Python data source, with a partition per row group."""
+    sources.register(spark)
+    df = sources.read_generic(spark, "row_groups", {"path": f"{sf}/orders.parquet"})
+    return df.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+
+
+@query("s7_python_stream", "SELECT event_id, ts, event_type, value FROM events WHERE value > 10")
+def s7_python_stream(spark, sf):
+    """The same source as a stream, written through its own sink and read back."""
+    sources.register(spark)
+    home = scratch(spark, "row-groups")
+    events = sources.read_generic(spark, "row_groups", {"path": f"{sf}/events.parquet"}, streaming=True)
+    kept = events.where("value > 10").select("event_id", "ts", "event_type", "value")
+    running = outputs.external_sink(kept, _name("row_groups"), "row_groups", f"{home}/checkpoint", {"path": f"{home}/out"})
+    running.awaitTermination()
+    return sources.read_generic(spark, "row_groups", {"path": f"{home}/out"}, schema=kept.schema)
+
+
 @query(
     "s8_custom_source",
     "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",

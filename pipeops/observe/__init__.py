@@ -3,7 +3,7 @@ from .logs import attribute_log_lines
 from .profiles import profile, profile_diff, top_values
 from .progress import streaming_progress
 from .redaction import redact, redact_value, redaction_counts, secret_literals, unparsable
-from .runs import problem_changes, run_deltas, stage_deltas
+from .runs import node_profile_diffs, node_schema_diffs, node_snapshots, problem_changes, run_deltas, stage_deltas
 from .schemas import (
     schema_changes,
     schema_contract_status,
@@ -23,6 +23,9 @@ __all__ = [
     "Trace",
     "attribute_log_lines",
     "diagnose",
+    "node_profile_diffs",
+    "node_schema_diffs",
+    "node_snapshots",
     "problem_changes",
     "profile",
     "profile_diff",

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .profiles import profile_diff
+from .schemas import schema_changes, schema_fingerprint
+
 PAIR = ("left_run", "right_run")
 
 
@@ -15,12 +18,13 @@ def run_deltas(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Durations in seconds and what else differs between the two runs of each pair.
 
     ``runs(run_id, started_at, finished_at, status, mode, code_hash)``; a duration is
-    null while a run has not both started and finished.
+    null while a run has not both started and finished. A pair of which a run is not known
+    stays, with ``available = false`` and nothing compared.
     """
     seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(
         F.col("started_at").cast("timestamp")
     )) / 1_000_000
-    facts = runs.select("run_id", seconds.alias("seconds"), "status", "mode", "code_hash")
+    facts = runs.select("run_id", seconds.alias("seconds"), "status", "mode", "code_hash", F.lit(True).alias("known"))
 
     def side(name: str) -> DataFrame:
         return facts.select(
@@ -28,10 +32,11 @@ def run_deltas(runs: DataFrame, pairs: DataFrame) -> DataFrame:
             *[F.col(c).alias(f"{name}_{c}") for c in facts.columns if c != "run_id"],
         )
 
-    both = pairs.select(*PAIR).join(side("left"), "left_run").join(side("right"), "right_run")
+    both = pairs.select(*PAIR).join(side("left"), "left_run", "left").join(side("right"), "right_run", "left")
+    known = F.col("left_known").isNotNull() & F.col("right_known").isNotNull()
 
     def differs(name: str):
-        return ~F.col(f"left_{name}").eqNullSafe(F.col(f"right_{name}"))
+        return F.when(known, ~F.col(f"left_{name}").eqNullSafe(F.col(f"right_{name}")))
 
     return both.select(
         *PAIR,
@@ -41,6 +46,7 @@ def run_deltas(runs: DataFrame, pairs: DataFrame) -> DataFrame:
         differs("status").alias("status_changed"),
         differs("mode").alias("mode_changed"),
         differs("code_hash").alias("code_changed"),
+        known.alias("available"),
     )
 
 
@@ -65,7 +71,7 @@ def stage_deltas(
 ) -> DataFrame:
     """Per pair and stage, right minus left for each metric; a stage that one run lacks
     counts as 0 there. Pairs of which one run has no stages at all are marked
-    ``available = false``.
+    ``available = false``; a pair without any stage has one row that says so, with a null stage.
     """
     rows = _of_pairs(stages, pairs)
     left, right = F.col("side") == "left", F.col("side") == "right"
@@ -82,7 +88,8 @@ def stage_deltas(
     seen = compared.groupBy(*PAIR).agg(
         (F.max("in_left") & F.max("in_right")).alias("available")
     )
-    return compared.join(seen, list(PAIR))
+    silent = pairs.select(*PAIR).distinct().join(seen, list(PAIR), "left_anti").withColumn("available", F.lit(False))
+    return compared.join(seen, list(PAIR)).unionByName(silent, allowMissingColumns=True)
 
 
 def problem_changes(problems: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -97,3 +104,56 @@ def problem_changes(problems: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.where("l <> r").select(
         *PAIR, F.when(F.col("r"), "added").otherwise("removed").alias("change"), "message"
     )
+
+
+def node_snapshots(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The snapshots of both runs of each pair, matched per node.
+
+    ``snapshots(run_id, node_id, schema, profile)``: the schema as an array of fields, the
+    profile as an array of column profiles; either may be null. One row per pair and node of
+    either run: ``before_schema, after_schema, before_fingerprint, after_fingerprint,
+    schema_available, schema_reason`` and ``before_profile, after_profile,
+    profile_available, profile_reason``.
+    """
+    rows = _of_pairs(snapshots, pairs)
+    parts = [
+        F.first(F.when(F.col("side") == side, F.col(what)), ignorenulls=True).alias(f"{when}_{what}")
+        for what in ("schema", "profile")
+        for side, when in (("left", "before"), ("right", "after"))
+    ]
+    met = rows.groupBy(*PAIR, "node_id").agg(*parts)
+    for what, reason in (("schema", "schema missing"), ("profile", "profile metrics missing")):
+        there = F.col(f"before_{what}").isNotNull() & F.col(f"after_{what}").isNotNull()
+        met = met.withColumns({f"{what}_available": there, f"{what}_reason": F.when(~there, reason)})
+    return met.withColumns({f"{when}_fingerprint": F.when(F.col("schema_available"), schema_fingerprint(f"{when}_schema")) for when in ("before", "after")})
+
+
+def node_schema_diffs(matched: DataFrame) -> DataFrame:
+    """What changed in the schema of each node, from :func:`node_snapshots`.
+
+    One row per changed field, and one without a path for a node whose schemas are missing
+    (``available = false``, with the reason) or alike. Fingerprints are compared first: only
+    schemas that differ are taken apart. Row by row; nothing is shuffled.
+    """
+    keys = [*PAIR, "node_id"]
+    facts = [F.col("schema_available").alias("available"), F.col("schema_reason").alias("reason"), "before_fingerprint", "after_fingerprint"]
+    named = matched.select(*keys, *facts, "before_schema", "after_schema")
+    carried = [*keys, "available", "reason", "before_fingerprint", "after_fingerprint"]
+    changes = schema_changes(named.where("available AND before_fingerprint <> after_fingerprint"), carried, "before_schema", "after_schema")
+    same = named.where("NOT available OR before_fingerprint = after_fingerprint").select(*carried)
+    return changes.unionByName(same, allowMissingColumns=True)
+
+
+def node_profile_diffs(matched: DataFrame) -> DataFrame:
+    """The profile of each node compared metric by metric (see :func:`profile_diff`), from :func:`node_snapshots`.
+
+    A node without both profiles has one row: ``available = false`` and the reason.
+    """
+    keys = [*PAIR, "node_id"]
+
+    def columns(when: str) -> DataFrame:
+        return matched.where("profile_available").select(*keys, F.inline(f"{when}_profile"))
+
+    compared = profile_diff(columns("before"), columns("after"), [*keys, "column"]).withColumn("available", F.lit(True))
+    missing = matched.where("NOT profile_available").select(*keys, F.col("profile_available").alias("available"), F.col("profile_reason").alias("reason"))
+    return compared.unionByName(missing, allowMissingColumns=True)

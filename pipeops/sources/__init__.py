@@ -12,8 +12,11 @@ from .readers import (
     read_table,
     sql_query,
 )
+from .row_groups import RowGroups, register
 
 __all__ = [
+    "RowGroups",
+    "register",
     "constant",
     "custom_source",
     "dataset_reference",
