@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pipeops.functions import as_column, key_struct
@@ -23,24 +23,27 @@ from pipeops.operators.aggregates import ROW_COUNT
 HIDDEN = ("__trace", "__ordinal", "__overflow")
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Step:
+    """``label`` is the name, with a number where an earlier step has it already: it begins the ids a step gives."""
+
     name: str
+    label: str
     kind: str
-    inputs: tuple[DataFrame, ...]
-    output: DataFrame
+    parents: tuple[Step, ...]
+    make: Callable[..., DataFrame]
     known: bool
     dropped: tuple[DataFrame, ...] = ()
     edges: DataFrame | None = None
 
 
 def _ids(source: str, keys: Sequence[Column]) -> Column:
-    """The source's name and its keys, split by colons; those within a key are escaped, and null is ``\\N``."""
+    """The label of a source or group step and its keys, split by colons; those within are escaped, and null is ``\\N``."""
     def part(key: Column) -> Column:
         text = key.cast("string")
         return F.coalesce(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:")), F.lit("\\N"))
 
-    return F.concat_ws(":", F.lit(source), *[part(k) for k in keys])
+    return F.concat_ws(":", F.lit(source.replace("\\", "\\\\").replace(":", "\\:")), *[part(k) for k in keys])
 
 
 def _visible(df: DataFrame) -> list[str]:
@@ -65,64 +68,81 @@ class Trace:
             F.lit(None).cast("int").alias("__ordinal"),
             F.lit(False).alias("__overflow"),
         )
-        return cls(traced, (Step(name, "source", (), traced, True),))
+        return cls(traced, (Step(name, name, "source", (), lambda: traced, True),))
+
+    def _label(self, name: str, others: Sequence[Trace] = ()) -> str:
+        taken = {s.label for t in (self, *others) for s in t.steps}
+        label, number = name, 1
+        while label in taken:
+            number += 1
+            label = f"{name}#{number}"
+        return label
 
     def _next(
         self,
         name: str,
         kind: str,
-        output: DataFrame,
+        make: Callable[..., DataFrame],
         dropped: Sequence[DataFrame] = (),
         others: Sequence[Trace] = (),
         known: bool = True,
         edges: DataFrame | None = None,
     ) -> Trace:
-        inputs = (self.df, *[o.df for o in others])
         known = known and self.known and all(o.known for o in others)
         earlier = list(self.steps)
         for other in others:
             earlier += [s for s in other.steps if all(s is not e for e in earlier)]
-        step = Step(name, kind, inputs, output, known, tuple(dropped) if known else (), edges)
-        return Trace(output, (*earlier, step), known)
+        groups = [s.label for s in earlier if s.kind == "aggregate"]
+        if len(set(groups)) < len(groups):
+            raise ValueError("two branches have aggregates of one name; name them apart, so that their groups' ids differ")
+        parents = (self.steps[-1], *[o.steps[-1] for o in others])
+        step = Step(name, self._label(name, others), kind, parents, make, known, tuple(dropped) if known else (), edges)
+        return Trace(make(self.df, *[o.df for o in others]), (*earlier, step), known)
 
     # Row-local steps keep the ids as they are.
 
     def filter(self, expression: str | Column, name: str = "filter") -> Trace:
         held = F.coalesce(as_column(expression), F.lit(False))
-        return self._next(name, "filter", self.df.where(held), [self.df.where(~held)])
+        return self._next(name, "filter", lambda df: df.where(held), [self.df.where(~held)])
 
     def select(self, columns: Sequence, name: str = "select") -> Trace:
         wanted = [c for c in _visible(self.df)] if list(columns) == ["*"] else list(columns)
         hidden = [h for h in HIDDEN if h in self.df.columns]
-        return self._next(name, "select", shaping.select(self.df, [*wanted, *hidden]))
+        return self._next(name, "select", lambda df: shaping.select(df, [*wanted, *hidden]))
 
     def derive(self, column: str, expression: str | Column, name: str = "derive") -> Trace:
-        return self._next(name, "derive", shaping.derive(self.df, column, expression))
+        return self._next(name, "derive", lambda df: shaping.derive(df, column, expression))
 
     def rename(self, mapping: Mapping[str, str], name: str = "rename") -> Trace:
-        return self._next(name, "rename", shaping.rename(self.df, mapping))
+        return self._next(name, "rename", lambda df: shaping.rename(df, mapping))
 
     def cast(self, column: str, data_type: str, name: str = "cast") -> Trace:
-        return self._next(name, "cast", shaping.cast(self.df, column, data_type))
+        return self._next(name, "cast", lambda df: shaping.cast(df, column, data_type))
 
     def union(self, other: Trace, name: str = "union") -> Trace:
-        return self._next(name, "union", self.df.unionByName(other.df), others=[other])
+        return self._next(name, "union", DataFrame.unionByName, others=[other])
 
     def explode(self, column: str, target: str, name: str = "explode", outer: bool = True) -> Trace:
         """Copies of a row share its ids and differ in ``__ordinal``."""
-        out = shaping.posexplode(self.df.drop("__ordinal"), column, target, "__ordinal", outer)
+
+        def make(df: DataFrame) -> DataFrame:
+            return shaping.posexplode(df.drop("__ordinal"), column, target, "__ordinal", outer)
+
         none = F.coalesce(F.size(F.col(column)), F.lit(0)) <= 0
-        return self._next(name, "explode", out, [] if outer else [self.df.where(none)])
+        return self._next(name, "explode", make, [] if outer else [self.df.where(none)])
 
     def output(self, name: str = "output") -> Trace:
-        return self._next(name, "output", self.df)
+        return self._next(name, "output", lambda df: df)
 
     # Steps that move rows.
 
     def join(self, other: Trace, condition: str, how: str = "inner", name: str = "join") -> Trace:
         """A joined row has the ids of both sides; rows of either that find no partner and do not go on are lost."""
-        out = joins.join(self.df, other.df, condition, how)
-        if "right___trace" in out.columns:
+
+        def make(left: DataFrame, right: DataFrame) -> DataFrame:
+            out = joins.join(left, right, condition, how)
+            if "right___trace" not in out.columns:
+                return out
             nothing = F.array().cast("array<string>")
             ids = F.array_union(
                 F.coalesce("__trace", nothing), F.coalesce("right___trace", nothing)
@@ -133,7 +153,8 @@ class Trace:
                 "__overflow": F.coalesce("__overflow", F.lit(False))
                 | F.coalesce("right___overflow", F.lit(False)),
             }
-            out = out.withColumns(both).drop(*[f"right_{h}" for h in HIDDEN])
+            return out.withColumns(both).drop(*[f"right_{h}" for h in HIDDEN])
+
         lost = []
         if how in ("inner", "left_semi", "semi", "right", "right_outer"):
             lost.append(joins.join(self.df, other.df, condition, "left_anti"))
@@ -142,7 +163,7 @@ class Trace:
         if how in ("inner", "left", "left_outer"):
             met = joins.join(self.df, other.df, condition, "right").where("__trace IS NULL")
             lost.append(met.select(F.col("right___trace").alias("__trace")))
-        return self._next(name, "join", out, lost, [other])
+        return self._next(name, "join", make, lost, [other])
 
     def aggregate(
         self,
@@ -150,36 +171,43 @@ class Trace:
         aggregations: Sequence[Mapping[str, str]] = ROW_COUNT,
         name: str = "aggregate",
     ) -> Trace:
-        """A group has one id, of this step's name and its keys; :meth:`contributions` has
+        """A group has one id, of this step's label and its keys; :meth:`contributions` has
         an edge for every row that went into it. Making edges shuffles nothing.
         """
         keys = list(group_by)
-        keyed = self.df.withColumn("__key", key_struct(keys) if keys else F.struct(F.lit(1)))
-        grouped = keyed.groupBy("__key").agg(
-            *[as_column(a["expression"]).alias(a["alias"]) for a in aggregations],
-            F.max("__overflow").alias("__more"),
-        )
-        group = _ids(name, [F.col(f"__key.k{i}") for i in range(len(keys))])
-        out = grouped.select(
-            *[F.col(f"__key.k{i}").alias(k) for i, k in enumerate(keys)],
-            *[a["alias"] for a in aggregations],
-            F.array(group).alias("__trace"),
-            F.lit(None).cast("int").alias("__ordinal"),
-            F.coalesce("__more", F.lit(False)).alias("__overflow"),
-        )
-        edges = keyed.select(F.lit(name).alias("step"), group.alias("group_id"), F.explode("__trace").alias("trace_id"))
-        return self._next(name, "aggregate", out, edges=edges)
+        group = _ids(self._label(name), [F.col(f"__key.k{i}") for i in range(len(keys))])
+
+        def keyed(df: DataFrame) -> DataFrame:
+            return df.withColumn("__key", key_struct(keys) if keys else F.struct(F.lit(1)))
+
+        def make(df: DataFrame) -> DataFrame:
+            grouped = keyed(df).groupBy("__key").agg(
+                *[as_column(a["expression"]).alias(a["alias"]) for a in aggregations],
+                F.max("__overflow").alias("__more"),
+            )
+            return grouped.select(
+                *[F.col(f"__key.k{i}").alias(k) for i, k in enumerate(keys)],
+                *[a["alias"] for a in aggregations],
+                F.array(group).alias("__trace"),
+                F.lit(None).cast("int").alias("__ordinal"),
+                F.coalesce("__more", F.lit(False)).alias("__overflow"),
+            )
+
+        edges = keyed(self.df).select(F.lit(name).alias("step"), group.alias("group_id"), F.explode("__trace").alias("trace_id"))
+        return self._next(name, "aggregate", make, edges=edges)
 
     def custom(self, fn: Callable[[DataFrame], DataFrame], name: str = "custom") -> Trace:
         """After a user function the lineage is unknown. It sees no hidden columns."""
-        plain = shaping.custom(self.df.select(*_visible(self.df)), fn)
-        out = plain.select(
-            "*",
-            F.array().cast("array<string>").alias("__trace"),
-            F.lit(None).cast("int").alias("__ordinal"),
-            F.lit(True).alias("__overflow"),
-        )
-        return self._next(name, "custom", out, known=False)
+
+        def make(df: DataFrame) -> DataFrame:
+            return shaping.custom(df.select(*_visible(df)), fn).select(
+                "*",
+                F.array().cast("array<string>").alias("__trace"),
+                F.lit(None).cast("int").alias("__ordinal"),
+                F.lit(True).alias("__overflow"),
+            )
+
+        return self._next(name, "custom", make, known=False)
 
     # Answers.
 
@@ -199,35 +227,33 @@ class Trace:
     def report(self) -> DataFrame:
         """One row per step: ``(ordinal, step, type, rows_in, rows_out, status)``.
 
-        Each step's rows are counted in one small aggregate and all counts run in one
-        job; the plan below a step is shared by Spark where it shuffles.
+        The steps are put together once more, each with an observed count, and the last one is
+        run: one job that reads every source once counts them all, here and now. Like all
+        observed counts they are of the work done: if an executor is lost, rows of a task that
+        is repeated after a shuffle may count twice; run the report again then.
         """
-        counted = [
-            s.output.agg(F.count(F.lit(1)).alias("rows_out")).select(
-                F.lit(i).alias("ordinal"),
-                F.lit(s.name).alias("step"),
-                F.lit(s.kind).alias("type"),
-                F.lit("known" if s.known else "unknown").alias("status"),
-                F.array(*[F.lit(j) for j in self._feeding(s)]).cast("array<int>").alias("__from"),
-                "rows_out",
-            )
+        made: dict[int, DataFrame] = {}
+        seen: dict[int, Observation] = {}
+        for i, step in enumerate(self.steps):
+            seen[i] = Observation(f"step {i} of {id(self)}")
+            inputs = [made[self.steps.index(parent)] for parent in step.parents]
+            made[i] = step.make(*inputs).observe(seen[i], F.count(F.lit(1)).alias("n"))
+        made[len(self.steps) - 1].write.format("noop").mode("overwrite").save()
+        out = [self._observed(seen[i], made[i]) for i in range(len(self.steps))]
+        rows = [
+            (i, s.name, s.kind, sum(out[self.steps.index(p)] for p in s.parents), out[i], "known" if s.known else "unknown")
             for i, s in enumerate(self.steps)
         ]
-        outs = reduce(DataFrame.unionByName, counted)
-        # As many rows as there are steps.
-        everything = Window.partitionBy()
-        sizes = F.map_from_entries(F.collect_list(F.struct("ordinal", "rows_out")).over(everything))
-        fed = F.aggregate(
-            F.transform("__from", lambda j: F.element_at("__sizes", j)),
-            F.lit(0).cast("long"),
-            lambda total, n: total + n,
-        )
-        return outs.withColumn("__sizes", sizes).select(
-            "ordinal", "step", "type", fed.alias("rows_in"), "rows_out", "status"
-        )
-
-    def _feeding(self, step: Step) -> list[int]:
-        return [i for d in step.inputs for i, s in enumerate(self.steps) if s.output is d]
+        schema = "ordinal int, step string, type string, rows_in long, rows_out long, status string"
+        return self.df.sparkSession.createDataFrame(rows, schema)
+
+    @staticmethod
+    def _observed(seen: Observation, made: DataFrame) -> int:
+        """The observed count, or a count of its own where the optimizer left the step out (next to an empty input)."""
+        try:
+            return seen.get["n"]
+        except Exception:  # noqa: BLE001  the gateway has no error of its own for a missing row
+            return made.count()
 
     def contributions(self) -> DataFrame:
         """``(step, group_id, trace_id)``: an edge from every group to each row it was made of.

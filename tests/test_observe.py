@@ -498,3 +498,26 @@ def test_spark_hashes(spark, sf_dir):
         data = row["text"].encode()
         assert row["c"] == zlib.crc32(data)
         assert row["x"] % 2**64 == xxhash.xxh64(data, seed=42).intdigest()
+
+
+def test_groups_of_two_steps_have_ids_of_their_own(spark):
+    df = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (3, "y", "p")], "id int, a string, b string")
+    trace = observe.Trace.start(df, ["id"], "t:1")
+    twice = trace.aggregate(["a", "b"]).aggregate(["a"], [{"expression": "sum(row_count)", "alias": "n"}])
+    edges = {tuple(r) for r in twice.contributions().collect()}
+    assert ("aggregate", "aggregate:x:p", "t\\:1:1") in edges and ("aggregate", "aggregate#2:x", "aggregate:x:p") in edges
+    gone = twice.filter("a = 'y'")
+    assert sorted(r["trace_id"] for r in gone.fates().collect()) == ["t\\:1:1", "t\\:1:2"]
+    same = trace.aggregate(["a"], name="t:1")
+    assert {r["group_id"] for r in same.contributions().collect()} == {"t\\:1#2:x", "t\\:1#2:y"}
+    with pytest.raises(ValueError, match="name them apart"):
+        trace.aggregate(["a"]).join(trace.aggregate(["b"]), "left.a = right.b")
+
+
+def test_report_of_a_table_met_twice_and_of_nothing(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(9)], "id int, k int")
+    source = observe.Trace.start(df, ["id"], "t")
+    both = source.join(source.filter("id < 4"), "left.k = right.k")
+    assert [(r["step"], r["rows_in"], r["rows_out"]) for r in both.report().collect()] == [("t", 0, 9), ("filter", 9, 4), ("join", 13, 12)]
+    none = source.filter("id < 0").aggregate(["k"])
+    assert [(r["rows_in"], r["rows_out"]) for r in none.report().collect()] == [(0, 9), (9, 0), (0, 0)]
