@@ -617,8 +617,8 @@ def _traced(spark, sf):
         ["o_orderkey"],
         "orders",
     )
-    rich = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    customers = observe.Trace.start(rich, ["c_custkey"], "customers")
+    known = table(spark, sf, "customer").selectExpr("if(c_custkey % 4 = 0, -c_custkey, c_custkey) AS c_custkey", "c_mktsegment")
+    customers = observe.Trace.start(known, ["c_custkey"], "customers")
     finished = orders.filter("o_orderstatus = 'F'", "finished").derive("half", "o_totalprice / 2")
     return finished.join(customers, "left.o_custkey = right.c_custkey", name="with_customer")
 
@@ -630,7 +630,7 @@ def _totals(spark, sf):
 
 
 _TRACE = """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F'),
-                 r AS (SELECT * FROM customer WHERE c_acctbal > 0),
+                 r AS (SELECT * REPLACE (CASE WHEN c_custkey % 4 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey) FROM customer),
                  j AS (SELECT * FROM f JOIN r ON o_custkey = c_custkey)"""
 
 

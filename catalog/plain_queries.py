@@ -15,9 +15,9 @@ _BY_CUSTOMER = "PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey"
 
 
 def _full_join(spark, sf):
-    debtors = table(spark, sf, "customer").where("c_acctbal < 1000").select("c_custkey", "c_mktsegment")
-    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    return debtors.join(urgent, F.col("c_custkey") == F.col("o_custkey"), "full")
+    customers = table(spark, sf, "customer").selectExpr("if(c_custkey % 3 = 0, -c_custkey, c_custkey) AS c_custkey", "c_mktsegment")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "full")
 
 
 def _intersect(spark, sf):

@@ -10,27 +10,27 @@ from pipeops.session import scratch
 
 from .registry import query, table
 
-# Joins. Lists of orders and customers are narrowed by their own attributes so that
+# Joins of whole tables. Every third customer stands under a number that no order has, so that
 # both sides have rows without a partner.
 
 
-def _debtors(spark, sf):
-    return table(spark, sf, "customer").where("c_acctbal < 1000").select("c_custkey", "c_mktsegment")
+def _customers(spark, sf):
+    return table(spark, sf, "customer").selectExpr("if(c_custkey % 3 = 0, -c_custkey, c_custkey) AS c_custkey", "c_mktsegment")
 
 
-def _urgent(spark, sf):
-    return table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey")
 
 
-_DEBTORS = "(SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal < 1000) l"
-_URGENT = "(SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') r"
+_CUSTOMERS = "(SELECT CASE WHEN c_custkey % 3 = 0 THEN -c_custkey ELSE c_custkey END AS c_custkey, c_mktsegment FROM customer) l"
+_ORDERS = "(SELECT o_orderkey, o_custkey FROM orders) r"
 _ON = "left.c_custkey = right.o_custkey"
 
 
 def _register_join(name, how, sql_how):
     columns = "l.*" if how in ("left_semi", "left_anti") else "*"
-    query(name, f"SELECT {columns} FROM {_DEBTORS} {sql_how} JOIN {_URGENT} ON c_custkey = o_custkey")(
-        lambda spark, sf: ops.join(_debtors(spark, sf), _urgent(spark, sf), _ON, how)
+    query(name, f"SELECT {columns} FROM {_CUSTOMERS} {sql_how} JOIN {_ORDERS} ON c_custkey = o_custkey")(
+        lambda spark, sf: ops.join(_customers(spark, sf), _orders(spark, sf), _ON, how)
     )
 
 
@@ -42,9 +42,9 @@ _register_join("j5_semi_join", "left_semi", "SEMI")
 _register_join("j6_anti_join", "left_anti", "ANTI")
 
 
-@query("j4_full_join_single", f"SELECT * FROM {_DEBTORS} FULL JOIN {_URGENT} ON c_custkey = o_custkey")
+@query("j4_full_join_single", f"SELECT * FROM {_CUSTOMERS} FULL JOIN {_ORDERS} ON c_custkey = o_custkey")
 def j4_full_join_single(spark, sf):
-    return ops.join(_debtors(spark, sf), _urgent(spark, sf), _ON, "full", split_full=False)
+    return ops.join(_customers(spark, sf), _orders(spark, sf), _ON, "full", split_full=False)
 
 
 @query("j7_cross_join", "SELECT c_custkey, r_name FROM customer CROSS JOIN region")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Every octave of magnitude is cut into this many buckets, so that a group has a few
 # hundred at most for integers, whatever its size.
 _STEPS = 16
+# A bucket that holds a rank is cut into this many parts once more.
+_FINE = 1024
 
 
 def _bucket(value: Column) -> Column:
@@ -18,53 +20,67 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size)
 
 
+def _narrowed(counted: DataFrame, group: list[str], cell: Column, targets: DataFrame | None, wanted: Column | None) -> DataFrame:
+    """The cells that hold a rank: ``group.., __cell, __from, __ranks, __low, __high``; at most one row per group and rank.
+
+    ``targets`` has the ranks of each group and the number of values before it; without it
+    groups begin at 0 and ``wanted`` makes the ranks from ``n``.
+    """
+    histogram = counted.groupBy(*group, cell.alias("__cell")).agg(
+        F.sum("__c").alias("__bc"), F.min("__v").alias("__low"), F.max("__v").alias("__high")
+    )
+    whole = Window.partitionBy(*group)
+    up_to = whole.orderBy("__cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = histogram.withColumn("n", F.sum("__bc").over(whole)).withColumn("__to", F.sum("__bc").over(up_to))
+    if targets is None:
+        placed = placed.withColumns({"__begin": F.lit(0).cast("long"), "__asked": wanted})
+    else:
+        placed = placed.join(targets.select(*group, F.col("__from").alias("__begin"), F.col("__ranks").alias("__asked")), group)
+    upto = F.col("__begin") + F.col("__to")
+    before = upto - F.col("__bc")
+    inside = F.filter("__asked", lambda r: (r["rank"] > before) & (r["rank"] <= upto))
+    held = placed.select(*group, "__cell", before.alias("__from"), inside.alias("__ranks"), "__low", "__high")
+    return held.where(F.size("__ranks") > 0)
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], count: str | None = None
 ) -> DataFrame:
     """One row per group with the value at each requested rank. Keys must not be null.
 
     ``ranks`` maps an output name to a 1-based rank written over the column ``n``,
-    the number of non-null values in the group.
+    the number of non-null values in the group, and the keys; a null rank asks for nothing.
 
-    A histogram, combined before its shuffle, tells which bucket of magnitude holds
-    each rank; only the distinct values of those buckets are then put in order. Equal
-    values are counted before the shuffle and its key holds the value, so a group with
-    a third of all rows is spread over all tasks.
+    Equal values are counted once, before the shuffle, and its key holds the value, so a
+    group with a third of all rows is spread over all tasks. A histogram over buckets of
+    magnitude tells which bucket holds each rank, a second one over ``_FINE`` equal cuts of
+    that bucket's values which part of it; only the distinct values of that part are put in
+    order. ``count`` names a column of counts if ``df`` has one row per group and non-null
+    value already.
     """
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    bucketed = values.withColumn("__b", _bucket(F.col("__v")))
-    histogram = bucketed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__bc"))
-    group = Window.partitionBy(*keys)
-    up_to = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = histogram.withColumn("n", F.sum("__bc").over(group)).withColumn(
-        "__to", F.sum("__bc").over(up_to)
-    )
-    before = F.col("__to") - F.col("__bc")
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()]
-    )
-    inside = F.filter(wanted, lambda r: (r["rank"] > before) & (r["rank"] <= F.col("__to")))
-    # The buckets that hold a rank: at most one row per group and rank.
-    targets = placed.select(*keys, "__b", before.alias("__from"), inside.alias("__ranks")).where(
-        F.size("__ranks") > 0
-    )
-
-    counted = (
-        values.groupBy(*keys, "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", _bucket(F.col("__v")))
-    )
-    in_bucket = Window.partitionBy(*keys, "__b").orderBy("__v")
-    running = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = counted.join(targets, [*keys, "__b"]).withColumn(
-        "__upto", F.col("__from") + F.sum("__c").over(running)
-    )
-    hit = F.filter(
-        "__ranks",
-        lambda r: (r["rank"] <= F.col("__upto")) & (r["rank"] > F.col("__upto") - F.col("__c")),
-    )
-    hits = ordered.select(*keys, "__v", F.explode(hit).alias("__r"))
+    if count is None:
+        values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+        counted = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    else:
+        counted = df.select(*keys, F.col(value).alias("__v"), F.col(count).alias("__c"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()])
+    # never null, so that joins need no filter and all of them read the counts of one shuffle
+    coarse = F.coalesce(_bucket(F.col("__v")), F.lit(0))
+    buckets = _narrowed(counted, keys, coarse, None, wanted).withColumnRenamed("__cell", "__b")
+    marked = counted.withColumn("__b", coarse)
+    part = [*keys, "__b"]
+    span = F.col("__high").cast("double") - F.col("__low").cast("double")
+    share = (F.col("__v").cast("double") - F.col("__low").cast("double")) / span
+    fine = F.when(span > 0, F.floor(share * (_FINE - 1))).otherwise(F.lit(0)).cast("int")
+    inner = marked.join(buckets.select(*part, "__low", "__high"), part).withColumn("__f", fine)
+    cells = _narrowed(inner.drop("__low", "__high"), part, F.col("__f"), buckets, None).withColumnRenamed("__cell", "__f")
+    cell = [*part, "__f"]
+    running = Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = inner.drop("__low", "__high").join(cells.select(*cell, "__from", "__ranks"), cell)
+    placed = ordered.withColumn("__upto", F.col("__from") + F.sum("__c").over(running))
+    hit = F.filter("__ranks", lambda r: (r["rank"] <= F.col("__upto")) & (r["rank"] > F.col("__upto") - F.col("__c")))
+    hits = placed.select(*keys, "__v", F.explode(hit).alias("__r"))
     return hits.groupBy(*keys).agg(
         *[F.max(F.when(F.col("__r.name") == name, F.col("__v"))).alias(name) for name in ranks]
     )

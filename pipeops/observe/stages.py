@@ -110,33 +110,45 @@ def stage_summary(
     over the median task. ``merge_attempts`` puts a stage's attempts together.
     Stage ids repeat between applications, so lines should carry a column ``app``.
 
-    Sums are combined before the shuffle, and quantiles are exact without gathering
-    a stage in one task; they read the parsed tasks a second time. ``store`` names a
-    new folder, shared by the cluster, to keep the parsed tasks in (a few per cent of
-    the log), so that the log itself is read and parsed once.
+    A line is parsed once. Every task gives a row per metric, and equal values of a stage are
+    counted before the one shuffle of them; sums, maxima, names and quantiles are all made
+    from these counts, and quantiles are exact without gathering a stage in one task.
+    ``store`` names a new folder, shared by the cluster, to keep the parsed tasks in (a few
+    per cent of the log), for use by other queries.
     """
     if not 1.0 <= moderate < severe:
         raise ValueError("thresholds must satisfy 1 <= moderate < severe")
     records = _records(lines, value, merge_attempts)
     if store is not None:
         records.write.parquet(store)
-        records = lines.sparkSession.read.schema(records.schema).parquet(store)
+        stored = lines.sparkSession.read.schema(records.schema).parquet(store)
+        # read as they were made: without nulls but for the name
+        records = stored.select(*[F.coalesce(F.col(f.name), F.lit("" if f.dataType.simpleString() == "string" else 0)).alias(f.name) if f.name != "name" else F.col("name") for f in records.schema])
     keys = ["app", "stage_id", "attempt"]
 
-    tasks = records.where("name IS NULL")
-    sums = [c for c in tasks.columns if c not in (*keys, "name", "duration_ms")]
-    totals = tasks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("task_count"),
-        *[F.sum(c).alias(c) for c in sums],
-        *[F.max(c).alias(f"max_{c}") for c in SPREAD],
+    metrics = [c for c in records.columns if c not in (*keys, "name")]
+    sums = [c for c in metrics if c != "duration_ms"]
+    one = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"), F.lit("").alias("name")) for m in metrics]
+    named = F.struct(F.lit("").alias("metric"), F.lit(0).cast("long").alias("v"), F.coalesce("name", F.lit("")).alias("name"))
+    rows = records.select(*keys, F.inline(F.when(F.col("name").isNull(), F.array(*one)).otherwise(F.array(named))))
+    counts = rows.groupBy(*keys, "metric", "v", "name").agg(F.count(F.lit(1)).alias("c"))
+
+    def of(metric: str, column: Column) -> Column:
+        return F.when(F.col("metric") == metric, column)
+
+    totals = counts.groupBy(*keys).agg(
+        F.sum(of("duration_ms", F.col("c"))).alias("task_count"),
+        *[F.sum(of(m, F.col("v") * F.col("c"))).alias(m) for m in sums],
+        *[F.max(of(m, F.col("v"))).alias(f"max_{m}") for m in SPREAD],
+        F.max("name").alias("name"),
     )
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in SPREAD])
-    n = F.col("n")
+    n = F.when(F.col("metric").isin(*SPREAD), F.col("n"))
     quantiles = exact_quantiles(
-        tasks.select(*keys, F.inline(pairs)),
+        counts,
         [*keys, "metric"],
         "v",
         {"low": F.floor((n + 1) / 2), "high": F.ceil((n + 1) / 2), "p95": F.ceil(n * 0.95)},
+        count="c",
     )
     spread: list[Column] = []
     for m in SPREAD:
@@ -144,13 +156,8 @@ def stage_summary(
         middle = (F.col("low") + F.col("high")) / 2
         spread.append(F.max(F.when(mine, middle)).alias(f"median_{m}"))
         spread.append(F.max(F.when(mine, F.col("p95"))).alias(f"p95_{m}"))
-    names = records.where("name IS NOT NULL").groupBy(*keys).agg(F.max("name").alias("name"))
     # Each side has one row per stage and attempt. A stage may have no tasks yet.
-    stages = (
-        totals.join(quantiles.groupBy(*keys).agg(*spread), keys, "left")
-        .join(names, keys, "full")
-        .na.fill(0)
-    )
+    stages = totals.join(quantiles.groupBy(*keys).agg(*spread), keys, "left").na.fill(0)
     median = F.col("median_duration_ms")
     skew = F.when(median > 0, F.round(F.col("max_duration_ms") / median, 2)).otherwise(F.lit(0.0))
     # The three verdicts.
