@@ -194,9 +194,14 @@ def index_arc(archives: DataFrame, folder: str) -> DataFrame:
     return _dealt(archives).mapInArrow(_by_file(rows, schema), schema)
 
 
+#: Tasks that archives are dealt to at most; beyond that a task works through several, one after the other.
+MOST_TASKS = 20_000
+
+
 def _dealt(archives: DataFrame) -> DataFrame:
-    """One partition per archive as far as Spark has so many."""
-    return archives.select("archive").repartition("archive")
+    """A task per archive. The number is given, as a table of names looks too small to be worth several tasks."""
+    names = archives.select("archive")
+    return names.repartition(max(1, min(MOST_TASKS, names.count())))
 
 
 def _by_file(rows, schema: str):
@@ -280,7 +285,9 @@ def repeats(index: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def convert(index: DataFrame, arc_folder: str, warc_folder: str, *, least_bytes: int = 0) -> DataFrame:
     """Writes a WARC file for each ARC file that the index holds; ``archive, records`` of the WARC files."""
-    decided = repeats(index, least_bytes).repartition("archive").sortWithinPartitions("archive", "place")
+    # twice as many tasks as archives, since their names are hashed
+    tasks = max(1, min(MOST_TASKS, 2 * index.select("archive").distinct().count()))
+    decided = repeats(index, least_bytes).repartition(tasks, "archive").sortWithinPartitions("archive", "place")
 
     def run(batches):
         import pyarrow as pa
