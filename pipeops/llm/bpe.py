@@ -9,8 +9,9 @@ Both operators are row-local: no shuffle, one Arrow batch in memory at a time, a
 longer than ``SLICE`` are cut where a match must end (a blank after a non-blank).
 
 Defined results: a null text counts as empty and gives an empty id list; null ids stay null;
-repeated rows are encoded each for itself; other columns of the input are not looked at.
-Decoding null or unknown ids gives null.
+repeated rows are encoded each for itself; other columns of the input are not looked at; an
+empty table gives an empty one; a very long text is encoded in slices. Decoding null or
+unknown ids gives null.
 """
 
 from __future__ import annotations
@@ -218,6 +219,26 @@ def encode(
     return source.mapInArrow(run, T.StructType([source.schema[0], *fields]))
 
 
+def count(docs: DataFrame, vocabulary: str = VOCABULARY, *, text_col: str = "text", pattern: str | None = None) -> DataFrame:
+    """The input without its text, with ``n_tokens``: how many ids :func:`encode` gives. A null text has none."""
+    kept = [c for c in docs.columns if c not in (text_col, "n_tokens")]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("text"))
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_tokens", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = codec(vocabulary, pattern)
+        for read in batches:
+            sizes: list[int] = []
+            for texts in grouped(text.as_py() or "" for text in read.column(len(kept))):
+                encoded = own.encode_all(texts) if len(texts) > 1 else [own.encode(texts[0])]
+                sizes += map(len, encoded)
+            yield pa.RecordBatch.from_arrays([*read.columns[: len(kept)], pa.array(sizes, pa.int64())], schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, *, ids_col: str = "ids", pattern: str | None = None, as_text: bool = False) -> DataFrame:
     """The input without ``ids_col``, with ``decoded`` (the bytes) and, if asked for, ``decoded_text``.
 

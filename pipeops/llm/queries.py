@@ -51,8 +51,8 @@ def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_votes.digest(pii_votes.personal_data(table(spark, sf_dir, "documents")))
 
 
-#: What counts as a token for the two tokenizer versions of the rollup.
-TOKENIZERS = {"words-1": r"[^\x09-\x0D\x20]+", "marks-2": r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]"}
+#: The two tokenizer versions of the rollup.
+TOKENIZERS = ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken")
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +60,17 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The withdrawal is delivered twice, and what was committed is folded in between.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(v) for v, p in TOKENIZERS.items()]
-    counted = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", *counts)
+    old, new = TOKENIZERS
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    known = stored(counted.join(labels, "doc_id", "left"), "counted")
-    old, new = list(TOKENIZERS)
-    first = known.withColumns({"tokenizer_version": F.lit(old), "n_tokens": F.col(old)})
+    first = stored(bpe.count(docs, old).withColumn("tokenizer_version", F.lit(old)).join(labels, "doc_id", "left"), "counted")
     withdrawn = first.where("toxic = 1").withColumn("op", F.lit("delete"))
-    recounted = known.where("quality = 1 AND coalesce(toxic, 0) <> 1").withColumns(
-        {"op": F.lit("revise"), "tokenizer_version": F.lit(new), "n_tokens": F.col(new), "old_source": F.col("source"), "old_lang": F.col("lang"), "old_tokenizer_version": F.lit(old), "old_n_tokens": F.col(old)}
+    good = labels.where("quality = 1 AND coalesce(toxic, 0) <> 1").select("doc_id")
+    again = bpe.count(docs.join(good, "doc_id", "left_semi").select("doc_id", "text"), new).withColumnRenamed("n_tokens", "n_new")
+    known = first.join(good, "doc_id", "left_semi")
+    before = {f"old_{c}": F.col(c) for c in ("source", "lang", "tokenizer_version", "n_tokens")}
+    recounted = known.withColumns(before).join(again.groupBy("doc_id").agg(F.first("n_new").alias("n_new")), "doc_id").withColumns(
+        {"op": F.lit("revise"), "tokenizer_version": F.lit(new), "n_tokens": F.col("n_new")}
     )
     rollup = token_rollups.Rollup(spark, scratch(spark, "rollup"))
     rollup.apply("load", first.withColumn("op", F.lit("insert")))
@@ -114,18 +115,5 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
-    "op10_token_rollup": rf"""
-        WITH judged AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-        current AS (
-            SELECT source, lang, coalesce(quality = 1, false) AS recounted,
-                   len(regexp_extract_all(coalesce(text, ''), '{TOKENIZERS["words-1"]}')) AS a,
-                   len(regexp_extract_all(coalesce(text, ''), '{TOKENIZERS["marks-2"]}')) AS b
-            FROM documents LEFT JOIN judged USING (doc_id)
-            WHERE coalesce(toxic, 0) <> 1
-        )
-        SELECT source, lang, CASE WHEN recounted THEN 'marks-2' ELSE 'words-1' END AS tokenizer_version,
-               count(*) AS docs, CAST(sum(CASE WHEN recounted THEN b ELSE a END) AS BIGINT) AS tokens
-        FROM current GROUP BY 1, 2, 3
-    """,
     "op12_hadamard_clusters": hadamard_clusters.sql(),
 }

@@ -5,7 +5,9 @@ revision does both), summed before it is shuffled, and written to a folder of it
 one commit row names batch and folder. Totals are the sums over committed folders, so a
 batch that is applied again changes nothing, one that broke off before its commit row counts
 for nothing and is simply applied again, and the cost of a batch does not depend on the size
-of the corpus. ``compact`` folds committed folders into one; their batch names stay known.
+of the corpus. ``compact`` folds committed folders into one of the next generation; batches
+are committed in the generation that stands, so what a compaction folds needs no list, and
+names of folded batches stay in the commit table, where Spark looks a name up.
 
 One writer at a time is assumed. Columns of changes: ``op`` (insert, delete, revise),
 ``source, lang, tokenizer_version, n_tokens`` and for revisions the same with ``old_`` in front.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["source", "lang", "tokenizer_version"]
-_COMMIT = "batch string, folder string, folds boolean"
+_COMMIT = "batch string, folder string, folds boolean, generation long"
 _TOTALS = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
 
@@ -53,33 +55,36 @@ class Rollup:
         self.spark, self.folder = spark, folder.rstrip("/")
         spark.createDataFrame([], _COMMIT).write.mode("append").parquet(f"{self.folder}/commits")
 
-    def _commits(self) -> list[tuple[str, str, bool]]:
-        """Commit rows; one per batch and compaction, so a list of their number fits the driver."""
-        return [tuple(r) for r in self.spark.read.schema(_COMMIT).parquet(f"{self.folder}/commits").collect()]
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(_COMMIT).parquet(f"{self.folder}/commits")
 
-    def batches(self) -> set[str]:
-        return {batch for batch, _, folds in self._commits() if not folds}
+    def _generation(self) -> int:
+        """The number of the last compaction; 0 before the first."""
+        return self._commits().agg(F.max("generation")).first()[0] or 0
 
-    def _write(self, sums: DataFrame, batch: str, folds: bool) -> None:
+    def batches(self) -> DataFrame:
+        """The names of all committed batches."""
+        return self._commits().where("NOT folds").select("batch").distinct()
+
+    def _write(self, sums: DataFrame, batch: str | None, folds: bool, generation: int) -> None:
         folder = f"{self.folder}/deltas/{uuid.uuid4().hex}"
         sums.write.parquet(folder)
         # the single row is the commit: a job's files appear at once, when it ends
-        self.spark.createDataFrame([(batch, folder, folds)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        row = self.spark.createDataFrame([(batch, folder, folds, generation)], _COMMIT)
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False if it is committed already."""
-        if batch in self.batches():
+        if not self.batches().where(F.col("batch") == batch).isEmpty():
             return False
-        self._write(signed(changes), batch, False)
+        self._write(signed(changes), batch, False, self._generation())
         return True
 
     def _live(self) -> list[str]:
-        """Folders to sum: the last compaction and what was committed since."""
-        commits = self._commits()
-        folded = {batch for batch, _, folds in commits if folds for batch in batch.split("\n")}
-        newest = max((c for c in commits if c[2]), key=lambda c: len(c[0].split("\n")), default=None)
-        first = {batch: folder for batch, folder, folds in sorted(commits, reverse=True) if not folds and batch not in folded}
-        return sorted([*first.values(), *([newest[1]] if newest else [])])
+        """Folders to sum: the last compaction and what was committed since, the only commits that reach the driver."""
+        commits = self._commits().where(F.col("generation") == self._generation())
+        first = commits.groupBy("batch", "folds").agg(F.min("folder").alias("folder"))
+        return sorted(r["folder"] for r in first.collect())
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer_version, docs, tokens``."""
@@ -89,9 +94,8 @@ class Rollup:
 
     def compact(self) -> None:
         """Writes the totals as one folder that stands for all batches so far."""
-        batches = sorted(self.batches())
-        if batches:
-            self._write(self.totals().coalesce(1), "\n".join(batches), True)
+        if not self.batches().isEmpty():
+            self._write(self.totals().coalesce(1), None, True, self._generation() + 1)
 
 
 def changes_between(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
