@@ -25,12 +25,16 @@ Defined results: null html counts as empty and gives an empty text; a null or od
 host ``''``; a host with one page keeps all that names do not decide; repeated rows come back
 as often as they came; pages of a host with the same main text (all text that no name makes noise,
 if there is no article) count as one page of its tree; tags left open end with their parent, a cut
-off tag or comment at the end is no text; other columns are not looked at.
+off tag or comment at the end is no text; an empty table gives an empty one; a very long page is
+parsed whole, in memory that grows with its length, however deep it nests; other columns are not
+looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -71,7 +75,7 @@ def _named(names: str) -> set[str]:
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "own", "main", "begins_main", "children", "inline", "size")
+    __slots__ = ("tag", "path", "parent", "own", "main", "begins_main", "children", "inline", "size", "role")
 
     def __init__(self, tag: str, names: str, parent: Element | None) -> None:
         words = _named(names)
@@ -88,7 +92,9 @@ class Element:
         elif tag not in ("html", "body") and (words & NOISE_NAMES or "header" in words and not inside):
             self.own = "class"
         step = tag if not names else f"{tag}.{names}"
-        self.path = step if parent is None else f"{parent.path}/{step}"
+        # a digest of the path, so that deep nesting takes no more than its elements
+        self.path = hashlib.blake2b(step.encode("utf-8", "replace"), digest_size=16, key=parent.path if parent else b"").digest()
+        self.role = "role=main" in names or parent is not None and parent.role
         self.children: list[str] = []
         self.size = 0
 
@@ -106,6 +112,7 @@ class Page(HTMLParser):
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
         self.open = [Element("", "", None)]
+        self.opened: Counter[str] = Counter()
         self.text: list[str] = []
         self.mains: list[Element] = []
         self.forms: list[Element] = []
@@ -140,7 +147,7 @@ class Page(HTMLParser):
     def only_cards(self) -> bool:
         """Whether several articles hold less than half of the text that names leave: teasers beside a story."""
         shown = [m for m in self.mains if not any(e.own for e in m.line())]
-        if len(shown) < 2 or any(m.tag != "article" or "role=main" in m.path for m in shown):
+        if len(shown) < 2 or any(m.tag != "article" or m.role for m in shown):
             return False
         left = [(main, len(text)) for _, main, noise, text in self.blocks if not noise]
         return 2 * sum(n for main, n in left if main) < sum(n for _, n in left)
@@ -175,10 +182,13 @@ class Page(HTMLParser):
             if not self.open[-1].inline:
                 self._block()
             element = self.open.pop()
+            self.opened[element.tag] -= 1
             element.parent.size += element.size
             self.styles.setdefault(element.path, []).append(" ".join(element.children))
 
     def _end(self, tags, stop=frozenset()) -> None:
+        if not any(self.opened[tag] for tag in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
                 self._to(i)
@@ -213,6 +223,7 @@ class Page(HTMLParser):
             self.text.append(" ")
         if tag not in VOID:
             self.open.append(element)
+            self.opened[tag] += 1
             if element.begins_main and not parent.main:
                 self.mains.append(element)
             if element.own == "form":
@@ -265,9 +276,9 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                 judged = [(p, m and not cards, t) for p, m, noise, t in page.blocks if not noise]
                 mains.append(any(m for _, m, _ in judged))
                 digests.append(key("\n".join(f"{p}\r{t}" for p, m, t in judged if m or not mains[-1])))
-                blocks.append([{"path": key(f"{m} {p}"), "main": m, "text": t} for p, m, t in judged])
+                blocks.append([{"path": key(f"{m} {p.hex()}"), "main": m, "text": t} for p, m, t in judged])
                 found = dict.fromkeys((p, m) for p, m, _ in judged)
-                nodes.append([{"path": key(f"{m} {p}"), "main": m, "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in page.features[p]})} for p, m in found])
+                nodes.append([{"path": key(f"{m} {p.hex()}"), "main": m, "style": key("|".join(page.styles.get(p, ()))), "features": list({key(f) for f in page.features[p]})} for p, m in found])
             columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((hosts, digests, mains, blocks, nodes), list(kinds)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 

@@ -122,3 +122,20 @@ def test_the_tree_decides_in_and_beside_articles(spark):
 def test_teasers_do_not_hide_a_story(spark):
     page = "<div>A long story that is more than its teasers</div><article>one</article><article>two</article>"
     assert texts(spark, [(1, "http://x/", page)]) == {1: "A long story that is more than its teasers\none\ntwo"}
+
+
+def test_deep_nesting_takes_linear_memory_and_time():
+    import time
+    import tracemalloc
+
+    sizes = []
+    for n in (12_500, 50_000):
+        for tag in ("div class=wrapper", "ul", "span", "section"):
+            html = "<body><article><p>Before.</p>" + f"<{tag}>" * n + "the story" + f"</{tag.split()[0]}>" * n + "</article>"
+            began = time.time()
+            tracemalloc.start()
+            page = s.Page(html)
+            sizes.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert [b[-1] for b in page.blocks] == ["Before.", "the story"] and time.time() - began < 60
+    assert all(big < 6 * small for small, big in zip(sizes[:4], sizes[4:], strict=True)) and max(sizes) < 200 << 20
