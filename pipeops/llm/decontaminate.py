@@ -11,11 +11,12 @@ driver one at a time, and each is held against all documents where they lie, no
 
 Words are runs of letters and digits in lower case, so case, punctuation and white space do
 not count; in scripts without blanks (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
-character is one. Defined results: null and wordless texts hold nothing; items of fewer than
-``min_words`` words are searched exactly if they have ``MIN_CHARS`` characters, else (null ones,
-too) left out, being no evidence; shorter items than that in a script without blanks are searched
-exactly, too, as a character says less than a word; equal items each give
-a row; repeated documents give repeated rows; of several passages for one item the one with
+character is one. Defined results: null and wordless texts hold nothing, and null and wordless
+items are held by nothing; items of fewer than ``min_words`` words are searched exactly, and so
+are items of fewer than ``SHORT_CHARS`` characters in a script without blanks, as a character
+says less than a word; ``min_chars`` leaves out what is too short to be evidence (nothing, if
+not given); a very long text is searched whole, by one pass over its words; without documents
+or items there are no rows; equal items each give a row; repeated documents give repeated rows; of several passages for one item the one with
 the least distance, then the first, is reported; other columns are not looked at.
 """
 
@@ -38,8 +39,8 @@ WORD = re.compile(f"[^\\W_{UNSPACED}]+|[{UNSPACED}]")
 #: Share of an item's words that may differ.
 ERROR_RATE = 0.2
 MIN_WORDS = 5
-#: Characters in the words of a shorter item, at least, to be searched exactly.
-MIN_CHARS = 16
+#: An item of unspaced letters with fewer characters is searched exactly.
+SHORT_CHARS = 16
 #: Words of the items that are searched in one pass over the documents.
 BLOCK_WORDS = 200_000
 
@@ -48,12 +49,12 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def error_budget(words: list[str], error_rate: float, min_words: int = MIN_WORDS) -> int | None:
-    """Words of an item that may differ, or None if it is too short to be searched."""
-    short = sum(map(len, words)) < MIN_CHARS
-    if len(words) < min_words:
-        return None if short else 0
-    if short and any(re.match(f"[{UNSPACED}]", word) for word in words):
+def error_budget(words: list[str], error_rate: float, min_words: int = MIN_WORDS, min_chars: int = 1) -> int | None:
+    """Words of an item that may differ, none in a short one; None if its words have under ``min_chars`` characters."""
+    size = sum(map(len, words))
+    if size < max(1, min_chars):
+        return None
+    if len(words) < min_words or (size < SHORT_CHARS and any(re.match(f"[{UNSPACED}]", word) for word in words)):
         return 0
     return math.floor(error_rate * len(words))
 
@@ -185,11 +186,13 @@ def _held_against(docs: DataFrame, items: list[tuple], item_field: T.StructField
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS,
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, min_chars: int = 1, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``id_col, item_col, item_words, distance, start, end``: a row per document and item it holds.
 
-    ``distance`` counts words, ``start`` and ``end`` are code points of the passage.
+    ``distance`` counts words, ``start`` and ``end`` are code points of the passage. Items of
+    fewer than ``min_words`` words are searched exactly, however short; ``item_words`` tells them
+    apart, and ``min_chars`` leaves out those with fewer characters in their words.
     """
     source = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     key = F.col(item_col).alias("item_id" if item_col == id_col else item_col)
@@ -202,7 +205,7 @@ def contaminated(
     found = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("asked"), F.lit(blocks)) == block).collect()
-        items = [(row[0], words, errors) for row in rows if (errors := error_budget(words := words_of(row[1]), error_rate, min_words)) is not None]
+        items = [(row[0], words, errors) for row in rows if (errors := error_budget(words := words_of(row[1]), error_rate, min_words, min_chars)) is not None]
         part = _held_against(source, sorted(items, key=repr), field)
         if blocks > 1:  # so that the driver lets go of the block
             part = stored(part, "passages")

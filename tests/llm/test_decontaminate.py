@@ -99,5 +99,13 @@ def test_scripts_without_blanks_and_short_items(spark):
         (13, "incomprehensibility notwithstanding; 看，画蛇添足了吗。"),
     ]
     found = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(10, 1, 1), (11, 2, 0), (12, 3, 0), (13, 5, 0)}
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == {(10, 1, 1), (11, 2, 0), (12, 3, 0), (12, 4, 0), (13, 5, 0)}
     assert next(docs[3][1][r.start : r.end] for r in found if r.doc_id == 13) == items[4][1]
+
+
+def test_short_items_are_searched_exactly_unless_left_out(spark):
+    items = spark.createDataFrame([(1, "a b"), (2, "x"), (3, "?!"), (4, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "A, b; c x"), (2, "ab xx"), (3, "one two three four"), (4, "one two three for"), (5, "?!")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.item_words, r.distance) for r in d.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 2, 0), (1, 2, 1, 0), (3, 4, 4, 0)}
+    assert [(r.doc_id, r.item_id) for r in d.contaminated(docs, items, min_chars=12).collect()] == [(3, 4)]
