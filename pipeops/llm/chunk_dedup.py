@@ -1,8 +1,10 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its content says so: at sentence and line ends whose last characters are
-of a class that about every eighth has, so equal passages give equal chunks wherever they
-stand. ``MIN_CHUNK`` only keeps chunks from getting tiny, ``MAX_CHUNK`` cuts text without ends. A chunk's identifier is its SHA-256; the recipe of a text is the ordered list of its
+A text is cut where its content says so: at sentence and line ends of any script whose last
+characters are of a class that about every eighth has, and, for text without ends, after a
+few letters of scripts that put no blanks between words; so equal passages give equal chunks
+wherever they stand. ``MIN_CHUNK`` only keeps chunks from getting tiny, ``MAX_CHUNK`` cuts
+what has neither. A chunk's identifier is its SHA-256; the recipe of a text is the ordered list of its
 chunks' identifiers and is computed beside the text, without a shuffle.
 
 An identifier is verified by gathering the chunks themselves once, combined before the
@@ -22,8 +24,12 @@ from .tables import stored
 
 #: Characters of a chunk, least and most.
 MIN_CHUNK, MAX_CHUNK = 64, 8192
-#: A chunk may end after this: every second letter of the alphabet, or any beyond it, three times, and an end.
-BOUNDARY = r"[acegikmoqsuwyACEGIKMOQSUWY\P{ASCII}]{3}[\n.!?]"
+#: A chunk may end after this: every second letter of the alphabet, or any beyond it, three times, and an
+#: end; or a letter out of about every fortieth of the unspaced scripts (by place in their blocks), after another.
+BOUNDARY = (
+    r"(?:[acegikmoqsuwyACEGIKMOQSUWY\P{ASCII}]{3}[\n.!?\u061f\u06d4\u0964\u0965\u203c-\u2049\u3002\uff01\uff0e\uff1f\uff61]"
+    r"|\P{ASCII}[\u0e01\u0e19\u0e81\u1001\u1780\u3044\u306e\u30f3\u4e00-\u4e2f\u5000-\u503f\u5b50-\u5b8f\u6000-\u602f\u7000-\u702f\u8a00-\u8a2f])"
+)
 
 
 def sha256(chunk: Column) -> Column:

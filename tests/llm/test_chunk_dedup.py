@@ -55,3 +55,15 @@ def test_chunks_are_the_text_and_shared_passages_give_equal_chunks(spark):
     assert all(len(c) <= chunk_dedup.MAX_CHUNK for cs in got for c in cs)
     assert len(got[0]) > 10
     assert len(set(got[0]) & set(got[1])) > 0.8 * len(got[0])
+
+
+def test_text_without_ascii_ends_is_cut_by_its_content(spark):
+    rnd = random.Random(5)
+    han = [chr(c) for c in range(0x4E00, 0x9FA0)]
+    plain_run = "".join(rnd.choices(han, k=48_000))
+    with_stops = "".join("".join(rnd.choices(han, k=20)) + "。" for _ in range(2000))
+    hindi = "".join("".join(rnd.choices("कखगघचछजटडतदनपबमयरलवश", k=30)) + "। " for _ in range(1000))
+    for text in (plain_run, with_stops, hindi):
+        frame = spark.createDataFrame([(text,), ("x" + text,)], "text string")
+        one, two = (r[0] for r in frame.select(chunk_dedup.chunks(F.col("text"))).collect())
+        assert len(one) > 40 and len(set(one) & set(two)) > 0.9 * len(one)
