@@ -16,7 +16,8 @@ What is shuffled are index rows (archive, place, digest, a page's id); payloads
 Defined results: a null payload counts as empty; a null URL becomes ``unknown:``, and blanks
 and line ends in a URL are written as %20; a null page id comes back as null and is the last
 in the order of ids; of repeated rows the one first in the archive is the response; an empty
-table gives no archives and no rows; other columns are not looked at.
+table gives no archives and no rows; a very long payload is one record, held whole by the task
+that writes or reads it; other columns are not looked at.
 """
 
 from __future__ import annotations

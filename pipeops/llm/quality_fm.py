@@ -12,8 +12,9 @@ on what reaches the driver. Scoring runs over Arrow batches beside the texts, no
 Defined results: a null text counts as empty and is scored by its structure alone; a null
 recorded length is a range of its own; labels that are null or neither 0 nor 1 and rows
 without an id are not learned from, repeated labels of a document count once (the lowest);
-repeated rows are scored each; without any usable label the score is 0.5; other columns of
-the input are not looked at.
+repeated rows are scored each; without any usable label the score is 0.5; a very long text is
+described whole, one row at a time; an empty table gives an empty one; other columns of the
+input are not looked at.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ of characters. Nothing else reaches the driver but the forest.
 Defined results: null texts count as empty; a null path has no words; ids are carried and
 never compared; repeated rows are judged each; without findings of both labels every
 candidate gets the share of label 1 among the labelled, or 0.5 if there are none; other
-columns of the input are not looked at.
+columns of the input are not looked at; an empty table gives no findings; very long texts are
+searched whole, in linear time.
 """
 
 from __future__ import annotations
