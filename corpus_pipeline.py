@@ -1,7 +1,10 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again.
 
 Documents are known by ``doc_id``: a row without one cannot be referred to by a link or a
-passage and stays where rows are dropped by id; rows that repeat an id share its fate.
+passage and stays where rows are dropped by id; rows that repeat an id share its fate. Null
+texts count as empty, and of them one document stays; very long texts are read whole by every
+stage; ties (equal texts, near copies) are settled by id, as each stage says; an empty table
+gives an empty one; other columns are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pipeops.llm import bpe, chunk_dedup, decontaminate, quality_fm, simhash
 from pipeops.llm.tables import stored, table
 
 QUALITY_THRESHOLD = 0.3
+#: Benchmark items with fewer characters in their words are no evidence of a leak.
+EVIDENCE_CHARS = 16
 
 
 def _without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
@@ -41,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), min_chars=EVIDENCE_CHARS), "contaminated")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
