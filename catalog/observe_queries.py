@@ -875,6 +875,23 @@ def d14_plan_changes(spark, sf):
     )
 
 
+@query(
+    "d14_plan_metric_changes",
+    f"""WITH {_NODES} SELECT event_id, node_index, operator, '{{"ms":7,"rows":' || (event_id + node_index) || '}}' AS before_metrics,
+              '{{"ms":7,"rows":' || (event_id + node_index + user_id % 3) || '}}' AS after_metrics
+       FROM ({_plan_lines(0)}) JOIN events USING (event_id) WHERE user_id % 3 > 0 AND phase = 'physical'""",
+)
+def d14_plan_metric_changes(spark, sf):
+    """The same plans run twice: what the nodes of the physical plan measured."""
+    users = table(spark, sf, "events").select("event_id", "user_id")
+    nodes = plans.plan_nodes(_plans(spark, sf), ["event_id"]).where("phase = 'physical'").join(users, "event_id")
+    first, second = (
+        nodes.withColumn("metrics", F.expr(f"map('rows', event_id + node_index + {more}, 'ms', 7L)")) for more in ("0", "user_id % 3")
+    )
+    changed = plans.plan_changes(first, second, ["event_id"]).where("metrics_changed")
+    return changed.selectExpr("event_id", "node_index", "before_operator AS operator", "before_metrics", "after_metrics")
+
+
 @query(
     "d14_plan_operator_changes",
     f"""WITH {_NODES}, l AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(0)})), r AS (SELECT DISTINCT event_id, operator FROM ({_plan_lines(1)}))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, MapType, NumericType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, MapType, NumericType, StructType
 
 # The metrics two profiles are compared by.
 COMPARED = ("count", "null_count", "distinct_count", "min", "max")
@@ -26,12 +26,15 @@ def profile(
     include_sensitive: bool = True,
     approx: bool = False,
 ) -> DataFrame:
-    """One row per column, from one aggregate over one scan: row count, nulls, distinct
-    non-null values, and for numbers min, max, mean and population stddev.
-
-    ``include_sensitive=False`` leaves the value-bearing metrics out. Exact distinct
-    counts shuffle every distinct value; ``approx=True`` uses a sketch instead, as the
-    column ``distinct_exact`` tells.
+    """One row per column: row count, nulls, distinct non-null values, and for numbers min,
+    max, mean and population stddev.
+
+    All but exact distinct counts come from one aggregate that is combined in every task. For
+    exact ones the columns are turned into rows of column and value, and equal ones are
+    combined before the one shuffle of them, whatever the number of columns; a value that
+    half of the rows have is one row a task. ``approx=True`` uses a sketch in the first
+    aggregate instead, as the column ``distinct_exact`` tells. ``include_sensitive=False``
+    leaves the value-bearing metrics out.
     """
     names = _chosen(df, columns)
     if not names:
@@ -41,11 +44,9 @@ def profile(
     rows: list[Column] = []
     for i, name in enumerate(names):
         column, numeric = F.col(f"`{name}`"), isinstance(types[name], NumericType)
-        value = _comparable(column, types[name])
         parts.append(F.count(column).alias(f"__p{i}"))
-        parts.append(
-            (F.approx_count_distinct(value) if approx else F.count_distinct(value)).alias(f"__d{i}")
-        )
+        if approx:
+            parts.append(F.approx_count_distinct(_comparable(column, types[name])).alias(f"__d{i}"))
         if numeric and include_sensitive:
             parts += [
                 F.min(column).cast("double").alias(f"__min{i}"),
@@ -57,7 +58,7 @@ def profile(
             F.lit(name).alias("column"),
             F.col("__n").alias("count"),
             (F.col("__n") - F.col(f"__p{i}")).alias("null_count"),
-            F.col(f"__d{i}").alias("distinct_count"),
+            (F.col(f"__d{i}") if approx else F.lit(None).cast("long")).alias("distinct_count"),
             F.lit(not approx).alias("distinct_exact"),
         ]
         if include_sensitive:
@@ -65,7 +66,31 @@ def profile(
                 held = F.col(f"__{prefix}{i}") if numeric else F.lit(None).cast("double")
                 fields.append(held.alias(metric))
         rows.append(F.struct(*fields))
-    return df.agg(*parts).select(F.inline(F.array(*rows)))
+    told = df.agg(*parts).select(F.inline(F.array(*rows)))
+    if approx:
+        return told
+    # two small tables: a row per column each
+    distinct = _values(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
+    met = told.join(distinct, "column", "left").withColumn("distinct_count", F.coalesce("__distinct", F.lit(0).cast("long")))
+    return met.select(told.columns)
+
+
+def _values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column, value, count``: how often each non-null value occurs, as a text that tells values apart."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(name: str) -> Column:
+        column, kind = F.col(f"`{name}`"), types[name]
+        if isinstance(kind, FloatType | DoubleType):
+            column = column + F.lit(0).cast(kind)  # there is one zero
+        elif isinstance(kind, BinaryType):
+            return F.base64(column)
+        elif isinstance(kind, ArrayType | MapType | StructType):
+            return F.to_json(column, {"ignoreNullFields": "false"})
+        return column.cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n in names])
+    return df.select(F.inline(pairs)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] = (), top: int = 5) -> DataFrame:
@@ -79,19 +104,7 @@ def top_values(df: DataFrame, columns: Sequence[str] = (), top: int = 5) -> Data
     names = [n for n in _chosen(df, columns) if not isinstance(types[n], NumericType)]
     if not names:
         raise ValueError("there are no columns with other values than numbers")
-    pairs = [
-        F.struct(
-            F.lit(n).alias("column"),
-            _comparable(F.col(f"`{n}`"), types[n]).cast("string").alias("value"),
-        )
-        for n in names
-    ]
-    counts = (
-        df.select(F.inline(F.array(*pairs)))
-        .where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    counts = _values(df, names)
     by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
     ranked = counts.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= top)
     return ranked.select("column", "rank", "value", "count")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 # The phase each heading of an extended plan opens.
 PHASES = {
@@ -127,9 +128,17 @@ def plan_nodes(plans: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
 _ATTRIBUTES = ("operator", "phase", "join_strategy", "partitioning", "exchange")
 
 
-def _paired(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    both = left.withColumn("__side", F.lit("l")).unionByName(right.withColumn("__side", F.lit("r")))
-    return both.select(*keys, "node_index", *_ATTRIBUTES, "__side")
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], attributes: Sequence[str]) -> DataFrame:
+    both = left.withColumn("__side", F.lit("l")).unionByName(right.withColumn("__side", F.lit("r")), allowMissingColumns=True)
+    return both.select(*keys, "node_index", *attributes, "__side")
+
+
+def _comparable_metrics(nodes: DataFrame) -> DataFrame:
+    """A map of metrics as a text with its entries in order, so that equal maps are equal texts."""
+    if not isinstance(nodes.schema["metrics"].dataType, MapType):
+        return nodes
+    entries = F.array_sort(F.map_entries("metrics"))
+    return nodes.withColumn("metrics", F.when(F.col("metrics").isNotNull(), F.to_json(F.map_from_entries(entries))))
 
 
 def plan_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,14 +147,18 @@ def plan_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     One row per position that differs: ``op`` is ``add``, ``remove`` or ``replace``
     (another operator) or ``alter`` (same operator, other attributes), with the
     values before and after and a flag for each attribute that changed on both-sided
-    positions.
+    positions. If both sides have a column ``metrics`` (a map, or any value with an order, of
+    what a run measured at the node), it is one of the attributes.
     """
-    keys = list(keys)
-    met = _paired(left, right, keys).groupBy(*keys, "node_index").agg(
+    keys, attributes = list(keys), list(_ATTRIBUTES)
+    if "metrics" in left.columns and "metrics" in right.columns:
+        left, right = _comparable_metrics(left), _comparable_metrics(right)
+        attributes.append("metrics")
+    met = _paired(left, right, keys, attributes).groupBy(*keys, "node_index").agg(
         *[
             F.max(F.when(F.col("__side") == s, F.col(a))).alias(f"{prefix}_{a}")
             for s, prefix in (("l", "before"), ("r", "after"))
-            for a in _ATTRIBUTES
+            for a in attributes
         ]
     )
     before, after = F.col("before_operator"), F.col("after_operator")
@@ -157,7 +170,7 @@ def plan_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
             & ~F.col(f"before_{name}").eqNullSafe(F.col(f"after_{name}"))
         )
 
-    flags = {f"{a}_changed": differs(a) for a in _ATTRIBUTES[1:]}
+    flags = {f"{a}_changed": differs(a) for a in attributes[1:]}
     altered = _any(list(flags.values()))
     kind = (
         F.when(before.isNull(), "add")
@@ -178,7 +191,7 @@ def _any(tests: Sequence[Column]) -> Column:
 def plan_operator_changes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Operators found in one of the two plans only: ``(keys.., operator, change)``."""
     keys = list(keys)
-    met = _paired(left, right, keys).groupBy(*keys, "operator").agg(
+    met = _paired(left, right, keys, _ATTRIBUTES).groupBy(*keys, "operator").agg(
         F.max(F.col("__side") == "l").alias("l"), F.max(F.col("__side") == "r").alias("r")
     )
     return met.where("l <> r").select(

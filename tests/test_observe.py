@@ -521,3 +521,14 @@ def test_report_of_a_table_met_twice_and_of_nothing(spark):
     assert [(r["step"], r["rows_in"], r["rows_out"]) for r in both.report().collect()] == [("t", 0, 9), ("filter", 9, 4), ("join", 13, 12)]
     none = source.filter("id < 0").aggregate(["k"])
     assert [(r["rows_in"], r["rows_out"]) for r in none.report().collect()] == [(0, 9), (9, 0), (0, 0)]
+
+
+def test_plan_metrics_are_compared(spark):
+    schema = "id int, node_index int, operator string, phase string, join_strategy string, partitioning int, exchange string, metrics map<string,int>"
+    before = [(1, 0, "SortMergeJoin", "physical", "sort_merge", 200, "hashpartitioning(id, 200)", {"ms": 10}), (1, 1, "Scan", "physical", None, None, None, {"a": 1, "b": 2}), (2, 0, "Scan", "physical", None, None, None, None)]
+    after = [(1, 0, "BroadcastHashJoin", "physical", "broadcast", 1, None, {"ms": 4}), (1, 1, "Scan", "physical", None, None, None, {"b": 2, "a": 1}), (2, 0, "Scan", "physical", None, None, None, {"ms": 1})]
+    got = {(r["id"], r["node_index"]): r for r in plans.plan_changes(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema), ["id"]).collect()}
+    assert set(got) == {(1, 0), (2, 0)}
+    join = got[1, 0]
+    assert (join["op"], join["after_metrics"], join["metrics_changed"], join["exchange_changed"], join["partitioning_changed"]) == ("replace", '{"ms":4}', True, True, True)
+    assert (got[2, 0]["op"], got[2, 0]["metrics_changed"]) == ("alter", True)
