@@ -490,7 +490,7 @@ _NODE_FACTS = """(SELECT l_orderkey AS run_id, l_linenumber AS node_id, min(l_re
                          min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY ALL)"""
 
 
-def _snapshots(spark, sf):
+def _node_snapshots(spark, sf):
     facts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("node_id")).agg(
         F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high")
     )
@@ -524,7 +524,7 @@ _NODES_MET = f"""met AS (
         UNION ALL SELECT left_run, right_run, node_id, false, 'schema missing', NULL, NULL, NULL, NULL, NULL FROM told WHERE NOT ok""",
 )
 def d8_node_schema_diffs(spark, sf):
-    diffs = observe.node_schema_diffs(observe.node_snapshots(_snapshots(spark, sf), _pairs(spark, sf)))
+    diffs = observe.node_schema_diffs(observe.node_snapshots(_node_snapshots(spark, sf), _pairs(spark, sf)))
     return diffs.select(
         "left_run", "right_run", "node_id", "available", "reason", "path", "kind", "before_type", "after_type", "breaking"
     )
@@ -541,7 +541,7 @@ def d8_node_schema_diffs(spark, sf):
         UNION ALL SELECT left_run, right_run, node_id, false, 'profile metrics missing', NULL, NULL, NULL, NULL, NULL FROM told WHERE NOT ok""",
 )
 def d8_node_profile_diffs(spark, sf):
-    diffs = observe.node_profile_diffs(observe.node_snapshots(_snapshots(spark, sf), _pairs(spark, sf)))
+    diffs = observe.node_profile_diffs(observe.node_snapshots(_node_snapshots(spark, sf), _pairs(spark, sf)))
     return diffs.select("left_run", "right_run", "node_id", "available", "reason", "metric", "status", "before", "after", "delta")
 
 
