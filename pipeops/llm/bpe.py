@@ -20,7 +20,7 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -219,22 +219,45 @@ def encode(
     return source.mapInArrow(run, T.StructType([source.schema[0], *fields]))
 
 
-def count(docs: DataFrame, vocabulary: str = VOCABULARY, *, text_col: str = "text", pattern: str | None = None) -> DataFrame:
-    """The input without its text, with ``n_tokens``: how many ids :func:`encode` gives. A null text has none."""
+def count(docs: DataFrame, vocabularies: Sequence[str] = (VOCABULARY,), *, text_col: str = "text", pattern: str | None = None) -> DataFrame:
+    """The input without its text, with ``n_tokens``: for each vocabulary how many ids :func:`encode` gives.
+
+    A text is split into matches once for all vocabularies, of which a worker remembers the
+    numbers of ids only. A null text has none.
+    """
     kept = [c for c in docs.columns if c not in (text_col, "n_tokens")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("text"))
-    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_tokens", T.ArrayType(T.LongType()))])
 
     def run(batches):
         import pyarrow as pa
 
-        own = codec(vocabulary, pattern)
+        owns = [codec(vocabulary, pattern) for vocabulary in vocabularies]
+        known: list[dict[str, int]] = [{} for _ in owns]
+
+        def sizes(texts: list[str]) -> list[list[int]]:
+            """Per text and vocabulary."""
+            found = [owns[0].matches(text) for text in texts]
+            met = set(chain.from_iterable(found))
+            out = []
+            for own, have in zip(owns, known, strict=True):
+                new = list(met.difference(have))
+                if new:
+                    have.update(zip(new, map(len, own.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                out.append([sum(map(have.__getitem__, matches)) for matches in found])
+                if len(have) > REMEMBERED:
+                    for match in new:
+                        del have[match]
+            return [list(row) for row in zip(*out, strict=True)]
+
         for read in batches:
-            sizes: list[int] = []
+            rows: list[list[int]] = []
             for texts in grouped(text.as_py() or "" for text in read.column(len(kept))):
-                encoded = own.encode_all(texts) if len(texts) > 1 else [own.encode(texts[0])]
-                sizes += map(len, encoded)
-            yield pa.RecordBatch.from_arrays([*read.columns[: len(kept)], pa.array(sizes, pa.int64())], schema.names)
+                if len(texts) > 1:
+                    rows += sizes(texts)
+                else:
+                    rows.append([sum(parts) for parts in zip(*(sizes([part])[0] for part in slices(texts[0])), strict=True)])
+            yield pa.RecordBatch.from_arrays([*read.columns[: len(kept)], pa.array(rows, pa.list_(pa.int64()))], schema.names)
 
     return source.mapInArrow(run, schema)
 

@@ -61,16 +61,14 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     The withdrawal is delivered twice, and what was committed is folded in between.
     """
     old, new = TOKENIZERS
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted = bpe.count(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), TOKENIZERS)
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    first = stored(bpe.count(docs, old).withColumn("tokenizer_version", F.lit(old)).join(labels, "doc_id", "left"), "counted")
+    # texts are counted where they lie; only counts meet the labels
+    known = stored(stored(counted, "counts").join(labels, "doc_id", "left"), "counted")
+    first = known.withColumns({"tokenizer_version": F.lit(old), "n_tokens": F.col("n_tokens")[0]})
     withdrawn = first.where("toxic = 1").withColumn("op", F.lit("delete"))
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) <> 1").select("doc_id")
-    again = bpe.count(docs.join(good, "doc_id", "left_semi").select("doc_id", "text"), new).withColumnRenamed("n_tokens", "n_new")
-    known = first.join(good, "doc_id", "left_semi")
-    before = {f"old_{c}": F.col(c) for c in ("source", "lang", "tokenizer_version", "n_tokens")}
-    recounted = known.withColumns(before).join(again.groupBy("doc_id").agg(F.first("n_new").alias("n_new")), "doc_id").withColumns(
-        {"op": F.lit("revise"), "tokenizer_version": F.lit(new), "n_tokens": F.col("n_new")}
+    recounted = known.where("quality = 1 AND coalesce(toxic, 0) <> 1").withColumns(
+        {"op": F.lit("revise"), "tokenizer_version": F.lit(new), "n_tokens": F.col("n_tokens")[1], "old_source": F.col("source"), "old_lang": F.col("lang"), "old_tokenizer_version": F.lit(old), "old_n_tokens": F.col("n_tokens")[0]}
     )
     rollup = token_rollups.Rollup(spark, scratch(spark, "rollup"))
     rollup.apply("load", first.withColumn("op", F.lit("insert")))

@@ -75,3 +75,13 @@ def test_decode_of_null_unknown_and_broken_ids(spark):
     assert got[1] == got[3] == (None, None)
     assert got[2] == (b"", "")
     assert got[4][1] == "�"
+
+
+def test_counts_equal_encoding(spark, edge_docs, no_docs, monkeypatch):
+    names = (bpe.VOCABULARY, "byte_bpe_50k.tiktoken")
+    want = [{(r.doc_id, r.n_tokens) for r in bpe.encode(edge_docs, v).collect()} for v in names]
+    got = bpe.count(edge_docs.select("doc_id", "text", "fp"), names)
+    assert got.columns == ["doc_id", "fp", "n_tokens"]
+    rows = got.collect()
+    assert len(rows) == edge_docs.count() and all({(r.doc_id, r.n_tokens[j]) for r in rows} == want[j] for j in (0, 1))
+    assert bpe.count(no_docs, names).count() == 0
