@@ -9,7 +9,11 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from pipeops.files import emptied
+
 _LOCAL_ROOT: str | None = None
+#: Scratch paths given out in this process and not released yet.
+_GIVEN: list[str] = []
 
 
 def build_session(app_name: str = "pipeops", master: str | None = None, **conf: object) -> SparkSession:
@@ -46,5 +50,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return os.path.join(shared_root(spark), "pipeops", f"{label}-{uuid.uuid4().hex[:12]}")
+    """A new, unused path below the shared folder; :func:`release` empties it."""
+    path = os.path.join(shared_root(spark), "pipeops", f"{label}-{uuid.uuid4().hex[:12]}")
+    _GIVEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what lies in all scratch paths given out so far, and tell how many there were.
+
+    Results that were not yet read or written elsewhere read from there, so this belongs after
+    the last use of them. An empty folder stays of each.
+    """
+    count = len(_GIVEN)
+    while _GIVEN:
+        emptied(spark, _GIVEN.pop())
+    return count

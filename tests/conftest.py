@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pipeops.session import build_session  # noqa: E402
+from pipeops.session import _GIVEN, build_session, release  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -22,6 +22,14 @@ def spark():
     return session
 
 
+@pytest.fixture(scope="module", autouse=True)
+def no_scratch_left():
+    """What a module's queries left under the shared folder goes when it ends."""
+    yield
+    if _GIVEN:
+        release(build_session("pipeops-tests"))
+
+
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR

@@ -1,5 +1,7 @@
 """Operators on small literal rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,14 @@ def test_change_feed_ties_in_maps_and_variants(spark):
     for df in (feed, feed.repartition(4), feed.coalesce(1)):
         got = {r["k"]: (r["m"], r["t"]) for r in outputs.cdc_scd1(df, ["k"], "s").withColumn("t", F.to_json("v")).drop("v").collect()}
         assert got == {1: ({"a": "x", "b": "z"}, '{"v":1}'), 2: (None, '{"v":2}')}
+
+
+def test_scratch_is_released(spark):
+    from pipeops import session
+
+    session.release(spark)
+    path = session.scratch(spark, "gone")
+    spark.range(100).write.parquet(f"{path}/rows")
+    assert session.release(spark) == 1 and session.release(spark) == 0
+    assert not [f for _, _, names in os.walk(path) for f in names if f.startswith("part-") and os.path.getsize(os.path.join(path, f)) > 1000]
+    assert not os.path.isdir(f"{path}/rows")
