@@ -266,10 +266,12 @@ _AGGREGATES = {
     "correlation": (_six("corr(l_quantity, l_discount)"), None),
     "cov_pop": (_six("covar_pop(l_quantity, l_discount)"), None),
     "cov_samp": (_six("covar_samp(l_quantity, l_discount)"), None),
-    "first_flag": ("first(l_returnflag)", None),
-    "first_flag_value": ("first_value(l_returnflag)", "first(l_returnflag)"),
-    "last_flag": ("last(l_returnflag)", None),
-    "last_flag_value": ("last_value(l_returnflag)", "last(l_returnflag)"),
+    # most rows have no value here, and those that have one have the same: nulls must be passed over
+    **{
+        f"{name}_flag{part}": (f"{call}(CASE WHEN l_tax > 0.06 THEN l_returnflag || '+' END, true)", "any_value(CASE WHEN l_tax > 0.06 THEN l_returnflag || '+' END)")
+        for name in ("first", "last")
+        for part, call in (("", name), ("_value", f"{name}_value"))
+    },
     "top": ("max(l_extendedprice)", None),
     "bottom": ("min(l_extendedprice)", None),
     "at_top": ("max_by(l_quantity, struct(l_extendedprice, l_orderkey, l_linenumber))", "arg_max(l_quantity, (l_extendedprice, l_orderkey, l_linenumber))"),
