@@ -62,7 +62,7 @@ def test_text_without_ascii_ends_is_cut_by_its_content(spark):
     han = [chr(c) for c in range(0x4E00, 0x9FA0)]
     plain_run = "".join(rnd.choices(han, k=48_000))
     with_stops = "".join("".join(rnd.choices(han, k=20)) + "。" for _ in range(2000))
-    hindi = "".join("".join(rnd.choices("कखगघचछजटडतदनपबमयरलवश", k=30)) + "। " for _ in range(1000))
+    hindi = "".join("".join(rnd.choices("कखगघचछजटडतदनपबमयरलवश", k=rnd.randint(8, 60))) + "। " for _ in range(1000))
     for text in (plain_run, with_stops, hindi):
         frame = spark.createDataFrame([(text,), ("x" + text,)], "text string")
         one, two = (r[0] for r in frame.select(chunk_dedup.chunks(F.col("text"))).collect())
