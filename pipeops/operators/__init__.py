@@ -1,7 +1,7 @@
 from .aggregates import aggregate, distinct, drop_duplicates, latest_per_key, session_aggregate
 from .frames import places, split_frame
 from .joins import join
-from .ordering import coalesce, limit, repartition, sort
+from .ordering import coalesce, dealt, limit, repartition, sort
 from .sets import except_, intersect, union, union_by_name
 from .shaping import (
     build_array,
@@ -34,6 +34,7 @@ __all__ = [
     "cast",
     "coalesce",
     "custom",
+    "dealt",
     "derive",
     "distinct",
     "drop",
