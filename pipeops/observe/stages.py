@@ -110,9 +110,10 @@ def stage_summary(
     over the median task. ``merge_attempts`` puts a stage's attempts together.
     Stage ids repeat between applications, so lines should carry a column ``app``.
 
-    A line is parsed once. Every task gives a row per metric, and equal values of a stage are
-    counted before the one shuffle of them; sums, maxima, names and quantiles are all made
-    from these counts, and quantiles are exact without gathering a stage in one task.
+    A line is parsed once. Every task gives a row per metric whose spread is told, the first of
+    which carries the other sums, and equal values of a stage are counted before the one
+    shuffle of them; sums, maxima, names and quantiles are all made from these counts, and
+    quantiles are exact without gathering a stage in one task.
     ``store`` names a new folder, shared by the cluster, to keep the parsed tasks in (a few
     per cent of the log), for use by other queries.
     """
@@ -128,17 +129,23 @@ def stage_summary(
 
     metrics = [c for c in records.columns if c not in (*keys, "name")]
     sums = [c for c in metrics if c != "duration_ms"]
-    one = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"), F.lit("").alias("name")) for m in metrics]
-    named = F.struct(F.lit("").alias("metric"), F.lit(0).cast("long").alias("v"), F.coalesce("name", F.lit("")).alias("name"))
+    carried = [m for m in metrics if m not in SPREAD]
+
+    def row(metric: str, v: Column, name: Column) -> Column:
+        others = [F.when(F.lit(metric == SPREAD[0]), F.col(m)).alias(m) for m in carried]
+        return F.struct(F.lit(metric).alias("metric"), v.alias("v"), name.alias("name"), *others)
+
+    one = [row(m, F.col(m), F.lit("")) for m in SPREAD]
+    named = row("", F.lit(0).cast("long"), F.coalesce("name", F.lit("")))
     rows = records.select(*keys, F.inline(F.when(F.col("name").isNull(), F.array(*one)).otherwise(F.array(named))))
-    counts = rows.groupBy(*keys, "metric", "v", "name").agg(F.count(F.lit(1)).alias("c"))
+    counts = rows.groupBy(*keys, "metric", "v", "name").agg(F.count(F.lit(1)).alias("c"), *[F.sum(m).alias(m) for m in carried])
 
     def of(metric: str, column: Column) -> Column:
         return F.when(F.col("metric") == metric, column)
 
     totals = counts.groupBy(*keys).agg(
         F.sum(of("duration_ms", F.col("c"))).alias("task_count"),
-        *[F.sum(of(m, F.col("v") * F.col("c"))).alias(m) for m in sums],
+        *[F.sum(F.col(m) if m in carried else of(m, F.col("v") * F.col("c"))).alias(m) for m in sums],
         *[F.max(of(m, F.col("v"))).alias(f"max_{m}") for m in SPREAD],
         F.max("name").alias("name"),
     )
