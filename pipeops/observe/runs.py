@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pipeops.operators.ordering import dealt
+
 from .profiles import profile_diff
 from .schemas import schema_changes, schema_fingerprint
 
@@ -61,7 +63,7 @@ def _of_pairs(df: DataFrame, pairs: DataFrame) -> DataFrame:
             )
         ),
     )
-    return df.join(sides, "run_id")
+    return dealt(df, ["run_id"]).join(dealt(sides, ["run_id"]), "run_id")
 
 
 def stage_deltas(
@@ -98,7 +100,7 @@ def problem_changes(problems: DataFrame, pairs: DataFrame) -> DataFrame:
     ``problems(run_id, message)``; a null message counts as empty.
     """
     rows = _of_pairs(problems, pairs).withColumn("message", F.coalesce("message", F.lit("")))
-    met = rows.groupBy(*PAIR, "message").agg(
+    met = dealt(rows, [*PAIR, "message"]).groupBy(*PAIR, "message").agg(
         F.max(F.col("side") == "left").alias("l"), F.max(F.col("side") == "right").alias("r")
     )
     return met.where("l <> r").select(
