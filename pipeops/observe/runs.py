@@ -123,7 +123,8 @@ def node_snapshots(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:
         for what in ("schema", "profile")
         for side, when in (("left", "before"), ("right", "after"))
     ]
-    met = rows.groupBy(*PAIR, "node_id").agg(*parts)
+    # a node has one row a side, which grouping before the shuffle would sort for nothing
+    met = dealt(rows, [*PAIR, "node_id"]).groupBy(*PAIR, "node_id").agg(*parts)
     for what, reason in (("schema", "schema missing"), ("profile", "profile metrics missing")):
         there = F.col(f"before_{what}").isNotNull() & F.col(f"after_{what}").isNotNull()
         met = met.withColumns({f"{what}_available": there, f"{what}_reason": F.when(~there, reason)})
