@@ -120,21 +120,18 @@ def profile_diff(
     ``insufficient_data``; the relative delta is null where the value before is 0.
     """
     keys = list(keys)
-    metrics = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in COMPARED
-        ]
-    )
+    sides = ("before", "after")
 
-    def long(df: DataFrame, side: str) -> DataFrame:
-        return df.select(*keys, F.inline(metrics)).withColumn("__side", F.lit(side))
+    def marked(df: DataFrame, side: str) -> DataFrame:
+        return df.select(*keys, *[F.col(m).cast("double").alias(m) for m in COMPARED], F.lit(side).alias("__side"))
 
-    both = long(before, "before").unionByName(long(after, "after"))
-    met = both.groupBy(*keys, "metric").agg(
-        *[F.max(F.when(F.col("__side") == s, F.col("value"))).alias(s) for s in ("before", "after")],
-        F.count_distinct("__side").alias("__sides"),
+    # the two sides of a column meet in one row, which then gives a row per metric
+    wide = marked(before, "before").unionByName(marked(after, "after")).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__side") == s, F.col(m))).alias(f"__{s}_{m}") for s in sides for m in COMPARED],
+        sum((F.max((F.col("__side") == s).cast("int")) for s in sides), F.lit(0)).alias("__sides"),
     )
+    metrics = [F.struct(F.lit(m).alias("metric"), *[F.col(f"__{s}_{m}").alias(s) for s in sides]) for m in COMPARED]
+    met = wide.select(*keys, "__sides", F.inline(F.array(*metrics)))
 
     def usable(name: str) -> Column:
         c = F.col(name)

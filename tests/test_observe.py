@@ -532,3 +532,54 @@ def test_plan_metrics_are_compared(spark):
     join = got[1, 0]
     assert (join["op"], join["after_metrics"], join["metrics_changed"], join["exchange_changed"], join["partitioning_changed"]) == ("replace", '{"ms":4}', True, True, True)
     assert (got[2, 0]["op"], got[2, 0]["metrics_changed"]) == ("alter", True)
+
+
+def _line_ends(text, end):
+    return text.replace("\n", end)
+
+
+def test_plan_nodes_of_other_line_ends(spark):
+    """Line ends, ids and sections are told apart as before, each section's first line once a text."""
+    from catalog import plan_texts
+
+    text = "== Physical Plan ==\r\nScan a#1L, id=2, valid=3, plan_id=4  \r\n+- Exchange SinglePartition, [plan_id=5], x#6plan_id=7\n \r\nNot [a node]\n== Optimized Logical Plan ==\nJoin x#8"
+    rows = plans.plan_nodes(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, text string"), ["k"]).orderBy("node_index").collect()
+    assert [(r.k, r.node_index, r.operator, r.line, r.phase, r.depth) for r in rows] == [
+        (1, 0, "Scan", 2, "physical", 0), (1, 1, "Exchange", 3, "physical", 1), (1, 2, "Join", 7, "optimized", 0)
+    ]
+    assert rows[0].normalized == "Scan a#?, id=?, valid=3, plan_id=?"
+    assert rows[1].exchange == "Exchange SinglePartition, [plan_id=?], x#?plan_id=7" and rows[1].partitioning == 1
+    unix, dos = (
+        plans.plan_nodes(spark.createDataFrame([(1, _line_ends(plan_texts.JOINED, end))], "k int, text string"), ["k"]) for end in ("\n", "\r\n")
+    )
+    assert unix.exceptAll(dos).count() == 0 and dos.exceptAll(unix).count() == 0
+    physical = unix._jdf.queryExecution().optimizedPlan().toString()
+    assert physical.count("aggregate(") == 1 and "zip_with" in physical
+
+
+@pytest.mark.parametrize("of", ["changes", "operators", "problems", "nodes"])
+def test_pairs_meet_in_many_small_tasks(spark, of):
+    """Rows that a grouping hardly shrinks are dealt first, to more tasks than the session's partitions."""
+    node = spark.createDataFrame([(1, 0, "Scan", "physical", None, None, None)], "k int, node_index int, operator string, phase string, join_strategy string, partitioning int, exchange string")
+    pairs = spark.createDataFrame([("a", "b")], "left_run string, right_run string")
+    schema = "run_id string, node_id int, schema array<struct<name:string,type:string,nullable:boolean>>, profile array<struct<column:string,count:bigint>>"
+    df = {
+        "changes": lambda: plans.plan_changes(node, node, ["k"]),
+        "operators": lambda: plans.plan_operator_changes(node, node, ["k"]),
+        "problems": lambda: observe.problem_changes(spark.createDataFrame([("a", "m")], "run_id string, message string"), pairs),
+        "nodes": lambda: observe.node_snapshots(spark.createDataFrame([("a", 1, None, None)], schema), pairs),
+    }[of]()
+    many = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert f", {many}), REPARTITION_BY_NUM" in text
+    assert not any("ENSURE_REQUIREMENTS" in line and "hashpartitioning" in line for line in text.split("\n"))
+
+
+def test_sums_of_tasks_are_not_told_per_value(spark, tmp_path):
+    """Only metrics whose spread is told give a row each; the sums of the others are right beside them."""
+    end = '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Task Info":{"Launch Time":0,"Finish Time":%d},"Task Metrics":{"Executor CPU Time":%d,"JVM GC Time":%d,"Output Metrics":{"Bytes Written":%d}}}'
+    lines = spark.createDataFrame([(end % v,) for v in ((5, 1, 2, 3), (5, 10, 20, 30), (7, 100, 200, 300))], "value string")
+    df = observe.stage_summary(lines)
+    row = df.first()
+    assert (row.task_count, row.executor_cpu_time_ns, row.gc_time_ms, row.output_bytes, row.median_task_ms, row.scheduler_delay_ms) == (3, 111, 222, 333, 5, 17)
+    assert "struct(metric, executor_cpu_time_ns" not in df._jdf.queryExecution().analyzed().toString()
