@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pipeops.session import scratch
+
 # Every octave of magnitude is cut into this many buckets, so that a group has a few
 # hundred at most for integers, whatever its size.
 _STEPS = 16
@@ -43,6 +45,13 @@ def _narrowed(counted: DataFrame, group: list[str], cell: Column, targets: DataF
     return held.where(F.size("__ranks") > 0)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The same rows from a scratch folder, so that their size is known where a join is planned."""
+    folder = scratch(df.sparkSession, "quantiles")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], count: str | None = None
 ) -> DataFrame:
@@ -51,33 +60,31 @@ def exact_quantiles(
     ``ranks`` maps an output name to a 1-based rank written over the column ``n``,
     the number of non-null values in the group, and the keys; a null rank asks for nothing.
 
-    Equal values are counted once, before the shuffle, and its key holds the value, so a
-    group with a third of all rows is spread over all tasks. A histogram over buckets of
-    magnitude tells which bucket holds each rank, a second one over ``_FINE`` equal cuts of
-    that bucket's values which part of it; only the distinct values of that part are put in
-    order. ``count`` names a column of counts if ``df`` has one row per group and non-null
-    value already.
+    The input is read three times, each time combined before a shuffle, and is not shuffled
+    itself while the cells of all groups are small enough for Spark to broadcast: keep in files
+    what is costly to make. A histogram over buckets of magnitude tells which bucket holds each
+    rank, a second one over ``_FINE`` equal cuts of that bucket's values which part of it; only
+    the distinct values of that part, each counted once, are put in order. Buckets and parts, at
+    most one row per group and rank, are kept in scratch folders. ``count`` names a column that
+    tells how often a row's value is there.
     """
     keys = list(keys)
-    if count is None:
-        values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-        counted = values.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    else:
-        counted = df.select(*keys, F.col(value).alias("__v"), F.col(count).alias("__c"))
+    often = F.lit(1).cast("long") if count is None else F.col(count)
+    counted = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), often.alias("__c"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()])
-    # never null, so that joins need no filter and all of them read the counts of one shuffle
+    # never null, so that joins need no filter that would make it once more
     coarse = F.coalesce(_bucket(F.col("__v")), F.lit(0))
-    buckets = _narrowed(counted, keys, coarse, None, wanted).withColumnRenamed("__cell", "__b")
-    marked = counted.withColumn("__b", coarse)
+    buckets = _stored(_narrowed(counted, keys, coarse, None, wanted).withColumnRenamed("__cell", "__b"))
     part = [*keys, "__b"]
     span = F.col("__high").cast("double") - F.col("__low").cast("double")
     share = (F.col("__v").cast("double") - F.col("__low").cast("double")) / span
     fine = F.when(span > 0, F.floor(share * (_FINE - 1))).otherwise(F.lit(0)).cast("int")
-    inner = marked.join(buckets.select(*part, "__low", "__high"), part).withColumn("__f", fine)
-    cells = _narrowed(inner.drop("__low", "__high"), part, F.col("__f"), buckets, None).withColumnRenamed("__cell", "__f")
+    inner = counted.withColumn("__b", coarse).join(buckets.select(*part, "__low", "__high"), part).withColumn("__f", fine)
+    cells = _stored(_narrowed(inner.drop("__low", "__high"), part, F.col("__f"), buckets, None).withColumnRenamed("__cell", "__f"))
     cell = [*part, "__f"]
+    distinct = inner.join(cells.select(*cell), cell).groupBy(*cell, "__v").agg(F.sum("__c").alias("__c"))
     running = Window.partitionBy(*cell).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = inner.drop("__low", "__high").join(cells.select(*cell, "__from", "__ranks"), cell)
+    ordered = distinct.join(cells.select(*cell, "__from", "__ranks"), cell)
     placed = ordered.withColumn("__upto", F.col("__from") + F.sum("__c").over(running))
     hit = F.filter("__ranks", lambda r: (r["rank"] <= F.col("__upto")) & (r["rank"] > F.col("__upto") - F.col("__c")))
     hits = placed.select(*keys, "__v", F.explode(hit).alias("__r"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeops.functions import exact_quantiles
+from pipeops.session import scratch
 
 # The JSON names Spark writes, only those needed here.
 _EVENT = """
@@ -47,15 +48,15 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 def _records(lines: DataFrame, value: str, merge_attempts: bool) -> DataFrame:
     """One narrow row per finished task, and one per submitted stage (with its name).
 
-    A line is parsed once, and only if it speaks of one of the two.
+    A line is parsed once, and only if it speaks of one of the two. It is parsed in a generator,
+    below which no filter on what was parsed is pushed: there it would parse the line again.
     """
     text = F.col(value)
     wanted = F.contains(text, F.lit(_TASK_END)) | F.contains(text, F.lit(_STAGE_SUBMITTED))
     app = F.coalesce(F.col("app"), F.lit("")) if "app" in lines.columns else F.lit("")
     events = (
         lines.where(wanted)
-        .select(app.alias("app"), F.from_json(text, _EVENT).alias("e"))
-        .select("app", "e.*")
+        .select(app.alias("app"), F.inline_outer(F.array(F.from_json(text, _EVENT))))
         .where(F.col("Event").isin(_TASK_END, _STAGE_SUBMITTED))
     )
     attempt = F.lit(0).cast("long")
@@ -110,56 +111,47 @@ def stage_summary(
     over the median task. ``merge_attempts`` puts a stage's attempts together.
     Stage ids repeat between applications, so lines should carry a column ``app``.
 
-    A line is parsed once. Every task gives a row per metric whose spread is told, the first of
-    which carries the other sums, and equal values of a stage are counted before the one
-    shuffle of them; sums, maxima, names and quantiles are all made from these counts, and
-    quantiles are exact without gathering a stage in one task.
-    ``store`` names a new folder, shared by the cluster, to keep the parsed tasks in (a few
-    per cent of the log), for use by other queries.
+    A line is parsed once and the parsed tasks, a few per cent of the log, are kept in a folder:
+    sums, maxima, names and quantiles are made from there, and only sums and counts are shuffled.
+    Quantiles are exact without gathering a stage in one task. ``store`` names a new folder,
+    shared by the cluster, for use by other queries; without it a scratch folder is taken.
     """
     if not 1.0 <= moderate < severe:
         raise ValueError("thresholds must satisfy 1 <= moderate < severe")
     records = _records(lines, value, merge_attempts)
-    if store is not None:
-        records.write.parquet(store)
-        stored = lines.sparkSession.read.schema(records.schema).parquet(store)
-        # read as they were made: without nulls but for the name
-        records = stored.select(*[F.coalesce(F.col(f.name), F.lit("" if f.dataType.simpleString() == "string" else 0)).alias(f.name) if f.name != "name" else F.col("name") for f in records.schema])
+    folder = scratch(lines.sparkSession, "tasks") if store is None else store
+    records.write.parquet(folder)
+    records = lines.sparkSession.read.schema(records.schema).parquet(folder)
     keys = ["app", "stage_id", "attempt"]
 
-    metrics = [c for c in records.columns if c not in (*keys, "name")]
-    sums = [c for c in metrics if c != "duration_ms"]
-    carried = [m for m in metrics if m not in SPREAD]
-
-    def row(metric: str, v: Column, name: Column) -> Column:
-        others = [F.when(F.lit(metric == SPREAD[0]), F.col(m)).alias(m) for m in carried]
-        return F.struct(F.lit(metric).alias("metric"), v.alias("v"), name.alias("name"), *others)
-
-    one = [row(m, F.col(m), F.lit("")) for m in SPREAD]
-    named = row("", F.lit(0).cast("long"), F.coalesce("name", F.lit("")))
-    rows = records.select(*keys, F.inline(F.when(F.col("name").isNull(), F.array(*one)).otherwise(F.array(named))))
-    counts = rows.groupBy(*keys, "metric", "v", "name").agg(F.count(F.lit(1)).alias("c"), *[F.sum(m).alias(m) for m in carried])
+    sums = [c for c in records.columns if c not in (*keys, "name", "duration_ms")]
+    # the name is a key here: a maximum of texts would have every task sorted
+    parts = records.groupBy(*keys, "name").agg(
+        F.count(F.lit(1)).alias("task_count"),
+        *[F.sum(m).alias(m) for m in sums],
+        *[F.max(m).alias(f"max_{m}") for m in SPREAD],
+    )
 
-    def of(metric: str, column: Column) -> Column:
-        return F.when(F.col("metric") == metric, column)
+    def of_tasks(column: str) -> Column:
+        return F.when(F.col("name").isNull(), F.col(column))
 
-    totals = counts.groupBy(*keys).agg(
-        F.sum(of("duration_ms", F.col("c"))).alias("task_count"),
-        *[F.sum(F.col(m) if m in carried else of(m, F.col("v") * F.col("c"))).alias(m) for m in sums],
-        *[F.max(of(m, F.col("v"))).alias(f"max_{m}") for m in SPREAD],
+    totals = parts.groupBy(*keys).agg(
+        *[F.sum(of_tasks(c)).alias(c) for c in ("task_count", *sums)],
+        *[F.max(of_tasks(f"max_{m}")).alias(f"max_{m}") for m in SPREAD],
         F.max("name").alias("name"),
     )
-    n = F.when(F.col("metric").isin(*SPREAD), F.col("n"))
+    # a metric goes by its place
+    one = [F.struct(F.lit(i).alias("metric"), F.col(m).alias("v")) for i, m in enumerate(SPREAD)]
+    n = F.col("n")
     quantiles = exact_quantiles(
-        counts,
+        records.where("name IS NULL").select(*keys, F.inline(F.array(*one))),
         [*keys, "metric"],
         "v",
         {"low": F.floor((n + 1) / 2), "high": F.ceil((n + 1) / 2), "p95": F.ceil(n * 0.95)},
-        count="c",
     )
     spread: list[Column] = []
-    for m in SPREAD:
-        mine = F.col("metric") == m
+    for i, m in enumerate(SPREAD):
+        mine = F.col("metric") == i
         middle = (F.col("low") + F.col("high")) / 2
         spread.append(F.max(F.when(mine, middle)).alias(f"median_{m}"))
         spread.append(F.max(F.when(mine, F.col("p95"))).alias(f"p95_{m}"))

@@ -583,3 +583,43 @@ def test_sums_of_tasks_are_not_told_per_value(spark, tmp_path):
     row = df.first()
     assert (row.task_count, row.executor_cpu_time_ns, row.gc_time_ms, row.output_bytes, row.median_task_ms, row.scheduler_delay_ms) == (3, 111, 222, 333, 5, 17)
     assert "struct(metric, executor_cpu_time_ns" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_log_lines_are_parsed_once(spark, tmp_path):
+    """Neither the check of the event nor the summary reads a line a second time; the summary is made from stored tasks."""
+    from pipeops.observe import stages
+
+    values = [(3 * i * i) % 101 - 7 for i in range(60)]
+    lines = spark.createDataFrame(
+        [("a", submitted(1, "n")), ("b", submitted(2, "m")), ("b", submitted(2, "k"))]
+        + [(a, task(1, v, 0, **{"Input Metrics": {"Bytes Read": v * 2**40 + i % 2}})) for a in "ab" for i, v in enumerate(values)],
+        "app string, value string",
+    )
+    parsed = stages._records(lines, "value", True)._jdf.queryExecution().optimizedPlan().toString()
+    assert parsed.count("from_json(") == 1
+    df = observe.stage_summary(lines, merge_attempts=True)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in text and "Join" in text
+    got = {(r.app, r.stage_id): r for r in df.collect()}
+    durations, read = sorted(max(v, 0) for v in values), sorted(v * 2**40 + i % 2 for i, v in enumerate(values))
+    for app in "ab":
+        row = got[app, 1]
+        assert (row.task_count, row.max_task_ms, row.p95_task_ms) == (60, durations[-1], durations[56])
+        assert row.median_task_ms == (durations[29] + durations[30]) / 2
+        assert (row.median_input_bytes, row.p95_input_bytes, row.max_input_bytes) == ((read[29] + read[30]) / 2, read[56], read[-1])
+        assert (row.input_bytes, row.name) == (sum(read), "n" if app == "a" else "")
+    assert (got["b", 2].name, got["b", 2].task_count, got["b", 2].p95_input_bytes) == ("m", 0, 0)
+
+
+def test_quantiles_do_not_shuffle_their_input(spark):
+    """Values meet the cells of their group where they are read; only counts are shuffled. Counts may be given."""
+    from pipeops.functions import exact_quantiles
+
+    df = spark.range(4000).selectExpr("id % 3 AS k", "CASE WHEN id % 5 > 0 THEN id * id END AS v", "id % 4 AS c")
+    ranks = {"low": F.floor((F.col("n") + 1) / 2), "last": F.col("n"), "none": F.lit(None)}
+    result = exact_quantiles(df, ["k"], "v", ranks, count="c")
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    for k, low, last, none in result.collect():
+        group = sorted(i * i for i in range(k, 4000, 3) if i % 5 for _ in range(i % 4))
+        assert (low, last, none) == (group[(len(group) + 1) // 2 - 1], group[-1], None)
