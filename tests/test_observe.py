@@ -623,3 +623,18 @@ def test_quantiles_do_not_shuffle_their_input(spark):
     for k, low, last, none in result.collect():
         group = sorted(i * i for i in range(k, 4000, 3) if i % 5 for _ in range(i % 4))
         assert (low, last, none) == (group[(len(group) + 1) // 2 - 1], group[-1], None)
+
+
+def test_event_log_of_line_items(spark, tmp_path):
+    """The log is put in folders without sorting its texts, by a fast codec; a line item without a flag has no application."""
+    from catalog.observe_queries import event_log
+
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    rows = [(1, 2, 3, 4, 5.5, 99.9, flag, "F") for flag in ("R", "N", None, "R", "")]
+    spark.createDataFrame(rows, line).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, "N7")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    log = event_log(spark, str(tmp_path))
+    got = [(r.app, json.loads(r.value)) for r in log.collect()]
+    assert sorted((a, v["Event"][13:]) for a, v in got) == [("", "TaskEnd"), ("", "TaskEnd"), ("app-N", "TaskEnd"), ("app-R", "StageSubmitted"), ("app-R", "TaskEnd"), ("app-R", "TaskEnd")]
+    assert all(v["Stage ID"] == 4 and v["Task Info"] == {"Launch Time": 1000, "Finish Time": 1099} for _, v in got if "Task Info" in v)
+    assert all(f.endswith(".txt.lz4") for f in log.inputFiles())
