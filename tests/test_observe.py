@@ -638,3 +638,40 @@ def test_event_log_of_line_items(spark, tmp_path):
     assert sorted((a, v["Event"][13:]) for a, v in got) == [("", "TaskEnd"), ("", "TaskEnd"), ("app-N", "TaskEnd"), ("app-R", "StageSubmitted"), ("app-R", "TaskEnd"), ("app-R", "TaskEnd")]
     assert all(v["Stage ID"] == 4 and v["Task Info"] == {"Launch Time": 1000, "Finish Time": 1099} for _, v in got if "Task Info" in v)
     assert all(f.endswith(".txt.lz4") for f in log.inputFiles())
+
+
+def test_plans_dealt_by_their_key_meet_without_a_shuffle_of_nodes(spark):
+    """Texts dealt by their key are taken apart and compared in place, with the same changes; what is not asked for is not made."""
+    from catalog import plan_texts
+    from pipeops import operators as ops
+
+    def nodes(texts, by):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (1, texts[2])], "k int, text string")
+        return plans.plan_nodes(ops.dealt(df, ["k"]) if by else df, ["k"])
+
+    one = [plan_texts.JOINED, plan_texts.WINDOWED, plan_texts.UNITED]
+    changes = [plans.plan_changes(nodes(one, by), nodes(one[1:] + one[:1], by), ["k"], together=by) for by in (False, True)]
+    assert changes[0].count() > 0 and changes[0].exceptAll(changes[1]).count() == 0 and changes[1].exceptAll(changes[0]).count() == 0
+    plan = changes[1]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k#") == 2 and "node_index" not in "".join(x for x in plan.split("\n") if "Exchange hash" in x)
+    # ids are blanked in exchanges alone where only those are compared
+    assert plan.count("id=(?<=") == 2 and "normalized" not in plan
+    # a change is found whichever side was dealt otherwise
+    apart = plans.plan_changes(nodes(one, True), nodes(one[1:] + one[:1], False), ["k"], together=True)
+    assert apart.exceptAll(changes[0]).count() == 0 and changes[0].exceptAll(apart).count() == 0
+
+
+def test_plan_nodes_of_odd_lines(spark):
+    """Blank lines end a tree but not what stands before the first heading; headings may have blanks; places count all lines."""
+    text = "Scan a\n\n+- Sort b\n=== Analyzed Logical Plan ==  \na: int\nJoin c, id=3\n  \nNot d\n== = ==\n*(1) Exchange e#4, [plan_id=5]\nlower\n\r\n== Physical Plan ==\n'Filter\r"
+    df = spark.createDataFrame([(1, text), (2, "\r"), (3, "== Physical Plan ==\n\nScan"), (4, "Scan\r")], "k int, text string")
+    rows = plans.plan_nodes(df, ["k"]).orderBy("k", "node_index").collect()
+    assert [(r.k, r.node_index, r.operator, r.line, r.phase, r.depth, r.raw) for r in rows] == [
+        (1, 0, "Scan", 1, "unknown", 0, "Scan a"),
+        (1, 1, "Sort", 3, "unknown", 1, "+- Sort b"),
+        (1, 2, "Join", 6, "analyzed", 0, "Join c, id=3"),
+        (1, 3, "Exchange", 10, "unknown", 0, "*(1) Exchange e#4, [plan_id=5]"),
+        (1, 4, "Filter", 14, "physical", 0, "'Filter\r"),
+        (4, 0, "Scan", 1, "unknown", 0, "Scan\r"),
+    ]
+    assert (rows[2].normalized, rows[3].exchange, rows[3].normalized) == ("Join c, id=?", "Exchange e#?, [plan_id=?]", "*(1) Exchange e#?, [plan_id=?]")
