@@ -675,3 +675,14 @@ def test_plan_nodes_of_odd_lines(spark):
         (4, 0, "Scan", 1, "unknown", 0, "Scan\r"),
     ]
     assert (rows[2].normalized, rows[3].exchange, rows[3].normalized) == ("Join c, id=?", "Exchange e#?, [plan_id=?]", "*(1) Exchange e#?, [plan_id=?]")
+
+
+def test_conditions_on_nodes_do_not_take_texts_apart_again(spark):
+    """A condition on what is told of a node is tested at the node alone."""
+    from catalog import plan_texts
+
+    nodes = plans.plan_nodes(spark.createDataFrame([(1, plan_texts.JOINED)], "k int, text string"), ["k"])
+    some = nodes.where("phase = 'physical' AND operator = 'SortMergeJoin' AND join_strategy = 'sort_merge' AND raw LIKE '%Inner' AND depth = 5 AND line > 30")
+    assert [(r.operator, r.depth) for r in some.collect()] == [("SortMergeJoin", 5)]
+    steps, whole = (df._jdf.queryExecution().optimizedPlan().toString().count("transform(") for df in (some, nodes))
+    assert steps == whole
